@@ -10,15 +10,15 @@ DataFrame and SQL functions only.  The matrix comes from a binary tree over the
 partitions: each node splits its vector of free places between its halves by a
 multivariate hypergeometric draw, so log2(partitions) steps draw all rows side
 by side.  A draw walks out from the mode by the exact ratio of neighbouring
-probabilities; terms beyond 14 standard deviations plus 60 places (under 1e-30
-of the mass) are not summed.
+probabilities; terms beyond 10 standard deviations plus 40 places (less of the
+mass than a double can hold) are not summed.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stage
@@ -29,79 +29,48 @@ BROADCAST_BYTES = 16 << 20
 ROWS_PER_TASK = 1 << 17
 
 
-def _uniform(*parts: Column) -> Column:
-    """A number in (0, 1) fixed by its parts."""
-    return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / float(1 << 53)
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for ``value``, computed once (a lambda would compute it at each step)."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once; lambdas would compute it at each step."""
-    return F.transform(F.array(value), use)[0]
+def hypergeometric(marked: str, total: str, drawn: str, u: str) -> str:
+    """SQL: how many of ``drawn`` items, out of ``total``, are among the ``marked``, at quantile ``u``.
 
-
-def hypergeometric(marked: Column, total: Column, drawn: Column, u: Column) -> Column:
-    """How many of ``drawn`` items, out of ``total``, are among the ``marked``, at quantile ``u``.
-
-    Values are taken in the order mode, mode + 1, ..., mode - 1, ...: any fixed
-    order gives the exact law from a uniform ``u``.
+    Arguments are SQL for longs and a double in (0, 1).  Values are taken in the
+    order mode, mode + 1, ..., mode - 1, ...: any fixed order gives the exact
+    law from a uniform ``u``.
     """
-    big, n, k = total.cast("double"), drawn.cast("double"), marked.cast("double")
-    spread = F.sqrt(n * (k / big) * ((big - k) / big) * ((big - n) / F.greatest(big - 1, F.lit(1.0))))
-    setting = F.struct(
-        F.greatest(F.lit(0).cast("long"), (drawn + marked - total).cast("long")).alias("low"),
-        F.least(drawn, marked).cast("long").alias("high"),
-        F.floor((n + 1) * (k + 1) / (big + 2)).cast("long").alias("peak"),
-        (F.ceil(F.coalesce(spread, F.lit(0.0)) * 14) + 60).cast("long").alias("reach"),
-        u.alias("u"),
-        big.alias("big"),
-        n.alias("n"),
-        k.alias("k"),
+    ratio = "((s.k - {x}) * (s.n - {x}) / (({x} + 1d) * (s.big - s.k - s.n + {x} + 1d)))"  # p(x + 1) / p(x)
+    after, before = f"(acc.w * {ratio.format(x='x')})", f"(acc.w / {ratio.format(x='x')})"
+    walk = "named_struct('w', {w}, 'sum', acc.sum + {w})"
+    seek = "named_struct('w', {w}, 'sum', acc.sum + {w}, 'value', if(acc.value is null and acc.sum + {w} >= goal, {v}, acc.value))"
+    one = "named_struct('w', 1d, 'sum', 1d)"
+    mass = f"aggregate(m.up, {one}, (acc, x) -> {walk.format(w=after)}).sum + aggregate(m.down, {one}, (acc, x) -> {walk.format(w=before)}).sum - 1d"
+    rise = f"aggregate(m.up, named_struct('w', 1d, 'sum', 1d, 'value', if(goal <= 1d, m.mode, null)), (acc, x) -> {seek.format(w=after, v='x + 1')})"
+    found = f"aggregate(m.down, {_let('r', rise, "named_struct('w', 1d, 'sum', r.sum, 'value', r.value)")}, (acc, x) -> {seek.format(w=before, v='x')}).value"
+    ways = (
+        "named_struct('mode', mode,"
+        " 'up', if(least(s.high, mode + s.reach) > mode, sequence(mode, least(s.high, mode + s.reach) - 1), cast(array() as array<bigint>)),"
+        " 'down', if(greatest(s.low, mode - s.reach) < mode, sequence(mode - 1, greatest(s.low, mode - s.reach), -1L), cast(array() as array<bigint>)))"
     )
+    drawing = _let("mode", "least(greatest(s.peak, s.low), s.high)", _let("m", ways, f"coalesce({_let('goal', f's.u * ({mass})', found)}, m.mode)"))
+    spread = "coalesce(sqrt(a.n * (a.k / a.big) * ((a.big - a.k) / a.big) * ((a.big - a.n) / greatest(a.big - 1d, 1d))), 0d)"
+    setting = (
+        "named_struct('low', greatest(0L, cast(a.n + a.k - a.big as bigint)), 'high', cast(least(a.n, a.k) as bigint),"
+        f" 'peak', cast(floor((a.n + 1d) * (a.k + 1d) / (a.big + 2d)) as bigint), 'reach', cast(ceil({spread} * 10d) as bigint) + 40L, 'u', a.u, 'big', a.big, 'n', a.n, 'k', a.k)"
+    )
+    given = f"named_struct('k', cast({marked} as double), 'big', cast({total} as double), 'n', cast({drawn} as double), 'u', {u})"
+    return _let("a", given, _let("s", setting, f"if(s.low = s.high, s.low, {drawing})"))
 
-    def draw(s: Column) -> Column:
-        def ratio(at: Column) -> Column:  # p(at + 1) / p(at)
-            x = at.cast("double")
-            return (s["k"] - x) * (s["n"] - x) / ((x + 1) * (s["big"] - s["k"] - s["n"] + x + 1))
-
-        def within(mode: Column) -> Column:
-            top, bottom = F.least(s["high"], mode + s["reach"]), F.greatest(s["low"], mode - s["reach"])
-            none = F.array().cast("array<long>")
-            up = F.coalesce(F.when(top > mode, F.sequence(mode, top - 1)), none)
-            down = F.coalesce(F.when(bottom < mode, F.sequence(mode - 1, bottom, F.lit(-1).cast("long"))), none)
-
-            def add(w: Column, acc: Column) -> Column:
-                return F.struct(w.alias("w"), (acc["sum"] + w).alias("sum"))
-
-            def mass(start: Column) -> Column:
-                above = F.aggregate(up, start, lambda acc, at: add(acc["w"] * ratio(at), acc))["sum"]
-                return above + F.aggregate(down, start, lambda acc, at: add(acc["w"] / ratio(at), acc))["sum"] - 1.0
-
-            def seek(goal: Column) -> Column:
-                def step(acc: Column, w: Column, value: Column) -> Column:
-                    here = acc["value"].isNull() & (acc["sum"] + w >= goal)
-                    return F.struct(w.alias("w"), (acc["sum"] + w).alias("sum"), F.when(here, value).otherwise(acc["value"]).alias("value"))
-
-                begin = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"), F.when(goal <= 1.0, mode).alias("value"))
-                rise = F.aggregate(up, begin, lambda acc, at: step(acc, acc["w"] * ratio(at), at + 1))
-                rise = _let(rise, lambda x: F.struct(F.lit(1.0).alias("w"), x["sum"].alias("sum"), x["value"].alias("value")))
-                return F.aggregate(down, rise, lambda acc, at: step(acc, acc["w"] / ratio(at), at))["value"]
-
-            return F.coalesce(_let(s["u"] * mass(F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"))), seek), mode)
-
-        return F.when(s["low"] == s["high"], s["low"]).otherwise(_let(F.least(F.greatest(s["peak"], s["low"]), s["high"]), within))
-
-    return _let(setting, draw)
-
-
-def _split(free: Column, drawn: Column, *seed: Column) -> Column:
-    """Of ``drawn`` places, how many come from each entry of ``free``: one exact multivariate draw."""
-    start = F.struct(drawn.alias("n"), F.aggregate(free, F.lit(0).cast("long"), lambda a, x: a + x).alias("rest"), F.array().cast("array<long>").alias("out"))
-
-    def step(acc: Column, place: Column) -> Column:
-        got = hypergeometric(place["free"], acc["rest"], acc["n"], _uniform(*seed, place["j"]))
-        return _let(got, lambda g: F.struct((acc["n"] - g).alias("n"), (acc["rest"] - place["free"]).alias("rest"), F.concat(acc["out"], F.array(g)).alias("out")))
 
-    return F.aggregate(F.transform(free, lambda x, j: F.struct(x.alias("free"), j.alias("j"))), start, step)["out"]
+def _split(free: str, drawn: str, seed: str) -> str:
+    """SQL: of ``drawn`` places, how many come from each entry of ``free``; one exact multivariate draw."""
+    u = f"(shiftrightunsigned(xxhash64({seed}, place.j), 11) + 0.5d) / {float(1 << 53)}d"
+    got = hypergeometric("place.free", "st.rest", "st.n", u)
+    step = _let("g", got, "named_struct('n', st.n - g, 'rest', st.rest - place.free, 'out', concat(st.out, array(g)))")
+    start = f"named_struct('n', {drawn}, 'rest', aggregate({free}, 0L, (x, y) -> x + y), 'out', cast(array() as array<bigint>))"
+    return f"aggregate(transform({free}, (x, j) -> named_struct('free', x, 'j', j)), {start}, (st, place) -> {step}).out"
 
 
 def communication_matrix(counts: DataFrame, shards: int, seed: int = 42) -> DataFrame:
@@ -111,25 +80,19 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int = 42) -> Data
     row holds one number for each source partition, never a number for each row.
     """
     spark = counts.sparkSession
-    top = counts.agg(F.array_sort(F.collect_list(F.struct("block", F.col("n").cast("long").alias("n")))).alias("blocks"))
-    total = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    nodes = top.withColumn("total", total).select(
-        F.lit(1).cast("long").alias("node"),
-        "blocks",
-        F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: F.floor(F.col("total") / shards).cast("long") + F.when(j < F.pmod(F.col("total"), F.lit(shards)), 1).otherwise(0)).alias("free"),
-    )
+    top = counts.agg(F.array_sort(F.collect_list(F.struct(F.col("block").cast("long").alias("block"), F.col("n").cast("long").alias("n")))).alias("blocks"))
+    top = top.withColumn("total", F.expr("aggregate(blocks, 0L, (a, x) -> a + x.n)"))
+    nodes = top.selectExpr("1L as node", "blocks", f"transform(sequence(0, {shards - 1}), j -> total div {shards} + if(j < total % {shards}, 1L, 0L)) as free")
     levels = max(0, math.ceil(math.log2(max(1, counts.count()))))
     for level in range(levels):
-        half = F.ceil(F.size("blocks") / 2).cast("int")
-        nodes = nodes.select("node", F.slice("blocks", F.lit(1), half).alias("left"), F.when(F.size("blocks") > 1, F.slice("blocks", half + 1, F.size("blocks"))).otherwise(F.array().cast("array<struct<block:long,n:long>>")).alias("right"), "free")
-        need = F.aggregate("left", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-        nodes = nodes.withColumn("got", F.when(F.size("right") > 0, _split(F.col("free"), need, F.lit(seed), F.col("node"))).otherwise(F.col("free")))
-        one = F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("blocks"), F.col("got").alias("free"))
-        two = F.struct((F.col("node") * 2 + 1).alias("node"), F.col("right").alias("blocks"), F.zip_with("free", "got", lambda x, y: x - y).alias("free"))
-        nodes = nodes.select(F.inline(F.array(one, two))).where("size(blocks) > 0")
+        nodes = nodes.selectExpr("node", "free", "slice(blocks, 1, cast(ceil(size(blocks) / 2) as int)) as left", "filter(blocks, (x, i) -> i >= ceil(size(blocks) / 2)) as right")
+        got = _split("free", "aggregate(left, 0L, (a, x) -> a + x.n)", f"{seed}, node")
+        nodes = nodes.selectExpr("*", f"if(size(right) > 0, {got}, free) as got")
+        one, two = "named_struct('node', node * 2, 'blocks', left, 'free', got)", "named_struct('node', node * 2 + 1, 'blocks', right, 'free', zip_with(free, got, (x, y) -> x - y))"
+        nodes = nodes.selectExpr(f"inline(array({one}, {two}))").where("size(blocks) > 0")
         if level == 8:  # enough nodes to share among tasks
             nodes = nodes.repartition(shuffle_partitions(spark), "node")
-    return nodes.select(F.col("blocks")[0]["block"].alias("block"), F.col("free").alias("row")).where("block is not null")
+    return nodes.where("size(blocks) > 0").selectExpr("blocks[0].block as block", "free as row")
 
 
 def shuffle_into_shards(df: DataFrame, shards: int = 24, seed: int = 42, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -151,10 +114,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = 24, seed: int = 42, rows_pe
     counts = stage(counts, "shard-counts")
     blocks, rows = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     matrix = stage(communication_matrix(counts, shards, seed), "shard-matrix")
-    ends = matrix.select(
-        "block",
-        F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda j: F.aggregate(F.slice("row", F.lit(1), j), F.lit(0).cast("long"), lambda a, x: a + x)).alias("_ends"),
-    )
+    ends = matrix.selectExpr("block", f"transform(sequence(1, {shards}), j -> aggregate(slice(row, 1, j), 0L, (a, x) -> a + x)) as _ends")
     bins = max(1, -(-rows // (shards * rows_per_task)))
     dealt = local.withColumn("_block", block).join(F.broadcast(ends) if blocks * shards * 8 <= BROADCAST_BYTES else ends, F.col("_block") == F.col("block"))
     place = F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))
