@@ -26,7 +26,7 @@ from .common import shuffle_partitions, stage
 #: Bytes of a small table that a join may broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Rows of a shard that one task sorts.
-ROWS_PER_TASK = 1 << 17
+ROWS_PER_TASK = 1 << 15
 
 
 def _let(name: str, value: str, body: str) -> str:
