@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digests, sharding, simhash, substrings
+from . import bpe, digests, quality, sharding, simhash, substrings
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op8_quartile_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"))
     return out.select(
@@ -45,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe_round_trip, op6_substring_dedup, op7_simhash_near_dedup, op8_quartile_digests, op10_sharding)}
+    return {f.__name__: f for f in (op5_bpe_round_trip, op6_substring_dedup, op7_simhash_near_dedup, op8_quartile_digests, op9_pu_quality, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
