@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digests, quality, sharding, simhash, substrings
+from . import bpe, digests, pii, quality, sharding, simhash, substrings
 from .common import table
 
 
+def op3_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe_round_trip, op6_substring_dedup, op7_simhash_near_dedup, op8_quartile_digests, op9_pu_quality, op10_sharding)}
+    return {f.__name__: f for f in (op3_crf_pii, op5_bpe_round_trip, op6_substring_dedup, op7_simhash_near_dedup, op8_quartile_digests, op9_pu_quality, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
