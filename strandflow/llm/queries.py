@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digests, pii, quality, sharding, simhash, substrings
+from . import bpe, chat, decontaminate, digests, pii, quality, sharding, simhash, substrings
 from .common import table
 
 
+def op1_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op3_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,8 +62,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_crf_pii, op5_bpe_round_trip, op6_substring_dedup, op7_simhash_near_dedup, op8_quartile_digests, op9_pu_quality, op10_sharding)}
+    return {f.__name__: f for f in (op1_chat_collapse, op3_crf_pii, op4_decontamination, op5_bpe_round_trip, op6_substring_dedup, op7_simhash_near_dedup, op8_quartile_digests, op9_pu_quality, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_collapse": chat.ORACLE}
