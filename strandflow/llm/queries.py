@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, digests, pii, quality, sharding, simhash, substrings
+from . import bpe, chat, decontaminate, digests, licenses, pii, quality, sharding, simhash, substrings
 from .common import table
 
 
@@ -15,6 +15,22 @@ def op1_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
 
 
+def document_paths(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``path`` made up from source and id, as the table has none.
+
+    A source is a repository with folders of a thousand and of a hundred ids;
+    the first document of a folder stands for its licence file.
+    """
+    thousand, hundred = F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string")
+    top = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), thousand)
+    path = F.when(F.col("doc_id") % 1000 == 0, F.concat(top, F.lit("/LICENSE"))).when(F.col("doc_id") % 100 == 0, F.concat(top, F.lit("/"), hundred, F.lit("/LICENSE"))).otherwise(F.concat(top, F.lit("/"), hundred, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return docs.withColumn("path", path)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(document_paths(table(spark, sf_dir, "documents")))
+
+
 def op3_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -62,7 +78,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_collapse, op3_crf_pii, op4_decontamination, op5_bpe_round_trip, op6_substring_dedup, op7_simhash_near_dedup, op8_quartile_digests, op9_pu_quality, op10_sharding)}
+    return {f.__name__: f for f in (op1_chat_collapse, op2_license_scan, op3_crf_pii, op4_decontamination, op5_bpe_round_trip, op6_substring_dedup, op7_simhash_near_dedup, op8_quartile_digests, op9_pu_quality, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
