@@ -28,6 +28,7 @@ from functools import lru_cache
 from hashlib import sha256
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -320,7 +321,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                     decoded.update(part.encode())
                     if keep_text:
                         texts.append(part)
-                for column, value in zip(out, [n, ids.hexdigest(), decoded.hexdigest(), *([[int(i) for p in parts for i in p.split(",")]] if keep_ids else []), *(["".join(texts)] if keep_text else [])], strict=True):
+                for column, value in zip(out, [n, ids.hexdigest(), decoded.hexdigest(), *([np.concatenate([np.empty(0, np.int32), *(np.fromstring(p, np.int32, sep=",") for p in parts)])] if keep_ids else []), *(["".join(texts)] if keep_text else [])], strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] if keep_ids else []), *([pa.string()] if keep_text else [])]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids, *["decoded"] * keep_text]

@@ -21,6 +21,7 @@ from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -368,6 +369,18 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with all spans of each text masked; null texts stay null, other columns as they were."""
+    crf = trained()
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series) -> pd.Series:
+        whole = [t or "" for t in texts]
+        return pd.Series([None if t is None else mask(t, spans) for t, (_, spans) in zip(texts, all_spans(crf, whole), strict=True)], dtype=object)
+
+    return docs.withColumn(text_col, cleaned(text_col))
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", masked: bool = False) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` and ``masked`` where asked.
 
