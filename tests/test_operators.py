@@ -1,0 +1,362 @@
+"""Segments, tables, masks, stores, metrics, registry, taxonomy and parsers."""
+
+import gzip
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandflow import config, infer
+from strandflow.operators import checks, embed, masking, numbering, parsers, predict, ranges, registry, segment, taxa, tokenize
+from strandflow.operators import store as stores
+from strandflow.operators.tokenize import KmerTokenizer
+from strandflow.sources import fasta, tables
+
+
+def seqs(spark, *rows):
+    return spark.createDataFrame(list(enumerate(rows)), "sequence_id long, sequence string")
+
+
+def test_contiguous(spark):
+    cut = lambda s, **p: [r.segment for r in segment.segment_sequences(seqs(spark, s), p).orderBy("segment_id").collect()]
+    assert cut("TAGAA", max_length=4) == ["TAGA", "A"]
+    assert cut("TAGAATAG", min_length=5, max_length=6) == ["TAGAAT"]
+    assert [(r.segment_start, r.segment_end) for r in segment.contiguous(seqs(spark, "TAGAATAG"), 3, 4).collect()] == [(0, 4), (4, 8)]
+    assert cut("") == []
+    rows = segment.segment_sequences(seqs(spark, *["ACGTACGTAC" * 5] * 3), {}).collect()
+    assert sorted(r.segment_id for r in rows) == [0, 1, 2]
+    with pytest.raises(ValueError, match="The following columns are missing: \\['sequence_id'\\]"):
+        segment.segment_sequences(spark.createDataFrame([("A",)], "sequence string"))
+    with pytest.raises(ValueError):
+        segment.segment_sequences(seqs(spark, "A"), {"type": "other"})
+    with pytest.raises(ValueError, match="primary key"):
+        segment.segment_sequences(spark.createDataFrame([(1, "A"), (1, "C")], "sequence_id long, sequence string"), {}, strict_key=True)
+
+
+def test_random_sampling(spark):
+    rows = ["A" * 137, "", "C" * 149, "G" * 5]
+    got = segment.segment_sequences(seqs(spark, *rows), {"type": "random", "min_length": 10, "max_length": 100, "coverage": 10.0, "seed": 1}).collect()
+    total = sum(map(len, rows))
+    assert got and all(10 <= len(r.segment) <= 100 and r.segment == rows[r.sequence_id][r.segment_start : r.segment_end] for r in got)
+    assert {r.sequence_id for r in got} == {0, 2}
+    assert 0.4 * 10 * total < sum(len(r.segment) for r in got) < 1.5 * 10 * total
+
+
+def test_rectangular(spark):
+    ragged = spark.createDataFrame([(1, 0, [2, 100, 101, 3]), (2, 0, [2, 200, 201, 202, 3]), (3, 0, [2, 300, 3])], "segment_id long, offset int, ids array<int>")
+    rows = tokenize.rectangular(ragged, 10).orderBy("torch_id").collect()
+    assert [r.input_ids for r in rows] == [[2, 100, 101, 3, 0], [2, 200, 201, 202, 3], [2, 300, 3, 0, 0]]
+    mixed = tokenize.rectangular(ragged, 10, randomize=True).collect()
+    assert sorted(r.torch_id for r in mixed) == [0, 1, 2] == sorted(r.original_torch_id for r in mixed)
+    with pytest.raises(Exception, match="longer than the maximum"):
+        tokenize.rectangular(ragged, 4).collect()
+
+
+def test_tokenize_segments(spark):
+    rows = spark.createDataFrame([(0, "ACGTACGT", 0), (0, "AAAAAAAA", 1)], "segment_id long, segment string, position int")
+    t = KmerTokenizer(6, 2)
+    with pytest.raises(ValueError, match="unique"):
+        tokenize.tokenize_segments(rows, t)
+    assert [r.ids for r in tokenize.tokenize_segments(rows, t, unique=False).orderBy("offset").collect()] == [[2, 5, 5, 3], [2, 5, 3]]
+    labelled = spark.createDataFrame([(0, "ACGTACGT", 1)], "segment_id long, segment string, y int")
+    assert {r.y for r in tokenize.classification_table(labelled, t, 10).collect()} == {1}
+    batch = tokenize.encode_batch(labelled, t).first()
+    assert batch.labels == 1 and batch.attention_mask[0] == 0
+
+
+def test_numbering(spark):
+    df = spark.range(1000).withColumn("v", F.col("id") % 7)
+    got = {r.id: r.s for r in numbering.cumulative(df, "id", "v", "s", block=64).collect()}
+    assert got[999] == sum(i % 7 for i in range(1000)) and got[100] == sum(i % 7 for i in range(101))
+    assert sorted(r.n for r in numbering.dense_rows(df.unionByName(df), "id", ["v"], "n", block=64).collect()) == list(range(2000))
+    codes = {r.v: r.code for r in numbering.first_seen_codes(spark.createDataFrame([("b", 0), ("a", 1), ("b", 2)], "v string, pos int"), "v", "pos").collect()}
+    assert codes == {"b": 0, "a": 1}
+    assert [r.id for r in numbering.shuffled(spark.range(20), "id", 1).collect()] != list(range(20))
+    train, test = segment.train_test_split(spark.range(1000).withColumnRenamed("id", "sequence_id"))
+    assert 60 < test.count() < 140 and train.count() + test.count() == 1000
+
+
+def test_masking(spark):
+    ids = [2, *range(10, 40), 3]
+    rows = spark.createDataFrame([(i, ids) for i in range(200)], "row_id long, input_ids array<int>")
+    got = masking.mask_tokens(rows, 4101, probability=0.05, left=1, right=1).collect()
+    hits = [[x != -100 for x in r.labels] for r in got]
+    assert 0.05 < np.mean(hits) < 0.25
+    for r, h in zip(got, hits, strict=True):
+        assert all(x == y for x, y, m in zip(r.input_ids, ids, h, strict=True) if not m)
+        assert all(x == y for x, y, m in zip(r.labels, ids, h, strict=True) if m)
+        assert not h[0] and not h[-1]
+    with pytest.raises(AssertionError):
+        masking.mask_tokens(rows, 10, left=-1)
+    hit = spark.range(1).select(masking.dilate(F.array(*[F.lit(b) for b in (False, False, True, False, False)]), 2, 2).alias("x")).first().x
+    assert hit == [False, True, True, True, False]
+    fixed = spark.range(1).select(masking.mask_positions(F.array(*[F.lit(i) for i in (7, 8, 9, 10)]), F.array(F.lit(0), F.lit(1)), 1, 1).alias("m")).first().m
+    assert fixed["input_ids"] == [4, 4, 4, 10] and fixed["labels"] == [7, 8, 9, -100]
+    base = masking.mask_bases(spark.createDataFrame([("AATCAAGGAATTATTATCGTT", [5])], "sample_seq string, pos2mask array<int>"), 6, 1).first()
+    assert 4 in base.input_ids and len(base.labels) == len(base.input_ids)
+
+
+def test_random_windows(spark):
+    rows = spark.createDataFrame([(i, list(range(5, 205)), 1) for i in range(50)], "row_id long, input_ids array<int>, y int")
+    for kind in masking.DISTRIBUTIONS:
+        for r in masking.random_windows(rows, 64, distribution=kind, pad=False).collect():
+            assert r.input_ids[0] == 2 and r.input_ids[-1] == 3 and len(r.input_ids) <= 64 and r.labels == 1
+    with pytest.raises(ValueError):
+        masking.random_windows(rows, 64, distribution="other")
+    with pytest.raises(Exception, match="shorter"):
+        masking.random_windows(rows, 64, min_length=500).collect()
+    assert masking.window_label_distributions(masking.random_windows(rows, 64).drop("labels")).first().labels
+
+
+def test_store(spark):
+    store = spark.createDataFrame([(0, "x|A1", 0, list(range(5, 15))), (1, "x|A2", 1, list(range(20, 120))), (2, "x|A3", 1, [])], "cid long, accession string, shard_id int, tokens array<int>")
+    got = stores.draw_windows(store, 20, 300).collect()
+    assert len(got) == 300 and all(len(r.window) == 20 for r in got)
+    by = {c: [r for r in got if r.cid == c] for c in (0, 1, 2)}
+    assert not by[2] and len(by[1]) > 4 * len(by[0])
+    assert all(r.window == list(range(5, 15)) + [0] * 10 and r.l_eff == 10 for r in by[0])
+    assert all(r.window == list(range(20 + r.start, 40 + r.start)) for r in by[1])
+    cat = stores.sample_catalogue(store, stores.draw_pairs(store, 20, 50), 20).collect()
+    assert all(r.end <= r.contig_len and r.shard_file == f"tokens.{r.shard_id:03d}.bin" for r in cat)
+    asked = spark.createDataFrame([("x|A2", 95)], "accession string, start int")
+    assert stores.window_by_accession(store, asked, 20).first().window == list(range(100, 120))
+    with pytest.raises(Exception, match="Unknown accession"):
+        stores.window_by_accession(store, spark.createDataFrame([("q", 1)], "accession string, start int"), 5).collect()
+    with pytest.raises(ValueError):
+        stores.draw_pairs(store.where("cid = 2"), 5, 5)
+    meta = spark.createDataFrame([("A1", "asm2", 0), ("A2", "asm1", 1)], "accession_id string, assembly_id string, pos int")
+    assert {(r.cid, r.label) for r in stores.labelled_windows(store, meta, 20, 100).collect()} == {(0, 0), (1, 1)}
+    rows = tables.rows_from_values(spark, [[1, 2], [3, 4], [5, 6]])
+    scan = stores.cyclic_scan(rows, 1, 2, end_token=True).orderBy("iteration", "place").collect()
+    assert [r.torch_id for r in scan] == [1, 2, 0, 1, 2, 0] and scan[0].input_ids == [3, 4, 3]
+    assert stores.row_slice(rows, 1, 3).count() == 2
+
+
+def test_predictions(spark):
+    rows = spark.createDataFrame([(1, 1, 0.2, 0.8), (1, 1, 0.6, 0.4), (2, 0, 0.5, 0.5), (None, 1, 0.1, 0.9)], "sequence_id long, y int, p_class_0 double, p_class_1 double")
+    got = {r.sequence_id: (r.y_pred, r.y_true) for r in predict.weighted_voting(rows).collect()}
+    assert got == {1: (1, 1), 2: (0, 0)}
+    assert predict.weighted_voting(rows.drop("y")).first().y_true is None
+    with pytest.raises(ValueError):
+        predict.weighted_voting(rows.drop("p_class_0"))
+    logits = spark.createDataFrame([(1, 1, 0.0, 2.0), (2, 0, 1.0, -1.0), (3, 0, 0.0, 1.0)], "sequence_id long, y int, logit_y0 double, logit_y1 double")
+    m = predict.evaluate_binary(logits.withColumn("y_pred", F.when(F.col("logit_y1") > F.col("logit_y0"), 1).otherwise(0))).first()
+    assert (m.tn, m.fp, m.fn, m.tp) == (1, 1, 0, 1) and m.auc_class1 == 1.0 and m.mcc == pytest.approx(0.5)
+    loss = -np.mean([math.log(1 / (1 + math.exp(-2))), math.log(1 - 1 / (1 + math.exp(1))), math.log(1 - 1 / (1 + math.exp(-1)))])
+    assert m.eval_loss == pytest.approx(loss)
+    one = logits.where("y = 0").withColumn("y_pred", F.lit(0))
+    assert predict.binary_metrics(one, guarded=True).first().recall == 0 and predict.binary_metrics(one).first().recall is None
+    assert predict.auc(one, "logit_y0").first().auc == -1.0
+    rng = np.random.default_rng(0)
+    s, y = rng.integers(0, 30, 400), rng.integers(0, 2, 400)
+    want = np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
+    assert predict.auc(spark.createDataFrame([(int(a), int(b)) for a, b in zip(s, y)], "s int, y int"), "s").first().auc == pytest.approx(want)
+
+
+def test_masked_lm(spark):
+    rows = spark.createDataFrame([(0, 1, [0.0, 2.0, 1.0]), (1, 0, [0.0, 2.0, 1.0]), (2, -100, [0.0, 0.0, 0.0])], "row_id long, label int, logits array<double>")
+    m = predict.masked_lm_metrics(rows).first()
+    assert m.n_masked == 2 and m.avg_rank == 2 and m.mrr == pytest.approx((1 + 1 / 3) / 2) and m.hit_at_1 == 0.5
+    assert predict.masked_lm_metrics(rows.where("label = -100")).first().loss is None
+    soft = spark.createDataFrame([(0, [0.0, 0.0], [0.5, 0.5]), (0, [1.0, 1.0], [0.0, 0.0])], "row_id long, logits array<double>, labels_dist array<double>")
+    assert predict.soft_label_kl(soft).first().loss == pytest.approx(0.0, abs=1e-9)
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(60, 5)), rng.integers(0, 3, 60)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(60)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    scores = []
+    for i in range(60):
+        gaps = {c: d[i, (y == c) & (np.arange(60) != i)].mean() for c in range(3)}
+        b = min(v for c, v in gaps.items() if c != y[i])
+        scores.append((b - gaps[y[i]]) / max(b, gaps[y[i]]))
+    assert embed.silhouette(df).first().silhouette == pytest.approx(np.mean(scores))
+    assert embed.silhouette(df.where("label = 0")).first().silhouette is None
+    centers = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0])], "class int, centroid array<double>")
+    rows = spark.createDataFrame([(0, [3.0, 4.0], 0)], "vec_id int, embedding array<double>, label int")
+    assert embed.curricular_logits(rows, centers).first().logits == pytest.approx([64 * 0.6, 64 * 0.8])
+    train = embed.curricular_logits(rows, centers, label="label").first()
+    hard = 0.6 * math.cos(0.5) - 0.8 * math.sin(0.5)
+    assert train.logits == pytest.approx([64 * hard, 64 * 0.8 * 0.8]) and train.target_cosine == pytest.approx(0.6)
+    assert embed.updated_tau(embed.curricular_logits(rows, centers, label="label")) == pytest.approx(0.006)
+    assert len(embed.pca(df).first().projection) == 2
+    with pytest.raises(ValueError):
+        embed.reduce_embeddings(df)
+
+
+def test_fasta(spark, tmp_path):
+    text = ">test1 test sequence 1\nATGC\n>test2 test sequence 2\nCG\nTA\n"
+    (tmp_path / "a.fasta").write_text(text)
+    with gzip.open(tmp_path / "b.fasta.gz", "wt") as f:
+        f.write(text)
+    for name in ("a.fasta", "b.fasta.gz"):
+        rows = fasta.load_contigs(spark, [str(tmp_path / name)]).orderBy("sequence_id").collect()
+        assert [(r.sequence_id, r.sequence, r.orientation) for r in rows] == [(0, "ATGC", "forward"), (1, "GCAT", "reverse"), (2, "CGTA", "forward"), (3, "TACG", "reverse")]
+        assert rows[0].description == "test1 test sequence 1" and rows[0].fasta_id == "test1"
+    two = fasta.load_contigs(spark, [str(tmp_path / "b.fasta.gz"), str(tmp_path / "a.fasta")], reverse_complement=False).orderBy("sequence_id").collect()
+    assert [r.fasta_id for r in two] == ["test1", "test2"] * 2 and two[0].source_file.endswith("gz")
+    (tmp_path / "p.fasta").write_text(">p\nMKVL\n")
+    (tmp_path / "e.fna").write_text("")
+    assert [p.path.rsplit("/", 1)[1] for p in fasta.find_nucleotide_files(spark, str(tmp_path)).collect()] == ["a.fasta"]
+    assert {p.path.rsplit("/", 1)[1] for p in fasta.non_empty_files(spark, str(tmp_path)).collect()} == {"a.fasta", "b.fasta.gz", "p.fasta"}
+
+
+def test_fasta_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"r{i}", "A" * n) for i, n in enumerate((60, 125, 3))], "pos long, fasta_id string, sequence string")
+    fasta.write_fasta(df, str(tmp_path / "out"), files=1, order="pos")
+    assert {r.fasta_id: len(r.sequence) for r in fasta.read_fasta(spark, str(tmp_path / "out")).collect()} == {"r0": 60, "r1": 125, "r2": 3}
+    fasta.write_fasta_per_record(df, str(tmp_path / "each"))
+    assert len([p for p in (tmp_path / "each").iterdir() if p.name.startswith("fasta_id=")]) == 3
+    big = spark.createDataFrame([(i, f"r{i}", "A" * 100_000) for i in range(5)], "pos long, fasta_id string, sequence string")
+    chunks = [r.chunk for r in fasta.chunk_numbers(big, "pos", 0.1).orderBy("pos").collect()]
+    assert chunks == [1, 2, 3, 4, 5]
+    assert fasta.chunk_numbers(big.where("pos < 0"), "pos", 0.1).count() == 0
+    with pytest.raises(KeyError):
+        fasta.sequence_records(df, "nope")
+    assert fasta.sequence_records(df, "pos").first().fasta_id == "0"
+    assert checks.filter_short_sequences(df, 60).count() == 2
+
+
+def test_training_tables(spark, tmp_path):
+    rows = tables.rows_from_values(spark, [[1, 2], [3, 4]], [0, 1])
+    tables.save_training_table(rows, str(tmp_path / "t"), spark.range(3))
+    assert tables.load_training_table(spark, str(tmp_path / "t")).count() == 2
+    with pytest.raises(ValueError):
+        tables.save_training_table(tables.rows_from_values(spark, [[1], [2, 3]]), str(tmp_path / "u"))
+    tables.save_vocabulary(tokenize.vocabulary(spark, 1), str(tmp_path / "v"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "v")).collect()][-4:] == ["A", "C", "G", "T"]
+
+
+def test_checks(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, 1.0), (2, 1, None)], "A long, B long, C double")
+    assert checks.is_valid_primary_key(df, "A") and not checks.is_valid_primary_key(df, "B") and not checks.is_valid_primary_key(df, "C")
+    with pytest.raises(ValueError):
+        checks.is_valid_primary_key(df, "D")
+    with pytest.raises(ValueError):
+        checks.check_file_exists(str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        checks.create_directory_for_filepath("")
+    checks.create_directory_for_filepath(str(tmp_path / "x/y/z.txt"))
+    assert (tmp_path / "x/y").is_dir()
+    assert checks.model_inputs(df.withColumn("labels", F.lit(1))).columns == ["labels"]
+
+
+def test_joins(spark):
+    left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    with pytest.raises(ValueError):
+        ranges.validated_left_join(left, right, ["k"])
+    assert ranges.validated_left_join(left, right.limit(1), ["k"], "one_to_one").count() == 2
+    assert {r.k: r.found for r in ranges.membership_flag(left, "k", right, "k").collect()} == {1: 1, 2: 0}
+    spans = spark.createDataFrame([(0, 0, 10), (1, 10, 10), (2, 10, 1000)], "s int, low int, high int")
+    points = spark.createDataFrame([(p,) for p in (0, 9, 10, 999, 1000)], "p int")
+    assert sorted((r.p, r.s) for r in ranges.interval_join(points, "p", spans, "low", "high", 7).collect()) == [(0, 0), (9, 0), (10, 2), (999, 2)]
+
+
+def test_config():
+    c = config.SEQUENCE_CONFIG
+    assert c.parameters("segmentation")["type"] == "contiguous"
+    with pytest.raises(TypeError):
+        c.parameters("segmentation", {"type": 123})
+    with pytest.raises(ValueError):
+        c.parameters("segmentation", {"type": "invalid_type"})
+    with pytest.raises(ValueError):
+        c.parameters("segmentation", {"min_length": -5})
+    with pytest.raises(ValueError):
+        c.parameters("segmentation", {"unknown": 1})
+    with pytest.raises(TypeError):
+        c.parameters("segmentation", {"coverage": 1})
+    assert c.cast_to_expected_type("tokenization", "add_special_token", "True") is True
+    with pytest.raises(ValueError):
+        c.cast_to_expected_type("tokenization", "kmer", "six")
+    args = c.from_arguments(["--kmer", "3", "--segmentation_type", "random"])
+    assert args["tokenization"]["kmer"] == 3 and args["segmentation"]["type"] == "random"
+    with pytest.raises(ValueError):
+        config.tokenization_parameters({"shift": 6})
+    assert config.max_tokens_from_length(21, 2, 6) == 11 and config.max_segment_length_from_tokens(11, 2, 6) == 22
+
+
+def test_registry(spark, tmp_path):
+    name = registry.model_name("TEST", "base", "phage", epochs=0.1, Ls=256)
+    assert name == "TEST___base___phage___ls_256___ep_0.1"
+    assert registry.parse_model_name(name + "___odd___lr_5e-05") == {"prefix": "TEST", "base_model": "base", "task": "phage", "Ls": 256, "epochs": 0.1, "learning_rate": 5e-05}
+    with pytest.raises(ValueError):
+        registry.parse_model_name("a___b")
+    for n in (0, 10, 200):
+        (tmp_path / name / f"checkpoint-{n}").mkdir(parents=True)
+        (tmp_path / name / f"checkpoint-{n}/w").write_text("x")
+    (tmp_path / "bad").mkdir()
+    models = registry.register_models(spark, str(tmp_path))
+    assert models.count() == 3 and registry.preferred_checkpoints(models).first().checkpoint == 0
+    assert registry.latest_checkpoint(name, str(tmp_path))[2] == 0 and registry.latest_checkpoint("none", str(tmp_path)) == (False, None, None)
+    with pytest.raises(ValueError):
+        registry.register_models(spark, str(tmp_path / "empty"))
+    assert registry.iteration_offset(10, 7, 64) == 6
+    assert registry.kmer_and_shift("x-k6s2") == (6, 2) and registry.kmer_and_shift("any-mini-long") == (6, 2)
+    with pytest.raises(ValueError):
+        registry.kmer_and_shift("other")
+    table = spark.createDataFrame([("m", None)], "hf_name string, hf_path string")
+    for key, value in (("hf_name", "q"), ("hf_name", "m"), ("nope", "m")):
+        with pytest.raises(ValueError):
+            registry.lookup_one(table, key, value, "hf_path")
+
+
+def test_taxa(spark):
+    assert taxa.slugify("  Éscherichia coli (K-12)! ") == "escherichia_coli_k_12"
+    assert taxa.slugify(None) == "" and taxa.slugify("***") == "unknown"
+    assert len(taxa.slugify("a" * 60)) == 40
+    closure = spark.createDataFrame([(2, 1), (3, 1), (3, 2), (None, 1)], "taxon_id long, asc_taxon_id long")
+    assert [r.taxon_id for r in taxa.descendants(closure, 1).collect()] == [1, 2, 3]
+    assert [r.taxon_id for r in taxa.ascendants(closure, 3).collect()] == [1, 2, 3]
+    nodes = spark.createDataFrame([(7, "Vibrio")], "taxon_id long, name string")
+    asked = spark.createDataFrame([(7,), (8,)], "taxon_id long")
+    assert {r.tag for r in taxa.taxon_tag(nodes, asked).collect()} == {"tax7_vibrio", "tax8_unknown"}
+
+
+def test_parsers(spark):
+    seeker = spark.createDataFrame([("c___1", "Phage", 0.91), ("d", "Bacteria", 0.2)], "a string, b string, c double")
+    rows = {r.fasta_id: r for r in parsers.seeker(seeker, fragment=True).collect()}
+    assert rows["c___1"].y_true == "1" and rows["c___1"].score_not_phage == 0.09 and rows["d"].y_true is None
+    deep = spark.createDataFrame([("c___0", 900, 0.12345, 0.04)], "name string, len int, score double, pvalue double")
+    assert tuple(parsers.deepvirfinder(deep, fragment=True).first()) == ("c___0", 0, 1, 0.123, 0.877, "deepVirFinder")
+
+
+def test_infer(spark):
+    for c in (infer.EncoderConfig(30, 16, 2, 4, 32, 64), infer.EncoderConfig(30, 16, 2, 4, 32, 64, positions="relative_key_query", pooling="mean", head="curricular"), infer.rotary_config(vocab_size=30, hidden_size=16, layers=4, heads=4, intermediate_size=32, window=4, pooling="cls", head="mlp")):
+        w = infer.random_weights(c)
+        ids, mask = np.array([[2, 7, 8, 9, 3, 0, 0]]), np.array([[1, 1, 1, 1, 1, 0, 0]])
+        h = infer.encode(c, w, ids, mask)
+        assert h.shape == (1, 7, 16) and np.allclose(h, infer.encode(c, w, ids, mask, rows=1), atol=1e-5)
+        short = infer.encode(c, w, ids[:, :5], mask[:, :5])
+        assert np.allclose(infer.pool(c, w, h, mask), infer.pool(c, w, short, mask[:, :5]), atol=1e-4)
+        assert infer.classify(c, w, infer.pool(c, w, h, mask)).shape == (1, 2)
+        assert infer.masked_lm(c, w, h, np.array([[0, 1]])).shape == (1, 30)
+        df = spark.createDataFrame([(1, [2, 7, 3], [1, 1, 1]), (2, [2, 7, 8, 3], [1, 1, 1, 1])], "id int, input_ids array<int>, attention_mask array<int>")
+        got = infer.embed(df, c, w).collect()
+        assert all(abs(np.linalg.norm(r.embedding) - 1) < 1e-4 for r in got)
+        assert all(len(r.logits) == 2 for r in infer.predict(df, c, w).collect())
+    for bad in (dict(pooling="max"), dict(head="x"), dict(hidden_size=10)):
+        with pytest.raises(ValueError):
+            infer.EncoderConfig(**bad)
+    own = {"a": np.zeros(2), "b": np.zeros(3)}
+    _, report = infer.fitting_weights(own, {"a": np.ones(2), "b": np.ones(4), "c": np.ones(1)})
+    assert report == {"missing": [], "unexpected": ["c"], "mismatched": ["b"]}
+    with pytest.raises(TypeError):
+        infer.embed_with(spark.range(1), object())
+
+
+def test_streaming(spark, tmp_path):
+    from strandflow.streaming import event_windows, fasta_to_tokens
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.fa").write_text(">a\nACGTACGTAC\n>b\nAAAAAAAA\n>c\nAC\n")
+    fasta_to_tokens(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), KmerTokenizer(6, 2)).awaitTermination(120)
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.fasta_id, r.offset) for r in rows} == {(i, o) for i in "abc" for o in (0, 1)}
+    events = spark.createDataFrame([("2024-01-01 00:00:00", "a", 1.0), ("2024-01-01 00:05:00", "a", 2.0), ("2024-01-01 02:00:00", "a", 4.0)], "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted(r.total for r in event_windows(events).collect()) == [3.0, 4.0]
+    assert sorted(r.total for r in event_windows(events, "session").collect()) == [3.0, 4.0]
+    assert event_windows(events, "sliding", slide="30 minutes").count() == 4
