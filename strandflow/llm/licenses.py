@@ -1,6 +1,6 @@
 """Operator 2: licence scans by sparse TF-IDF and directory inheritance.
 
-Header lines that speak of licensing, and short files whole, are compared with
+Header lines that speak of licensing, and licence files whole, are compared with
 licence templates by the cosine of their TF-IDF vectors; document frequencies
 are counted over all such segments.  A file without a licence of its own
 inherits that of the nearest ancestor directory with a licence file, found by
@@ -18,8 +18,6 @@ from .common import stage
 
 #: Least cosine with a template.
 THRESHOLD = 0.35
-#: Words of a file that is also compared whole.
-SHORT_FILE = 400
 LINE = "licen[cs]|copyright|spdx|permission is hereby granted|redistribution and use|public domain"
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 
@@ -80,27 +78,25 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     """``(doc_id, path, license, cosine, origin, inherited_from)``, one row for each row of ``files``.
 
     ``origin`` is ``own``, ``inherited`` or ``none``; an inherited licence names
-    the directory it comes from.  Licence files are those named so, or short
-    ones that match a template whole.  A directory with several takes the best
+    the directory it comes from.  Licence files are those named so.  A directory with several takes the best
     cosine, then the last name.  Null texts hold no licence, null paths lie in
     the root and inherit from it only; repeated rows keep their rows; an empty
     table gives an empty result; further columns are ignored.
     """
     files = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(LINE))
-    words = F.size(F.split("text", r"\s+"))
-    short = F.when((words <= SHORT_FILE) & F.lower("text").rlike(LINE), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("segment")))).otherwise(F.array().cast("array<struct<whole:boolean,segment:string>>"))
-    asked = F.concat(F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("segment"))), short)
+    named = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
+    asked = F.when(named, F.array_append(lines, F.col("text"))).otherwise(lines)
     folder = F.regexp_replace(F.regexp_replace(F.coalesce("path", F.lit("")), "^/+", ""), "/?[^/]*$", "")
-    rows = stage(files.select("doc_id", "path", folder.alias("dir"), F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False)).alias("named"), asked.alias("asked")).withColumn("row", F.monotonically_increasing_id()), "license-rows")
-    each = rows.select("row", "named", F.explode("asked").alias("a")).select("row", "named", "a.whole", "a.segment").withColumn("seg", F.xxhash64("segment"))
+    rows = stage(files.select("doc_id", "path", folder.alias("dir"), named.alias("named"), asked.alias("asked")).withColumn("row", F.monotonically_increasing_id()), "license-rows")
+    each = rows.select("row", "named", F.explode("asked").alias("segment")).withColumn("seg", F.xxhash64("segment"))
     segments = each.groupBy("seg").agg(F.first("segment").alias("segment"), F.count("*").alias("n"))
     matches = stage(match_segments(segments, threshold), "license-matches")
-    hits = each.select("row", "named", "whole", "seg").join(matches, "seg")
-    own = hits.groupBy("row").agg(F.max(F.struct("cosine", "license")).alias("own"), F.max("whole").alias("whole"))
+    hits = each.select("row", "seg").join(matches, "seg")
+    own = hits.groupBy("row").agg(F.max(F.struct("cosine", "license")).alias("own"))
     owned = stage(rows.drop("asked").join(own, "row", "left"), "license-own")
 
-    given = owned.where("own is not null and (named or whole)").groupBy("dir").agg(F.max(F.struct(F.col("own.cosine").alias("cosine"), F.col("own.license").alias("license"))).alias("from"))
+    given = owned.where("own is not null and named").groupBy("dir").agg(F.max(F.struct(F.col("own.cosine").alias("cosine"), F.col("own.license").alias("license"))).alias("from"))
     parts = F.filter(F.split("dir", "/"), lambda x: x != "")
     dirs = owned.select("dir").distinct()
     up = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("ancestor")))).alias("a"))
