@@ -28,8 +28,10 @@ COVERAGE = 0.8
 LITERALS = 3
 #: Benchmark windows that are held in every task to sift document windows before the join; beyond that all go to the join.
 SIFT_WINDOWS = 1_000_000
-#: Words of a text handled at once.
-BLOCK = 1 << 18
+#: Words handled at once: of several texts, or of a part of a long one.
+BLOCK = 1 << 17
+#: Words remembered by one worker at most; then it starts anew.
+MEMORY = 500_000
 
 # Words that are units after a number.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hour hours day days week weeks year years minute minutes second seconds meter meters metre metres kilometer kilometers mile miles gram grams kilogram kilograms pound pounds dollar dollars euro euros cent cents percent liter liters litre litres degree degrees".split())
@@ -42,45 +44,49 @@ def _digest(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token)
 
 
-class Canon:
-    """Words to template tokens; what a word is alone is remembered."""
+class Canon(dict):
+    """Words to rows of facts about them; what a word is alone is remembered."""
 
     def __init__(self) -> None:
-        self.row: dict[str, int] = {}
         self.core: list[str] = []
-        self.literal = np.zeros(1 << 12, np.uint64)
-        self.fact = np.zeros((5, 1 << 12), bool)  # kept, number, name-like, ends a sentence, unit
+        self.literal = np.zeros(1 << 16, np.uint64)
+        self.fact = np.zeros((5, 1 << 16), bool)  # kept, number, name-like, ends a sentence, unit
 
-    def _add(self, word: str) -> int:
-        core = _EDGE.sub("", word)
+    def __missing__(self, word: str) -> int:
+        core = word if word.isalnum() else _EDGE.sub("", word)
         low = core.lower()
-        self.row[word] = i = len(self.core)
+        self[word] = i = len(self.core)
         if i == len(self.literal):
             self.literal = np.concatenate([self.literal, np.zeros_like(self.literal)])
             self.fact = np.concatenate([self.fact, np.zeros_like(self.fact)], axis=1)
         self.core.append(low)
         self.literal[i] = _digest(low)
-        self.fact[:, i] = bool(core), bool(_NUMBER.fullmatch(core)), len(core) > 1 and core[0].isupper() and core[1:].islower(), word[-1] in ".!?:;", low in UNITS
+        plain = core.isalpha()
+        self.fact[:, i] = bool(core), not plain and bool(_NUMBER.fullmatch(core)), len(core) > 1 and core[0].isupper() and core[1:].islower(), word[-1] in ".!?:;", plain and low in UNITS
         return i
 
-    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the kept words: their rows, template hashes and kinds (0 literal, 1 number, 2 name, 3 unit)."""
-        if len(self.row) > 300_000:
+    def tokens(self, words: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the kept words: which they are, their rows, template hashes and kinds (0 literal, 1 number, 2 name, 3 unit).
+
+        ``starts`` are the places where texts begin; a sentence begins there too.
+        """
+        if len(self) > MEMORY:
+            self.clear()
             self.__init__()
-        get, add = self.row.get, self._add
-        ids = np.fromiter((add(w) if (i := get(w)) is None else i for w in words), np.int64, len(words))
-        kept, number, name, ends, unit = self.fact
-        literal = self.literal
-        after_stop = np.concatenate(([True], ends[ids][:-1])) if len(ids) else np.empty(0, bool)
-        mask = kept[ids] if len(ids) else np.empty(0, bool)
-        ids, after_stop = ids[mask], after_stop[mask]
-        kind = np.zeros(len(ids), np.int8)
-        kind[name[ids] & ~after_stop] = 2
-        kind[number[ids]] = 1
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        kept, number, name, ends, unit = (f[ids] for f in self.fact)
+        after_stop = np.concatenate(([True], ends[:-1])) if len(ids) else ends
+        after_stop[starts[starts < len(ids)]] = True
+        kind = np.where(number, 1, np.where(name & ~after_stop, 2, 0)).astype(np.int8)
+        at = np.flatnonzero(kept)
+        first = np.zeros(len(ids) + 1, bool)
+        first[starts] = True
+        opens = np.diff(np.concatenate(([0], np.cumsum(first[:-1])[at]))) > 0  # a kept word that is the first of its text
+        ids, kind, unit = ids[at], kind[at], unit[at]
         if len(ids) > 1:
-            kind[1:][unit[ids][1:] & (kind[:-1] == 1)] = 3
+            kind[1:][unit[1:] & (kind[:-1] == 1) & ~opens[1:]] = 3
         fixed = np.array([0, _digest(NUM), _digest(NAME), _digest(UNIT)], np.uint64)
-        return ids, np.where(kind == 0, literal[ids], fixed[kind]), kind
+        return at, ids, np.where(kind == 0, self.literal[ids], fixed[kind]), kind
 
 
 def _windows(hashes: np.ndarray, kind: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,49 +101,84 @@ _SLOT = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("value",
 
 
 def _window_rows(window: int, wanted: np.ndarray | None):
-    """``(id, key, text)`` to rows of their template windows, sifted by the sorted hashes ``wanted`` if given."""
+    """``(id, key, text)`` to rows of their template windows, sifted by the sorted hashes ``wanted`` if given.
+
+    Texts are gathered to blocks of words; a text longer than a block comes in
+    parts, each with the last ``window - 1`` tokens of the part before.
+    """
+    bits = None
+    if wanted is not None:
+        bits = np.zeros(1 << 22, bool)
+        bits[wanted >> np.uint64(42)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
-        bits = None
-        if wanted is not None:
-            bits = np.zeros(1 << 22, bool)
-            bits[wanted >> np.uint64(42)] = True
+
+        def sifted(h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Window hashes, the windows to join, and which have enough literal words."""
+            grams, fit = _windows(h, kind, window)
+            some = np.flatnonzero(fit if bits is None else fit & bits[grams >> np.uint64(42)])
+            if bits is not None and len(some):
+                some = some[np.isin(grams[some], wanted)]
+            return grams, some, fit
+
+        def slots(kind: np.ndarray, core, p: int) -> list[dict]:
+            return [{"at": q, "kind": int(kind[p + q]), "value": core(p + q)} for q in range(window) if kind[p + q]]
+
+        def block(rows: list[tuple], words: list[str], sizes: list[int]) -> Iterator[tuple]:
+            starts = np.cumsum([0, *sizes[:-1]])
+            at, ids, h, kind = canon.tokens(words, starts)
+            text = np.repeat(np.arange(len(sizes)), sizes)[at]
+            begin = np.searchsorted(text, np.arange(len(sizes) + 1))
+            if len(h) < window:
+                return
+            grams, some, fit = sifted(h, kind)
+            whole = fit & (text[: len(grams)] == text[window - 1 :])
+            total = np.bincount(text[: len(grams)][whole], minlength=len(sizes))
+            for p in some[text[some] == text[some + window - 1]].tolist():
+                i = int(text[p])
+                yield *rows[i], p - int(begin[i]), int(grams[p].astype(np.int64)), slots(kind, lambda j: canon.core[ids[j]], p), int(total[i])
+
+        def long(row: tuple, words: list[str]) -> Iterator[tuple]:
+            out, done, total = [], 0, 0
+            h, kind, core = np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, object)
+            for at in range(0, len(words), BLOCK):
+                lead = min(at, 2)  # the words before tell whether a sentence has ended or a number stands there
+                where, ids, h1, k1 = canon.tokens(words[at - lead : at + BLOCK], np.array([0]))
+                new = where >= lead
+                h, kind = np.concatenate([h, h1[new]]), np.concatenate([kind, k1[new]])
+                core = np.concatenate([core, np.array([canon.core[j] if k else "" for j, k in zip(ids[new].tolist(), k1[new].tolist())], object)])
+                if len(h) < window:
+                    continue
+                grams, some, fit = sifted(h, kind)
+                total += int(fit.sum())
+                out += [(*row, done + p, int(grams[p].astype(np.int64)), slots(kind, lambda j, core=core: core[j], p)) for p in some.tolist()]
+                done += len(grams)
+                h, kind, core = h[len(grams) :], kind[len(grams) :], core[len(grams) :]
+            return ((*x, total) for x in out)
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), _SLOT, pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "key", "pos", "hash", "slots", "total"])
+
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("id", "key", "pos", "hash", "slots", "total")}
-            for i in range(batch.num_rows):
-                words, done = batch.column(2)[i].as_py().split(), 0
-                held = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int8)
-                for at in range(0, max(1, len(words)), BLOCK):
-                    # one word more on the left tells whether a sentence has just ended
-                    lead = min(at, 2)
-                    ids, h, kind = canon.tokens(words[at - lead : at + BLOCK])
-                    if lead:
-                        skip = len(canon.tokens(words[at - lead : at])[0])
-                        ids, h, kind = ids[skip:], h[skip:], kind[skip:]
-                    core = np.array([canon.core[j] if k else "" for j, k in zip(ids.tolist(), kind.tolist())], object) if kind.any() else np.full(len(ids), "", object)
-                    h, kind, core = np.concatenate([held[1], h]), np.concatenate([held[2], kind]), np.concatenate([held[0].astype(object), core])
-                    if len(h) >= window:
-                        grams, fit = _windows(h, kind, window)
-                        if bits is not None:
-                            fit &= bits[grams >> np.uint64(42)]
-                            some = np.flatnonzero(fit)
-                            some = some[np.isin(grams[some], wanted)] if len(some) else some
-                        else:
-                            some = np.flatnonzero(fit)
-                        for p in some.tolist():
-                            out["id"].append(batch.column(0)[i].as_py())
-                            out["key"].append(batch.column(1)[i].as_py())
-                            out["pos"].append(done + p)
-                            out["hash"].append(int(grams[p].astype(np.int64)))
-                            out["slots"].append([{"at": q, "kind": int(kind[p + q]), "value": core[p + q]} for q in range(window) if kind[p + q]])
-                        done += len(grams)
-                        held = core[len(grams) :], h[len(grams) :], kind[len(grams) :]
-                    else:
-                        held = core, h, kind
-                out["total"] += [done] * (len(out["id"]) - len(out["total"]))
-            kinds = {"pos": pa.int32(), "slots": _SLOT, "total": pa.int32()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(n, pa.int64())) for n, v in out.items()], list(out))
+            rows: list[tuple] = []
+            words: list[str] = []
+            sizes: list[int] = []
+            for ident, key, text in zip(*batch.columns, strict=True):
+                own, row = text.as_py().split(), (ident.as_py(), key.as_py())
+                if len(own) > BLOCK:
+                    yield packed(list(long(row, own)))
+                    continue
+                rows.append(row)
+                words += own
+                sizes.append(len(own))
+                if len(words) >= BLOCK:
+                    yield packed(list(block(rows, words, sizes)))
+                    rows, words, sizes = [], [], []
+            if rows:
+                yield packed(list(block(rows, words, sizes)))
 
     return run
 
@@ -154,7 +195,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     least ``coverage`` of its windows.  ``key`` is ``xxhash64`` of the text;
     rows that agree in id and text share one result.  Null texts count as empty
     and match nothing; items shorter than a window can't be told from chance and
-    match nothing; repeated items each get their rows; null ids stay null; empty
+    match nothing; windows with fewer than three literal words are not counted;
+    repeated items each get their rows; null ids stay null; empty
     tables give an empty result; further columns are ignored.
     """
     items = _keyed(benchmark, item_id, item_text).mapInArrow(_window_rows(window, None), WINDOW_SCHEMA)
