@@ -105,7 +105,8 @@ def encode_ids(
     def finish(x: Column) -> Column:
         unknown = F.size(F.filter(x, lambda i: i == UNK))
         if names is not None:
-            unknown = unknown - F.size(F.filter(names, lambda m: m == "N" * k))
+            runs = F.size(F.filter(names, lambda m: m == "N" * k))
+            unknown = unknown - F.when(F.contains(s, F.lit("N" * k)), runs).otherwise(0)
         too_many = unknown > (F.size(x) * F.lit(float(max_unknown))).cast("int")
         body = F.when((F.size(x) == 0) | too_many, ints()).otherwise(x)
         too_long = F.raise_error(F.concat(F.lit("The expected sequence is longer than the limit of tokens: "), (F.size(x) + 2).cast("string")))

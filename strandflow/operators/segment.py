@@ -55,12 +55,30 @@ def segment_sequences(sequences: DataFrame, params: dict | None = None, *, stric
     if strict_key and not is_valid_primary_key(sequences, "sequence_id"):
         raise ValueError("The column sequence_id is not a valid primary key")
     if p["type"] == "contiguous":
-        cut = contiguous(sequences, p["min_length"], p["max_length"])
-        order = F.col("segment_start")
-    else:
-        cut = sampled(sequences, p["min_length"], p["max_length"], p["coverage"], p.get("seed", 42))
-        order = F.struct("segment_start", "place")
-    return number_segments(cut, order)
+        return numbered_contiguous(sequences, p["min_length"], p["max_length"])
+    cut = sampled(sequences, p["min_length"], p["max_length"], p["coverage"], p.get("seed", 42))
+    return number_segments(cut, F.struct("segment_start", "place"))
+
+
+def numbered_contiguous(sequences: DataFrame, min_length: int, max_length: int) -> DataFrame:
+    """Contiguous segments with their ids: a sequence's count follows from its length, so only sequences are numbered.
+
+    Their one shuffle is the running total's; segments are cut after it.
+    """
+    size = F.length("sequence").cast("long")
+    whole = F.floor(size / max_length).cast("long") if max_length >= min_length else F.lit(0).cast("long")
+    count = whole + (size % max_length >= max(1, min_length)).cast("long")
+    counted = cumulative(sequences.select("sequence_id", "sequence", F.coalesce(count, F.lit(0)).alias("_n")), "sequence_id", "_n", "_upto").where("_n > 0")
+    starts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.struct(i.alias("i"), (i * max_length).cast("int").alias("start")))
+    cut = counted.select("sequence_id", "sequence", (F.col("_upto") - F.col("_n")).alias("_before"), F.explode(starts).alias("s"))
+    end = F.least(F.col("s.start") + max_length, F.length("sequence"))
+    return cut.select(
+        (F.col("_before") + F.col("s.i")).cast("long").alias("segment_id"),
+        "sequence_id",
+        F.col("s.start").alias("segment_start"),
+        end.alias("segment_end"),
+        F.substring("sequence", F.col("s.start") + 1, end - F.col("s.start")).alias("segment"),
+    )
 
 
 def number_segments(cut: DataFrame, order: Column) -> DataFrame:
