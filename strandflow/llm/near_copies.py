@@ -94,8 +94,8 @@ def _verified_forest(radius: int, similarity: float):
             return min(len(a[2]), len(b[2])) >= similarity * max(len(a[2]), len(b[2])) and _jaccard(a[2], b[2]) >= similarity
 
         def within() -> Iterator[tuple[int, int]]:
-            for at in range(0, len(tree.values), 256):
-                q, n = tree.search(tree.values[at : at + 256], radius)
+            for at in range(0, len(tree.values), 64):
+                q, n = tree.search(tree.values[at : at + 64], radius)
                 for x, y in zip((q + at).tolist(), n.tolist()):
                     if x < y:
                         continue
@@ -151,8 +151,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stage(rows.mapInArrow(_sketch_rows(shingle), "id long, key long, node long, fp long, bands array<long>, shingles binary"), "copies-sketches")
     each = rows.select("node", "fp", F.explode("bands").alias("band")).distinct()
     sizes = each.groupBy("band").count().where("count > 1").select("band", F.ceil(F.col("count") / tree_nodes).cast("int").alias("trees"))
-    asked = each.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), "trees").cast("int"))
-    # a pair of documents meets in the first of its bands only by chance of order; all bands are searched
+    asked = each.join(stage(sizes, "copies-shards"), "band").withColumn("own", F.pmod(F.xxhash64("node"), "trees").cast("int"))
     sets = rows.select("node", "shingles").groupBy("node").agg(F.first("shingles").alias("shingles"))
     asked = asked.join(sets, "node").select("band", F.explode(F.sequence(F.lit(0), "own")).alias("tree"), "node", "fp", "own", "shingles")
     asked = asked.select("band", "tree", "node", "fp", (F.col("tree") == F.col("own")).alias("mine"), "shingles")
@@ -161,7 +160,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("key").alias("key"))
     named = rows.select("id", "key", "node").join(roots, "node", "left").select("id", "key", F.coalesce("root", "node").alias("root"))
     named = stage(named, "copies-groups")
-    heads = named.groupBy("root").agg(F.min(place).alias("head"))
+    heads = stage(named.groupBy("root").agg(F.min(place).alias("head")), "copies-heads")
     out = named.join(heads, "root")
     return out.select("id", "key", F.col("head.id").alias("group"), (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))).alias("kept"))
 

@@ -28,6 +28,8 @@ from .components import connected
 RADIUS = 2
 #: Nodes of one BK-tree at most, on average; larger shards become several trees.
 TREE_NODES = 4096
+#: Edges of a tree tried at once.
+EDGES = 1 << 18
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 16
 
@@ -83,18 +85,24 @@ class BKTree:
         """Index pairs (query, node) at a distance of ``radius`` or less."""
         if not len(self.values):
             return np.empty(0, np.int64), np.empty(0, np.int64)
+        step = max(1, EDGES // (2 * radius + 1))  # a dense tree sends many pairs down at once; their edges are tried in slices
+        reach = np.arange(-radius, radius + 1, dtype=np.int16)
         q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
         found_q, found_node = [], []
         while len(q):
-            distance = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
-            hit = distance <= radius
-            found_q.append(q[hit])
-            found_node.append(node[hit])
-            edges = distance[:, None] + np.arange(-radius, radius + 1)
-            inside = (edges >= 1) & (edges <= 64)
-            to = np.where(inside, self.child[node[:, None], np.clip(edges, 0, 64)], -1)
-            row, col = np.nonzero(to >= 0)
-            q, node = q[row], to[row, col].astype(np.int64)
+            next_q, next_node = [], []
+            for at in range(0, len(q), step):
+                qs, nodes = q[at : at + step], node[at : at + step]
+                distance = np.bitwise_count(queries[qs] ^ self.values[nodes]).astype(np.int16)
+                hit = distance <= radius
+                found_q.append(qs[hit])
+                found_node.append(nodes[hit])
+                edges = distance[:, None] + reach
+                to = np.where((edges >= 1) & (edges <= 64), self.child[nodes[:, None], np.clip(edges, 0, 64)], -1)
+                row, col = np.nonzero(to >= 0)
+                next_q.append(qs[row])
+                next_node.append(to[row, col].astype(np.int64))
+            q, node = np.concatenate(next_q), np.concatenate(next_node)
         return np.concatenate(found_q), np.concatenate(found_node)
 
 
@@ -174,7 +182,8 @@ def forest_edges(prints: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE
     keys = F.array(*[F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit(m)) * n + i if m.bit_length() < 60 else F.col("fp") for i, m in enumerate(masks)])
     dealt = prints.select("fp", F.explode(keys).alias("key"))
     sizes = dealt.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / tree_nodes).cast("int").alias("trees"))
-    rows = dealt.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp"), "trees").cast("int"))
+    # written first, so that both sides of the join are plain exchanges and a hot key is split
+    rows = dealt.join(stage(sizes, "simhash-shards"), "key").withColumn("own", F.pmod(F.xxhash64("fp"), "trees").cast("int"))
     rows = rows.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("tree"), "fp", "own")
     rows = rows.select("key", F.col("tree").cast("long"), "fp", (F.col("tree") == F.col("own")).cast("int").alias("node"))
     spread = rows.repartition(shuffle_partitions(prints.sparkSession), "key", "tree").sortWithinPartitions("key", "tree", F.desc("node"))
@@ -194,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected(forest_edges(distinct.select("fp"), radius, tree_nodes))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stage(named, "simhash-roots")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = stage(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
     labels = named.join(ids, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
