@@ -38,7 +38,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: Pieces of up to so many bytes are encoded in one window and remembered.
 WHOLE_PIECE = 256
 #: Remembered pieces of one worker at most; then it starts anew.
-MEMORY = 400_000
+MEMORY = 250_000
 #: Characters split into pieces at a time.
 CHUNK = 1 << 16
 #: Bytes a long piece's window advances by, beside the lookahead.

@@ -31,7 +31,7 @@ SIFT_WINDOWS = 1_000_000
 #: Words handled at once: of several texts, or of a part of a long one.
 BLOCK = 1 << 17
 #: Words remembered by one worker at most; then it starts anew.
-MEMORY = 500_000
+MEMORY = 300_000
 
 # Words that are units after a number.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hour hours day days week weeks year years minute minutes second seconds meter meters metre metres kilometer kilometers mile miles gram grams kilogram kilograms pound pounds dollar dollars euro euros cent cents percent liter liters litre litres degree degrees".split())
