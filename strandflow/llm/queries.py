@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_collapse": chat.ORACLE}
+    return {"op1_chat_collapse": chat.ORACLE, "op6_substring_dedup": substrings.ORACLE}

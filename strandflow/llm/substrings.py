@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop_staged, stage
 
 WINDOW = 35
 #: Words hashed together for an anchor; windows have WINDOW - K + 1 such hashes.
@@ -155,9 +155,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     keyed = _keyed(docs, id_col, text_col).select("id", "key", "text")
     seeds = stage(keyed.mapInArrow(_seed_rows(window, k), "id long, key long, seeds array<long>"), "repeat-seeds")
     each = seeds.select("id", "key", F.explode("seeds").alias("anchor"))
-    twice = each.groupBy("anchor").count().where("count > 1").select("anchor")
+    # counts are written before they are joined, so that both sides of a join are plain exchanges and hot keys are split
+    twice = stage(each.groupBy("anchor").count().where("count > 1").select("anchor"), "repeat-anchors")
     wanted = each.join(twice, "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("wanted"))
     runs = stage(keyed.join(wanted, ["id", "key"]).mapInArrow(_run_rows(window, k), RUN_SCHEMA), "repeat-runs")
+    for done in (seeds, twice):  # the runs are written, nothing reads these again
+        drop_staged(done)
 
     same = ["anchor", "back", "length", "whole"]
     classes = runs.groupBy(*same).agg(F.count("*").alias("n"), F.first(F.struct("id", "key", "first", "windows")).alias("one"))
@@ -165,10 +168,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     shared = runs.join(classes.where("n > 1").select(*same), same).select("id", "key", "first", (F.col("first") + F.col("length") + (window - 2)).alias("last"))
 
     lone = classes.where("n = 1")
-    near = classes.join(lone.select("anchor").distinct(), "anchor", "left_semi")
+    near = classes.join(stage(lone.select("anchor").distinct(), "repeat-open"), "anchor", "left_semi")
     place = [F.posexplode("windows").alias("nth", "hash")]
     offset = (F.col("back") - F.col("nth")).alias("offset")
     counted = near.select("anchor", "back", "n", *place).select("anchor", offset, "hash", "n").groupBy("anchor", "offset", "hash").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "offset", "hash")
+    counted = stage(counted, "repeat-windows")
     single = lone.select("anchor", "back", "id", "key", "first", *place).select("anchor", offset, "hash", "id", "key", (F.col("first") + F.col("nth")).alias("first"))
     single = single.join(counted, ["anchor", "offset", "hash"]).select("id", "key", "first", (F.col("first") + (window - 1)).alias("last"))
     return shared.unionByName(single)
@@ -189,3 +193,15 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = repeats(docs, id_col, text_col, window, k).groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
     rows = _keyed(docs, id_col, text_col).join(marks, ["id", "key"], "left").select("doc_id", "text", "marks")
     return rows.mapInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept string")
+
+
+#: DuckDB SQL for the query: all windows are compared as texts, without anchors.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM win JOIN rep ON rep.h = win.h, (SELECT unnest(range(0, 35)) AS o)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+left_ AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) FILTER (gone.p IS NULL) AS kept, count(gone.p) AS n FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY words.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN left_ ON left_.doc_id = d.doc_id
+"""
