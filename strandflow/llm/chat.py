@@ -21,7 +21,7 @@ _NONE = -(1 << 63)
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """``turns`` as ``(conv, pos, role, text, p1, p2)``: place from 1 and the rolling hash up to it."""
+    """``turns`` as ``(conv, n, pos, role, text, p1, p2)``: of n turns the place from 1 and the rolling hash up to it."""
     base = turns.select(
         F.coalesce(F.col("conv_id").cast("long"), F.lit(_NONE)).alias("conv"),
         F.col("turn").cast("long").alias("turn"),
@@ -31,7 +31,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     )
     sizes = base.groupBy("conv", "block").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("conv", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    starts = sizes.select("conv", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy("conv")).alias("n"))
     order = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     placed = base.join(starts, ["conv", "block"]).withColumn("pos", F.col("start") + F.row_number().over(order))
     placed = placed.withColumns({f"h{i}": F.xxhash64(F.lit(i), "pos", "role", "text") for i in (1, 2)})
@@ -39,7 +39,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     ends = sums.select("conv", "block", *[F.coalesce(F.bit_xor(f"s{i}").over(ahead), F.lit(0)).alias(f"e{i}") for i in (1, 2)])
     upto = Window.partitionBy("conv", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rolled = placed.join(ends, ["conv", "block"])
-    return rolled.select("conv", "pos", "role", "text", *[F.bit_xor(f"h{i}").over(upto).bitwiseXOR(F.col(f"e{i}")).alias(f"p{i}") for i in (1, 2)])
+    return rolled.select("conv", "n", "pos", "role", "text", *[F.bit_xor(f"h{i}").over(upto).bitwiseXOR(F.col(f"e{i}")).alias(f"p{i}") for i in (1, 2)])
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
@@ -53,9 +53,9 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     columns are ignored.
     """
     rolled = prefix_hashes(turns)
-    sizes = rolled.groupBy("conv").agg(F.max("pos").alias("n"), F.max_by("p1", "pos").alias("w1"), F.max_by("p2", "pos").alias("w2"))
-    unique = sizes.groupBy("n", "w1", "w2").agg(F.min("conv").alias("conv"), F.count("*").alias("n_logged"))
-    inner = rolled.join(sizes.select("conv", "n"), "conv").where("pos < n").select(F.col("pos").alias("n"), F.col("p1").alias("w1"), F.col("p2").alias("w2")).distinct()
+    whole = rolled.where("pos = n").select("conv", "n", F.col("p1").alias("w1"), F.col("p2").alias("w2"))
+    unique = whole.groupBy("n", "w1", "w2").agg(F.min("conv").alias("conv"), F.count("*").alias("n_logged"))
+    inner = rolled.where("pos < n").select(F.col("pos").alias("n"), F.col("p1").alias("w1"), F.col("p2").alias("w2")).distinct()
     kept = unique.join(inner, ["n", "w1", "w2"], "left_anti").select("conv", F.col("n").alias("n_turns"), "n_logged")
     line = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
     said = rolled.select("conv", "pos", line.alias("line")).join(kept, "conv")

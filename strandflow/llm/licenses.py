@@ -64,6 +64,7 @@ def match_segments(segments: DataFrame, threshold: float = THRESHOLD) -> DataFra
     total = segments.agg((F.coalesce(F.sum("n"), F.lit(0)) + len(TEMPLATES)).alias("total"))
     df = terms.select("term", "n").unionByName(wanted.select("term", "license").distinct().select("term", F.lit(1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
     idf = df.crossJoin(F.broadcast(total)).select("term", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row of totals
+    idf = stage(idf, "license-terms")  # a plain exchange in the joins below, so that a hot term is split
     a = terms.join(idf, "term").select("seg", "term", (F.col("tf") * F.col("idf")).alias("w"))
     b = wanted.join(idf, "term").select("license", F.col("seg").alias("template"), "term", (F.col("tf") * F.col("idf")).alias("v"))
     length_a, length_b = a.groupBy("seg").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("na")), b.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nb"))
