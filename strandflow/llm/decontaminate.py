@@ -1,12 +1,16 @@
 """Operator 4: benchmark decontamination by template windows.
 
-Words are canonicalised to template tokens: numbers, names (title-case words
-within a sentence) and units after a number become typed placeholders, other
-words are lower-cased and stripped of signs.  Windows of template tokens are
-hash-joined with the benchmark's, and along each diagonal (document place less
-item place) the slots' values must map the item's values to the document's as a
-function.  That finds items copied whole and items asked again with other
-numbers or names.
+Words are lower-cased and stripped of signs.  In an item numbers, units after a
+number and names become typed slots, other words stay literal; windows of five
+words are hash-joined with the documents' windows that have the same literal
+words and words of the right kinds in the slots.  Along each diagonal (document
+place less item place) the slots' values must map the item's values to the
+document's as a function.  That finds items copied whole and items asked again
+with other numbers or names.
+
+What is a name can't be told from one word, so an item is read in up to three
+ways, each with windows of its own (:data:`READINGS`).  A document gives an item
+away if it does so by one of them.
 """
 
 from __future__ import annotations
@@ -20,8 +24,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .substrings import ngram_hashes
-
 WINDOW = 5
 COVERAGE = 0.8
 #: Words of a window that must not be placeholders.
@@ -37,7 +39,12 @@ MEMORY = 300_000
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hour hours day days week weeks year years minute minutes second seconds meter meters metre metres kilometer kilometers mile miles gram grams kilogram kilograms pound pounds dollar dollars euro euros cent cents percent liter liters litre litres degree degrees".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*(%|[a-zA-Z]{1,3})?")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
+#: Words that are no names though they open a sentence in title case.
+OPENERS = frozenset("a about after all also although an and another any are as at because before both but by can could did do does during each either every few first for from had has have he her here his how i if in is it its last let many may more most my neither next no not now of on once one only or our out over second she should since so some such than that the their then there these they this those though through to two under until up was we well were what when where whether which while who whom whose why will with would yet you your".split())
+#: Kinds of words; a document's word may be of several, an item's slot is of one.
+NUMBER, NAME, UNIT = 1, 2, 4
+#: Ways to read an item: names within sentences; names at their starts as well; names as literal words.
+READINGS = ("inner names", "all names", "literal names")
 
 
 def _digest(token: str) -> int:
@@ -50,7 +57,7 @@ class Canon(dict):
     def __init__(self) -> None:
         self.core: list[str] = []
         self.literal = np.zeros(1 << 16, np.uint64)
-        self.fact = np.zeros((5, 1 << 16), bool)  # kept, number, name-like, ends a sentence, unit
+        self.fact = np.zeros((6, 1 << 16), bool)  # kept, number, name-like, ends a sentence, unit, capitalised
 
     def __missing__(self, word: str) -> int:
         core = word if word.isalnum() else _EDGE.sub("", word)
@@ -62,46 +69,104 @@ class Canon(dict):
         self.core.append(low)
         self.literal[i] = _digest(low)
         plain = core.isalpha()
-        self.fact[:, i] = bool(core), not plain and bool(_NUMBER.fullmatch(core)), len(core) > 1 and core[0].isupper() and core[1:].islower(), word[-1] in ".!?:;", plain and low in UNITS
+        title = len(core) > 1 and core[0].isupper() and core[1:].islower()
+        self.fact[:, i] = bool(core), not plain and bool(_NUMBER.fullmatch(core)), title, word[-1] in ".!?:;", plain and low in UNITS, title or len(core) > 1 and core.isupper()
         return i
 
     def tokens(self, words: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the kept words: which they are, their rows, template hashes and kinds (0 literal, 1 number, 2 name, 3 unit).
+        """Of the kept words: which they are, their rows, and whether they are numbers and units after a number.
 
-        ``starts`` are the places where texts begin; a sentence begins there too.
+        ``starts`` are the places where texts begin.
         """
         if len(self) > MEMORY:
             self.clear()
             self.__init__()
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        kept, number, name, ends, unit = (f[ids] for f in self.fact)
-        after_stop = np.concatenate(([True], ends[:-1])) if len(ids) else ends
-        after_stop[starts[starts < len(ids)]] = True
-        kind = np.where(number, 1, np.where(name & ~after_stop, 2, 0)).astype(np.int8)
-        at = np.flatnonzero(kept)
-        first = np.zeros(len(ids) + 1, bool)
+        at = np.flatnonzero(self.fact[0][ids])
+        first = np.zeros(len(words) + 1, bool)
         first[starts] = True
         opens = np.diff(np.concatenate(([0], np.cumsum(first[:-1])[at]))) > 0  # a kept word that is the first of its text
-        ids, kind, unit = ids[at], kind[at], unit[at]
-        if len(ids) > 1:
-            kind[1:][unit[1:] & (kind[:-1] == 1) & ~opens[1:]] = 3
-        fixed = np.array([0, _digest(NUM), _digest(NAME), _digest(UNIT)], np.uint64)
-        return at, ids, np.where(kind == 0, self.literal[ids], fixed[kind]), kind
+        ids = ids[at]
+        number, unit = self.fact[1][ids], self.fact[4][ids]
+        unit[:1] = False
+        unit[1:] &= number[:-1] & ~opens[1:]
+        return at, ids, number, unit
+
+    def readings(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """An item's kept words, and for each of :data:`READINGS` their kinds (0: literal)."""
+        at, ids, number, unit = self.tokens(words, np.array([0]))
+        ends = np.fromiter((w[-1] in ".!?:;" for w in words), bool, len(words))
+        opening = np.concatenate(([True], ends[:-1]))[at]
+        title = self.fact[2][ids] & ~number & ~unit
+        inner = title & ~opening
+        known = {self.core[i] for i in ids[inner].tolist()}
+        named = title & np.fromiter((self.core[i] in known or self.core[i] not in OPENERS for i in ids.tolist()), bool, len(ids))
+        typed = np.where(number, NUMBER, np.where(unit, UNIT, 0)).astype(np.int8)
+        return ids, [np.where(inner, NAME, typed), np.where(named, NAME, typed), typed]
+
+
+def _places(window: int) -> np.ndarray:
+    """Odd factors, one for each place of a window; a window's hash is a sum, so that slots are left out at no cost."""
+    return np.array([_digest(f"place {q}") | 1 for q in range(window)], np.uint64)
 
 
-def _windows(hashes: np.ndarray, kind: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window hashes, and which have enough literal words."""
-    h = ngram_hashes(hashes, window, 500)
-    count = np.concatenate(([0], np.cumsum(kind == 0)))
-    return h, count[window:] - count[:-window] >= min(LITERALS, window)
+def _salt(pattern: bytes) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(pattern, 4))
 
 
-WINDOW_SCHEMA = "id long, key long, pos int, hash long, slots array<struct<at:int,kind:int,value:string>>, total int"
+ITEM_SCHEMA = "id long, key long, reading int, pos int, hash long, pattern binary, slots array<struct<at:int,kind:int,value:string>>, total int"
+WINDOW_SCHEMA = "id long, key long, pos int, hash long, slots array<struct<at:int,kind:int,value:string>>"
 _SLOT = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("value", pa.string())]))
 
 
-def _window_rows(window: int, wanted: np.ndarray | None):
-    """``(id, key, text)`` to rows of their template windows, sifted by the sorted hashes ``wanted`` if given.
+def _slots(pattern: bytes, core, p: int) -> list[dict]:
+    return [{"at": q, "kind": k, "value": core(p + q)} for q, k in enumerate(pattern) if k]
+
+
+def _packed(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _item_rows(window: int):
+    """``(id, key, text)`` of items to rows of their windows in each reading that differs from those before."""
+    place, least = _places(window), min(LITERALS, window)
+
+    def of(canon: Canon, words: list[str]) -> Iterator[tuple]:
+        ids, readings = canon.readings(words)
+        n = len(ids) - window + 1
+        if n < 1:
+            return
+        seen: list[np.ndarray] = []
+        for reading, kind in enumerate(readings):
+            if any(np.array_equal(kind, k) for k in seen):
+                continue
+            seen.append(kind)
+            literal = np.concatenate(([0], np.cumsum(kind == 0)))
+            fit = np.flatnonzero(literal[window:] - literal[:-window] >= least)
+            # few windows may be met by chance
+            if reading and 2 * len(fit) < n:
+                continue
+            part = np.where(kind == 0, canon.literal[ids], np.uint64(0))
+            for p in fit.tolist():
+                pattern = kind[p : p + window].astype(np.uint8).tobytes()
+                h = (part[p : p + window] * place).sum(dtype=np.uint64) + _salt(pattern)
+                yield reading, p, int(h.astype(np.int64)), pattern, _slots(pattern, lambda j: canon.core[ids[j]], p), len(fit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon = Canon()
+        for batch in batches:
+            for ident, key, text in zip(*batch.columns, strict=True):
+                words = text.as_py().split()
+                if words:
+                    rows = [(ident.as_py(), key.as_py(), *x) for x in of(canon, words)]
+                    yield _packed(rows, ["id", "key", "reading", "pos", "hash", "pattern", "slots", "total"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), _SLOT, pa.int32()])
+
+    return run
+
+
+def _window_rows(window: int, patterns: list[bytes], wanted: np.ndarray | None):
+    """``(id, key, text)`` to rows of their windows that fit a pattern of slots, sifted by the sorted hashes ``wanted`` if given.
 
     Texts are gathered to blocks of words; a text longer than a block comes in
     parts, each with the last ``window - 1`` tokens of the part before.
@@ -110,57 +175,74 @@ def _window_rows(window: int, wanted: np.ndarray | None):
     if wanted is not None:
         bits = np.zeros(1 << 22, bool)
         bits[wanted >> np.uint64(42)] = True
+    place = _places(window)
+    # the rarer kinds first
+    asked = [(p, _salt(p), sorted(((q, k) for q, k in enumerate(p) if k), key=lambda x: x[1] == NAME), [q for q, k in enumerate(p) if not k]) for p in patterns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
 
-        def sifted(h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Window hashes, the windows to join, and which have enough literal words."""
-            grams, fit = _windows(h, kind, window)
-            some = np.flatnonzero(fit if bits is None else fit & bits[grams >> np.uint64(42)])
-            if bits is not None and len(some):
-                some = some[np.isin(grams[some], wanted)]
-            return grams, some, fit
-
-        def slots(kind: np.ndarray, core, p: int) -> list[dict]:
-            return [{"at": q, "kind": int(kind[p + q]), "value": core(p + q)} for q in range(window) if kind[p + q]]
+        def sifted(h: np.ndarray, has: dict[int, np.ndarray]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+            """For each pattern the windows to join and their hashes."""
+            n = len(h) - window + 1
+            parts = [h[q : q + n] * place[q] for q in range(window)]
+            where = {k: np.flatnonzero(x) for k, x in has.items()}
+            for pattern, salt, slots, literal in asked:
+                if slots:
+                    q, k = slots[0]
+                    some = where[k] - q
+                    some = some[(some >= 0) & (some < n)]
+                    for q, k in slots[1:]:
+                        some = some[has[k][some + q]]
+                else:
+                    some = np.arange(n)
+                if not len(some):
+                    continue
+                grams = np.full(len(some), salt)
+                for q in literal:
+                    grams += parts[q][some] if slots else parts[q]
+                if bits is not None:
+                    near = np.flatnonzero(bits[grams >> np.uint64(42)])
+                    near = near[np.isin(grams[near], wanted)]
+                    some, grams = some[near], grams[near]
+                yield pattern, some, grams
 
         def block(rows: list[tuple], words: list[str], sizes: list[int]) -> Iterator[tuple]:
             starts = np.cumsum([0, *sizes[:-1]])
-            at, ids, h, kind = canon.tokens(words, starts)
+            at, ids, number, unit = canon.tokens(words, starts)
             text = np.repeat(np.arange(len(sizes)), sizes)[at]
             begin = np.searchsorted(text, np.arange(len(sizes) + 1))
-            if len(h) < window:
+            if len(ids) < window:
                 return
-            grams, some, fit = sifted(h, kind)
-            whole = fit & (text[: len(grams)] == text[window - 1 :])
-            total = np.bincount(text[: len(grams)][whole], minlength=len(sizes))
-            for p in some[text[some] == text[some + window - 1]].tolist():
-                i = int(text[p])
-                yield *rows[i], p - int(begin[i]), int(grams[p].astype(np.int64)), slots(kind, lambda j: canon.core[ids[j]], p), int(total[i])
+            for pattern, some, grams in sifted(canon.literal[ids], {NUMBER: number, UNIT: unit, NAME: canon.fact[5][ids]}):
+                own = text[some] == text[some + window - 1]
+                for p, g in zip(some[own].tolist(), grams[own].view(np.int64).tolist()):
+                    i = int(text[p])
+                    yield *rows[i], p - int(begin[i]), g, _slots(pattern, lambda j: canon.core[ids[j]], p)
 
         def long(row: tuple, words: list[str]) -> Iterator[tuple]:
-            out, done, total = [], 0, 0
-            h, kind, core = np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, object)
+            done = 0
+            h, has, core = np.empty(0, np.uint64), {k: np.empty(0, bool) for k in (NUMBER, UNIT, NAME)}, np.empty(0, object)
             for at in range(0, len(words), BLOCK):
-                lead = min(at, 2)  # the words before tell whether a sentence has ended or a number stands there
-                where, ids, h1, k1 = canon.tokens(words[at - lead : at + BLOCK], np.array([0]))
+                lead = min(at, 2)  # the words before tell whether a number stands there
+                where, ids, number, unit = canon.tokens(words[at - lead : at + BLOCK], np.array([0]))
                 new = where >= lead
-                h, kind = np.concatenate([h, h1[new]]), np.concatenate([kind, k1[new]])
-                core = np.concatenate([core, np.array([canon.core[j] if k else "" for j, k in zip(ids[new].tolist(), k1[new].tolist())], object)])
+                ids = ids[new]
+                h = np.concatenate([h, canon.literal[ids]])
+                for k, x in ((NUMBER, number[new]), (UNIT, unit[new]), (NAME, canon.fact[5][ids])):
+                    has[k] = np.concatenate([has[k], x])
+                core = np.concatenate([core, np.array([canon.core[j] for j in ids.tolist()], object)])
                 if len(h) < window:
                     continue
-                grams, some, fit = sifted(h, kind)
-                total += int(fit.sum())
-                out += [(*row, done + p, int(grams[p].astype(np.int64)), slots(kind, lambda j, core=core: core[j], p)) for p in some.tolist()]
-                done += len(grams)
-                h, kind, core = h[len(grams) :], kind[len(grams) :], core[len(grams) :]
-            return ((*x, total) for x in out)
+                for pattern, some, grams in sifted(h, has):
+                    for p, g in zip(some.tolist(), grams.view(np.int64).tolist()):
+                        yield *row, done + p, g, _slots(pattern, core.__getitem__, p)
+                past = len(h) - window + 1
+                done += past
+                h, core, has = h[past:], core[past:], {k: x[past:] for k, x in has.items()}
 
         def packed(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), _SLOT, pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "key", "pos", "hash", "slots", "total"])
+            return _packed(rows, ["id", "key", "pos", "hash", "slots"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), _SLOT])
 
         for batch in batches:
             rows: list[tuple] = []
@@ -191,32 +273,40 @@ def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """``(doc_id, key, item_id, windows, item_windows, coverage, slots_changed)`` for each item a document gives away.
 
-    An item is given away if windows on diagonals with consistent slots cover at
-    least ``coverage`` of its windows.  ``key`` is ``xxhash64`` of the text;
+    An item is given away if in one of its readings windows on diagonals with
+    consistent slots cover at least ``coverage`` of its windows; the figures are
+    those of the reading with the best coverage, then the fewest changes.  A
+    name may stand for any capitalised word; a text in lower case throughout
+    meets names only as they are.  ``key`` is ``xxhash64`` of the text;
     rows that agree in id and text share one result.  Null texts count as empty
     and match nothing; items shorter than a window can't be told from chance and
     match nothing; windows with fewer than three literal words are not counted;
     repeated items each get their rows; null ids stay null; empty
     tables give an empty result; further columns are ignored.
     """
-    items = _keyed(benchmark, item_id, item_text).mapInArrow(_window_rows(window, None), WINDOW_SCHEMA)
-    items = items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), F.col("total").alias("item_windows"))
+    items = _keyed(benchmark, item_id, item_text).mapInArrow(_item_rows(window), ITEM_SCHEMA)
+    items = items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "reading", F.col("pos").alias("item_pos"), "hash", "pattern", F.col("slots").alias("item_slots"), F.col("total").alias("item_windows"))
+    patterns = sorted(bytes(r["pattern"]) for r in items.select("pattern").distinct().collect())  # at most 106 for windows of five
     hashes = [r["hash"] for r in items.select("hash").distinct().limit(SIFT_WINDOWS + 1).collect()]
     small = len(hashes) <= SIFT_WINDOWS
-    found = _keyed(docs, id_col, text_col).mapInArrow(_window_rows(window, np.sort(np.array(hashes, np.int64).view(np.uint64)) if small else None), WINDOW_SCHEMA)
+    found = _keyed(docs, id_col, text_col).mapInArrow(_window_rows(window, patterns, np.sort(np.array(hashes, np.int64).view(np.uint64)) if small else None), WINDOW_SCHEMA)
     # broadcast only benchmarks known to be small
+    items = items.drop("pattern")
     hits = found.join(F.broadcast(items) if small and len(hashes) <= 50_000 else items, "hash")
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("item"), b["value"].alias("doc")))
-    by_diagonal = hits.withColumn("diagonal", F.col("pos") - F.col("item_pos")).groupBy("id", "key", "item_id", "item_key", "item_windows", "diagonal")
+    of = ("id", "key", "item_id", "item_key", "reading", "item_windows")
+    by_diagonal = hits.withColumn("diagonal", F.col("pos") - F.col("item_pos")).groupBy(*of, "diagonal")
     lines = by_diagonal.agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))  # both bounded by the item's length
     said = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["item"]))))
     lines = lines.where(said == F.size("pairs")).withColumn("changed", F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])))
     # a repeated item adds diagonals, not places: places are gathered as single rows
-    places = lines.select("id", "key", "item_id", "item_key", "item_windows", "changed", F.explode("places").alias("place"))
-    total = places.groupBy("id", "key", "item_id", "item_key", "item_windows", "place").agg(F.min("changed").alias("changed"))
-    total = total.groupBy("id", "key", "item_id", "item_key", "item_windows").agg(F.count("*").alias("windows"), F.max("changed").alias("slots_changed"))
+    places = lines.select(*of, "changed", F.explode("places").alias("place"))
+    total = places.groupBy(*of, "place").agg(F.min("changed").alias("changed"))
+    total = total.groupBy(*of).agg(F.count("*").alias("windows"), F.max("changed").alias("slots_changed"))
     total = total.withColumn("coverage", F.col("windows") / F.col("item_windows")).where(F.col("coverage") >= coverage)
-    return total.select(F.col("id").alias("doc_id"), "key", "item_id", "windows", F.col("item_windows").cast("long").alias("item_windows"), "coverage", F.col("slots_changed").cast("long").alias("slots_changed"))
+    best = F.struct("coverage", (-F.col("slots_changed")).alias("same"), "windows", "item_windows")
+    total = total.groupBy("id", "key", "item_id", "item_key").agg(F.max(best).alias("best"))
+    return total.select(F.col("id").alias("doc_id"), "key", "item_id", "best.windows", F.col("best.item_windows").cast("long").alias("item_windows"), "best.coverage", (-F.col("best.same")).cast("long").alias("slots_changed"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

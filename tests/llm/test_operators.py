@@ -207,6 +207,25 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(odd(spark), bench).count() == 0
 
 
+def test_names_anywhere_and_in_any_case(spark):
+    items = [
+        (0, "Tom has 3 apples. Tom buys 4 more apples from Ann. How many apples does Tom have?"),
+        (1, "Then Tom bought 5 apples for 3 dollars and gave Tom two more before Ann and Bert came again"),
+        (2, "Maria walks to the old mill every day. How many miles does she walk in 7 days?"),
+    ]
+    docs = [
+        (0, "Bob has 5 apples. Bob buys 9 more apples from Sue. How many apples does Bob have?"),
+        (1, items[1][1].lower()),
+        (2, items[1][1].upper()),
+        (3, items[1][1].lower().replace("5", "8")),
+        (4, "So. Peter walks to the old mill every day. How many miles does she walk in 9 days?"),
+        (5, "Bob has 5 apples. Ted buys 9 more apples from Sue. How many apples does Ann have?"),
+        (6, "They walk to the old mill every day. How many hours is that?"),
+    ]
+    got = decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 2)}
+
+
 def test_long_text_in_parts(spark, monkeypatch):
     rng = random.Random(2)
     item = " ".join(rng.choice(WORDS) for _ in range(30))
