@@ -8,9 +8,10 @@ place less item place) the slots' values must map the item's values to the
 document's as a function.  That finds items copied whole and items asked again
 with other numbers or names.
 
-What is a name can't be told from one word, so an item is read in up to three
+What is a name can't be told from one word, so an item is read in up to four
 ways, each with windows of its own (:data:`READINGS`).  A document gives an item
-away if it does so by one of them.
+away if it does so by one of them.  The last has no slots, so that a verbatim copy is found
+whatever its words are.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 OPENERS = frozenset("a about after all also although an and another any are as at because before both but by can could did do does during each either every few first for from had has have he her here his how i if in is it its last let many may more most my neither next no not now of on once one only or our out over second she should since so some such than that the their then there these they this those though through to two under until up was we well were what when where whether which while who whom whose why will with would yet you your".split())
 #: Kinds of words; a document's word may be of several, an item's slot is of one.
 NUMBER, NAME, UNIT = 1, 2, 4
-#: Ways to read an item: names within sentences; names at their starts as well; names as literal words.
-READINGS = ("inner names", "all names", "literal names")
+#: Ways to read an item: names within sentences; names at their starts as well; names as literal words; all words literal.
+READINGS = ("inner names", "all names", "literal names", "words")
 
 
 def _digest(token: str) -> int:
@@ -102,7 +103,7 @@ class Canon(dict):
         known = {self.core[i] for i in ids[inner].tolist()}
         named = title & np.fromiter((self.core[i] in known or self.core[i] not in OPENERS for i in ids.tolist()), bool, len(ids))
         typed = np.where(number, NUMBER, np.where(unit, UNIT, 0)).astype(np.int8)
-        return ids, [np.where(inner, NAME, typed), np.where(named, NAME, typed), typed]
+        return ids, [np.where(inner, NAME, typed), np.where(named, NAME, typed), typed, np.zeros(len(ids), np.int8)]
 
 
 def _places(window: int) -> np.ndarray:
@@ -280,7 +281,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     meets names only as they are.  ``key`` is ``xxhash64`` of the text;
     rows that agree in id and text share one result.  Null texts count as empty
     and match nothing; items shorter than a window can't be told from chance and
-    match nothing; windows with fewer than three literal words are not counted;
+    match nothing; windows with fewer than three literal words are not counted, so
+    an item that has only such is found by its words alone;
     repeated items each get their rows; null ids stay null; empty
     tables give an empty result; further columns are ignored.
     """

@@ -226,6 +226,13 @@ def test_names_anywhere_and_in_any_case(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 2)}
 
 
+def test_items_without_literal_words(spark):
+    items = [(0, "The Capital City Of France Is Paris And The Capital Of Spain Is Madrid"), (1, "12 + 7 = 19, 19 - 4 = 15, 15 * 2 = 30"), (2, "Paris Madrid 1900 Rome 2000")]
+    docs = [(0, f"noted here: {items[0][1]}. and so on"), (1, items[0][1].upper()), (2, f"sums. {items[1][1]} done"), (3, "sums. 12 + 8 = 20, 20 - 4 = 16, 16 * 2 = 32"), (4, f"a list. {items[2][1]}"), (5, "The Capital City Of Spain Is Madrid And The Capital Of Italy Is Rome")]
+    got = decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.coverage) for r in got.collect()} == {(0, 0, 1.0), (1, 0, 1.0), (2, 1, 1.0), (4, 2, 1.0)}
+
+
 def test_long_text_in_parts(spark, monkeypatch):
     rng = random.Random(2)
     item = " ".join(rng.choice(WORDS) for _ in range(30))
