@@ -159,8 +159,7 @@ def positions_tokens(spark, d):
 
 @query()
 def pretty_print(spark, d):
-    rows = C.segments(spark, d).where("segment_id < 50").withColumn("segment", F.substring("segment", 1, 40))
-    return rows.select("segment_id", S.pretty_overlap("segment", S.kmers("segment", 6, 2), 6, 2).alias("lines"))
+    return C.segments(spark, d).select("segment_id", S.pretty_overlap("segment", S.kmers("segment", 6, 2), 6, 2).alias("lines"))
 
 
 @query(

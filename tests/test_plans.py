@@ -1,7 +1,11 @@
-"""SQL functions and the preparation pipeline."""
+"""SQL functions, the preparation pipeline and a query without SQL."""
+
+import random
 
 from strandflow.functions import sql
+from strandflow.plans import catalog
 from strandflow.plans.preprocess import main
+from strandflow.plans.queries import QUERIES
 
 SEGMENT = "AATCAAGGAATTATTATCGTT"
 
@@ -20,3 +24,18 @@ def test_preprocess(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out/training_data")).collect()
     assert len(rows) == 8 and {len(r.input_ids) for r in rows} == {6} and sorted(r.torch_id for r in rows) == list(range(8))
     assert spark.read.parquet(str(tmp_path / "out/database")).count() == 4
+
+
+def test_pretty_print_whole_segments(spark, tmp_path):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (6, 45, 512, 700, 1300) * 14]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def printed(s):
+        kmers = [s[i : i + 6] for i in range(0, len(s) - 5, 2)]
+        return "\n".join(["    " + s, *(f"{n}.  " + "  " * n + "  ".join(kmers[n::4]) for n in range(4))])
+
+    want = {r.segment_id: printed(r.segment) for r in catalog.segments(spark, str(tmp_path)).collect()}
+    got = {r.segment_id: r.lines for r in QUERIES["q_pretty_print"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) > 100 and max(map(len, want.values())) > 2000
