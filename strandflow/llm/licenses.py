@@ -40,15 +40,27 @@ TEMPLATES = {
     "Proprietary": "Copyright. All rights reserved. Proprietary and confidential. Unauthorized copying is strictly prohibited",
 }
 
+#: SPDX header and the licence expression after it, in lower case.
+SPDX = r"spdx-license-identifier:\s*(\(*[a-z0-9.+-]+\)*(?:\s+(?:or|and|with)\s+\(*[a-z0-9.+-]+\)*)*)"
+#: SPDX identifiers of each template; the proprietary notice has none.
+IDENTIFIERS = {name: [name, f"{name}-only", f"{name}-or-later"] if "GPL" in name else [name] for name in TEMPLATES if name != "Proprietary"}
+TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+
+
+def _header(identifier: str) -> str:
+    return f"SPDX-License-Identifier: {identifier}".lower()
+
 
 def _sentences(spark: SparkSession) -> DataFrame:
-    """Templates and their sentences, since a header often quotes one sentence alone."""
-    rows = [(name, part) for name, text in TEMPLATES.items() for part in dict.fromkeys([text, *(p for p in text.split(". ") if len(p.split()) >= 4)])]
+    """Templates, their sentences, since a header often quotes one sentence alone, and their SPDX headers."""
+    rows = [(name, part) for name, text in TEMPLATES.items() for part in dict.fromkeys([text, *(p for p in text.split(". ") if len(p.split()) >= 4), *map(_header, IDENTIFIERS.get(name, []))])]
     return spark.createDataFrame(rows, "license string, segment string").withColumn("seg", F.xxhash64("license", "segment"))
 
 
 def _terms(rows: DataFrame, *keys: str) -> DataFrame:
-    words = F.expr(r"regexp_extract_all(lower(segment), '[a-z0-9]+(?:[.-][a-z0-9]+)*', 0)")
+    # an SPDX header and its identifier are one term, so that headers of other licences share none
+    joined = F.regexp_replace(F.lower("segment"), r"spdx-license-identifier:\s*", "spdx-license-identifier-")
+    words = F.regexp_extract_all(joined, F.lit(TERM), F.lit(0))
     return rows.select(*keys, F.explode(words).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
@@ -79,13 +91,18 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     """``(doc_id, path, license, cosine, origin, inherited_from)``, one row for each row of ``files``.
 
     ``origin`` is ``own``, ``inherited`` or ``none``; an inherited licence names
-    the directory it comes from.  Licence files are those named so.  A directory with several takes the best
+    the directory it comes from.  An SPDX header names its licence by identifier;
+    identifiers that no template has give none.  Licence files are those named so.  A directory with several takes the best
     cosine, then the last name.  Null texts hold no licence, null paths lie in
     the root and inherit from it only; repeated rows keep their rows; an empty
     table gives an empty result; further columns are ignored.
     """
     files = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(LINE))
+    # each identifier of an SPDX header is asked by itself as well, whatever else its line says
+    stated = F.flatten(F.transform(lines, lambda x: F.flatten(F.transform(F.regexp_extract_all(F.lower(x), F.lit(SPDX), F.lit(1)), lambda e: F.regexp_extract_all(e, F.lit(TERM), F.lit(0))))))
+    stated = F.filter(F.array_distinct(stated), lambda t: t.isin([i.lower() for ids in IDENTIFIERS.values() for i in ids]))
+    lines = F.concat(lines, F.transform(stated, lambda t: F.concat(F.lit(_header("")), t)))
     named = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
     asked = F.when(named, F.array_append(lines, F.col("text"))).otherwise(lines)
     folder = F.regexp_replace(F.regexp_replace(F.coalesce("path", F.lit("")), "^/+", ""), "/?[^/]*$", "")

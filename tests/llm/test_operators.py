@@ -101,6 +101,20 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_spdx_headers(spark):
+    ids = {i: name for name in licenses.TEMPLATES if name != "Proprietary" for i in ([name, f"{name}-only", f"{name}-or-later"] if "GPL" in name else [name])}
+    files = [(n, f"p{n}/x.c", f"/* SPDX-License-Identifier: {i} */\nint x;") for n, i in enumerate(ids)]
+    files += [
+        (100, "q/LICENSE", "Released under the MIT License."),
+        (101, "q/a.c", "// SPDX-License-Identifier: Apache-2.0"),
+        (102, "r/a.c", "// SPDX-License-Identifier: Zlib\n// mit"),
+        (103, "s/a.js", "/*! thing v1.2 by some people of a town with a long name, written in 2020 | spdx-license-identifier: (Zlib OR BSD-3-Clause) WITH x | more words that say nothing */"),
+    ]
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert {n: got[n] for n in range(len(ids))} == {n: (name, "own") for n, name in enumerate(ids.values())}
+    assert got[100][0] == "MIT" and got[101] == ("Apache-2.0", "own") and got[102] == (None, "none") and got[103] == ("BSD-3-Clause", "own")
+
+
 def test_license_cosine_is_tf_idf(spark):
     segs = [("mit license alpha", 3), ("apache license version 2.0 beta", 1)]
     df = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(segs)], "seg long, segment string, n long")
