@@ -18,36 +18,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a folder is made and
-    the setting is filled in, so later calls agree on it.
+    Where the session names none, a folder is made on one machine (tests) and
+    the setting is filled in, so later calls agree on it; a cluster without the
+    setting raises, since its executors share no folder of their own.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="strandflow-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs the tasks that were running,
     never the work that made ``df``, and values such as
-    ``monotonically_increasing_id`` are fixed from here on.
+    ``monotonically_increasing_id`` are fixed from here on.  The files go by
+    :func:`drop_staged`, at the latest when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _hadoop(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
 def drop_staged(df: DataFrame) -> None:
-    """Delete the files behind a staged table that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the folder behind a table that :func:`stage` returned and nothing will read again."""
+    files, where = _hadoop(df.sparkSession, df._staged_at)
+    files.delete(where, True)
+    files.cancelDeleteOnExit(where)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
