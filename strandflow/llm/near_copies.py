@@ -6,7 +6,9 @@ shingle hashes: documents of similarity 0.8 share one of six bands of two with
 probability 0.998 (more for closer ones).  Within a shard a BK-tree finds the
 fingerprints within :data:`RADIUS` bits, and each such pair that is not yet in
 one class is verified by the Jaccard similarity of the shingle sets.  A shard
-emits a spanning forest, never all pairs.
+emits a spanning forest, never all pairs.  A shard of more than
+:data:`TREE_NODES` documents is cut into blocks that meet in pairs, so no task
+holds more than two.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stage
 from .components import connected
-from .simhash import BLOCK, BKTree, union
+from .simhash import BLOCK, BKTree, block_pairs, union
 from .substrings import ngram_hashes, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -64,7 +66,7 @@ def _sketch_rows(shingle: int):
             rows = [sketch(s) for s in sets]
             flat = [b for r in rows for b in r[2]]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), signed(flat))
-            # 32 bits of each hash are enough to compare two documents' sets
+            # 32 bits of each hash: of sets of n shingles a share of about n / 2**32 is taken for equal by chance
             packed = pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed([r[0] for r in rows]), signed([r[1] for r in rows]), bands, packed], ["id", "key", "node", "fp", "bands", "shingles"])
 
@@ -77,7 +79,11 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verified_forest(radius: int, similarity: float):
-    """Sorted shard rows ``(band, tree, node, fp, own, shingles)`` to edges ``(a, b)`` of similar documents."""
+    """Sorted shard rows ``(band, part, block, node, fp, mine, shingles)`` to edges ``(a, b)`` of similar documents.
+
+    As in :mod:`.simhash`, a shard of one block is searched against itself and
+    any other is a tree of ``part`` asked by ``block``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, tree, label, nodes = None, [], None, None, []
@@ -108,33 +114,39 @@ def _verified_forest(radius: int, similarity: float):
 
         def across(row: tuple) -> Iterator[tuple[int, int]]:
             _, n = tree.search(np.array([row[1]], np.uint64), radius)
-            seen: set[int] = set()
+            first, seen = None, set()
             for j in (j for y in n.tolist() for j in nodes[y]):
                 if int(label[j]) not in seen and similar(row, held[j]):
-                    seen.add(int(label[j]))
+                    if first is None:
+                        first = j
+                    else:
+                        union(label, np.array([first]), np.array([j]))  # one document joins their classes
+                    seen = {int(label[first]), *seen}
                     yield row[0], held[j][0]
 
+        def ready() -> list[tuple[int, int]]:
+            if not held or tree is not None:
+                return []
+            grow()
+            return list(within()) if shard[1] == shard[2] else []
+
+        def packed(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for band, number, node, fp, own, packed in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if shard != (band, number):
-                    if held and tree is None:
-                        grow()
-                        out += within()
-                    shard, held, tree = (band, number), [], None
-                row = (node, fp & (1 << 64) - 1, np.frombuffer(packed, np.uint32))
-                if own:
+            for band, part, block, node, fp, mine, shingles in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if shard != (band, part, block):
+                    out += ready()
+                    shard, held, tree = (band, part, block), [], None
+                row = (node, fp & (1 << 64) - 1, np.frombuffer(shingles, np.uint32))
+                if mine:
                     held.append(row)
                 else:
-                    if tree is None:
-                        grow()
-                        out += within()
-                    out += across(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-        if held and tree is None:
-            grow()
-            out = list(within())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+                    out += ready()
+                    out += across(row) if tree is not None else []
+            yield packed(out)
+        yield packed(ready())
 
     return run
 
@@ -151,12 +163,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.encode(text, "UTF-8").alias("text"))
     rows = stage(rows.mapInArrow(_sketch_rows(shingle), "id long, key long, node long, fp long, bands array<long>, shingles binary"), "copies-sketches")
     each = rows.select("node", "fp", F.explode("bands").alias("band")).distinct()
-    sizes = each.groupBy("band").count().where("count > 1").select("band", F.ceil(F.col("count") / tree_nodes).cast("int").alias("trees"))
-    asked = each.join(stage(sizes, "copies-shards"), "band").withColumn("own", F.pmod(F.xxhash64("node"), "trees").cast("int"))
+    sizes = each.groupBy("band").count().where("count > 1").select("band", F.ceil(F.col("count") / tree_nodes).cast("int").alias("blocks"))
+    asked = each.join(stage(sizes, "copies-shards"), "band").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     sets = rows.select("node", "shingles").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    asked = asked.join(sets, "node").select("band", F.explode(F.sequence(F.lit(0), "own")).alias("tree"), "node", "fp", "own", "shingles")
-    asked = asked.select("band", "tree", "node", "fp", (F.col("tree") == F.col("own")).alias("mine"), "shingles")
-    spread = asked.repartition(shuffle_partitions(docs.sparkSession), "band", "tree").sortWithinPartitions("band", "tree", F.desc("mine"))
+    asked = block_pairs(asked.join(sets, "node"), "band node fp shingles", "own", "blocks").select("band", "part", "block", "node", "fp", "mine", "shingles")
+    spread = asked.repartition(shuffle_partitions(docs.sparkSession), "band", "part", "block").sortWithinPartitions("band", "part", "block", F.desc("mine"))
     roots = connected(spread.mapInArrow(_verified_forest(radius, similarity), "a long, b long"))
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("key").alias("key"))
     named = rows.select("id", "key", "node").join(roots, "node", "left").select("id", "key", F.coalesce("root", "node").alias("root"))

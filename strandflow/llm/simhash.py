@@ -9,12 +9,16 @@ the radius.  A shard emits a spanning forest of its links, never all pairs, and
 a star-contraction over those edges gives the components.
 
 Trees travel with the shuffle of their shard rather than through the driver:
-broadcasting every shard's tree would collect all fingerprints there.
+broadcasting every shard's tree would collect all fingerprints there (a node
+takes 268 bytes and lies in three shards: 0.1 GB for 0.5 GB of documents, and
+ever more with them).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, shuffle_partitions, stage
+from .common import shuffle_partitions, stage
 from .components import connected
 
 RADIUS = 2
-#: Nodes of one BK-tree at most, on average; larger shards become several trees.
+#: Nodes of one BK-tree at most, on average; larger shards are dealt again by their free bits.
 TREE_NODES = 4096
+#: Rows that a fingerprint may become by that.
+SPREAD = 81
 #: Edges of a tree tried at once.
 EDGES = 1 << 18
 #: Shingles whose bits are unpacked at once.
@@ -118,10 +124,14 @@ def union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _forest(radius: int):
-    """Rows of sorted shards (nodes before queries) to forest edges ``(a, b)``."""
+    """Rows ``(key, part, block, fp, mine)`` sorted by shard (nodes before queries) to forest edges ``(a, b)``.
+
+    A shard of ``part`` equal to ``block`` has nodes alone and is searched
+    against itself; in any other the queries of ``block`` ask the tree of ``part``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, nodes, tree, label, waiting = None, [], None, None, []
+        shard, nodes, tree, label = None, [], None, None
 
         def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
@@ -130,9 +140,10 @@ def _forest(radius: int):
             nonlocal tree, label
             tree = BKTree(np.concatenate(nodes) if nodes else np.empty(0, np.uint64))
             label = np.arange(len(tree.values))
-            for at in range(0, len(label), 512):
-                q, n = tree.search(tree.values[at : at + 512], radius)
-                union(label, q + at, n)
+            if shard[1] == shard[2]:
+                for at in range(0, len(label), 512):
+                    q, n = tree.search(tree.values[at : at + 512], radius)
+                    union(label, q + at, n)
 
         def ask(queries: np.ndarray):
             for at in range(0, len(queries), 512):
@@ -152,9 +163,9 @@ def _forest(radius: int):
                 yield out(tree.values[moved], tree.values[label[moved]])
 
         for batch in batches:
-            key = np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)])
-            fp = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            is_node = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            fp = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
+            is_node = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
             cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(fp)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
@@ -174,19 +185,61 @@ def _forest(radius: int):
     return run
 
 
+def block_pairs(rows: DataFrame, members: str, own: str, blocks: str) -> DataFrame:
+    """Rows of shards cut into ``blocks`` to the pairs of blocks they meet in: ``(part, block, mine)`` beside ``members``.
+
+    A row of block ``own`` is a node of every pair whose first block is its own
+    and a query of those whose second is: so a pair has two blocks at most, and
+    no shard is ever one task.
+    """
+    at = F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias("other")
+    met = rows.select(*members.split(), own, at)
+    least, most = F.least("other", own), F.greatest("other", own)
+    return met.select(*members.split(), least.cast("long").alias("part"), most.cast("long").alias("block"), (F.col(own) == least).cast("int").alias("mine"))
+
+
+def _cuts(free: int, n: int) -> list[int]:
+    """Masks that deal the free bits to ``n`` blocks of nearly equal width, lowest bits first."""
+    bits = [i for i in range(64) if free >> i & 1]
+    return [sum(1 << b for b in bits[i * len(bits) // n : (i + 1) * len(bits) // n]) for i in range(n)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def shards(prints: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """``(key, part, block, fp, mine)``: the distinct values of ``prints.fp`` in every shard that may link them.
+
+    Members of a shard share the bits of its block.  A shard of more than
+    ``tree_nodes`` members is dealt again by blocks of the bits that are still
+    free, which is exact for the same reason, and so on while that multiplies
+    rows by no more than :data:`SPREAD`.  What is larger even then is cut into
+    parts that meet in pairs.
+    """
+    n = radius + 1
+    levels = max(1, int(math.log(SPREAD, n) + 1e-9)) if n > 1 else 1
+    free, dealt, ready = [(1 << 64) - 1], prints.select("fp", F.lit(0).alias("path"), F.lit(0).cast("long").alias("key")), []
+    for level in range(levels):
+        masks = [m for f in free for m in _cuts(f, n)]
+        free = [f & ~m for f in free for m in _cuts(f, n)]
+        wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((F.col("path") * n + i).cast("int").alias("path"), F.xxhash64("key", F.col("path") * n + i, F.element_at(F.array(*[F.lit(_signed(m)) for m in masks]), (F.col("path") * n + i + 1).cast("int")).bitwiseAND(F.col("fp"))).alias("key")))
+        dealt = dealt.select("fp", F.explode(wanted).alias("to")).select("fp", "to.path", "to.key")
+        # written first, so that both sides of the join are plain exchanges and a hot key is split
+        sizes = stage(dealt.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / tree_nodes).cast("int").alias("blocks")), "simhash-shards")
+        placed = dealt.join(sizes, "key")
+        hot = level + 1 < levels and bool(sizes.where("blocks > 1").limit(1).count())
+        ready.append(placed.where("blocks = 1") if hot else placed)
+        if not hot:
+            break
+        dealt = stage(placed.where("blocks > 1").select("fp", "path", "key"), "simhash-hot")
+    rows = reduce(DataFrame.unionByName, ready).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    return block_pairs(rows, "key fp", "own", "blocks").select("key", "part", "block", "fp", "mine")
+
+
 def forest_edges(prints: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
     """Edges ``(a, b)`` that span the links among the distinct values of ``prints.fp``."""
-    n = radius + 1
-    width = -(-64 // n)
-    masks = [(1 << min(width, 64 - i * width)) - 1 for i in range(n)]
-    keys = F.array(*[F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit(m)) * n + i if m.bit_length() < 60 else F.col("fp") for i, m in enumerate(masks)])
-    dealt = prints.select("fp", F.explode(keys).alias("key"))
-    sizes = dealt.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / tree_nodes).cast("int").alias("trees"))
-    # written first, so that both sides of the join are plain exchanges and a hot key is split
-    rows = dealt.join(stage(sizes, "simhash-shards"), "key").withColumn("own", F.pmod(F.xxhash64("fp"), "trees").cast("int"))
-    rows = rows.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("tree"), "fp", "own")
-    rows = rows.select("key", F.col("tree").cast("long"), "fp", (F.col("tree") == F.col("own")).cast("int").alias("node"))
-    spread = rows.repartition(shuffle_partitions(prints.sparkSession), "key", "tree").sortWithinPartitions("key", "tree", F.desc("node"))
+    spread = shards(prints, radius, tree_nodes).repartition(shuffle_partitions(prints.sparkSession), "key", "part", "block").sortWithinPartitions("key", "part", "block", F.desc("mine"))
     return spread.mapInArrow(_forest(radius), "a long, b long")
 
 
@@ -208,4 +261,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-__all__ = ["BKTree", "drop_staged", "fingerprint", "forest_edges", "near_duplicates", "union", "with_fingerprint"]
+__all__ = ["BKTree", "block_pairs", "fingerprint", "forest_edges", "near_duplicates", "union", "with_fingerprint"]

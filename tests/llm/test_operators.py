@@ -511,3 +511,74 @@ def test_communication_matrix(spark):
     assert columns.max() - columns.min() <= 1
     seeds = [sharding.communication_matrix(counts, 5, s).where("block = 0").first().row[0] for s in range(12)]
     assert len(set(seeds)) > 3 and 14 < np.mean(seeds) < 26
+
+
+# Hot shards
+
+
+@pytest.mark.parametrize("nodes", [256, 40])
+def test_hot_bit_block(spark, nodes):
+    """Thousands of fingerprints that share a third of their bits, some of them near each other."""
+    rng = np.random.default_rng(nodes)
+    values = (rng.integers(0, 1 << 42, 3000).astype(np.uint64) << np.uint64(22)) | np.uint64(12345)
+    near = values[:300] ^ (np.uint64(1) << rng.integers(22, 64, 300).astype(np.uint64))
+    dense = np.uint64(0xABC0000000012345) ^ (rng.integers(0, 1 << 10, 400).astype(np.uint64) << np.uint64(40))
+    values = np.unique(np.concatenate([values, near, near[:100] ^ np.uint64(1 << 63), dense]))
+    prints = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    sizes = simhash.shards(prints, 2, nodes).groupBy("key", "part", "block").agg(F.count("*").alias("n"), F.sum("mine").alias("mine")).collect()
+    assert max(r.n for r in sizes) <= 2.5 * nodes and max(r.mine for r in sizes) <= 1.5 * nodes
+    links = []
+    for i in range(len(values)):
+        links += [(i, i + 1 + int(j)) for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= 2)]
+    at = {int(v): i for i, v in enumerate(values.view(np.int64))}
+    edges = simhash.forest_edges(prints, 2, nodes).collect()
+    assert groups([(at[e.a], at[e.b]) for e in edges], range(len(values))) == groups(links, range(len(values)))
+
+
+@pytest.mark.parametrize("nodes", [2048, 5])
+def test_near_copies_of_one_template(spark, nodes):
+    """Copies of a form that differ in a word or two: all share bands, links cross blocks."""
+    rng = random.Random(nodes)
+    form = [rng.choice(WORDS) for _ in range(200)]
+    rows = []
+    for i in range(40):
+        words = list(form)
+        for _ in range(rng.randint(1, 2)):
+            words[rng.randrange(200)] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(rng.choice(WORDS) for _ in range(120))) for i in range(20)]
+    sets = {i: {tuple(t.split()[s : s + 5]) for s in range(len(t.split()) - 4)} for i, t in rows}
+    want = groups([(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], sets)
+    got = near_copies.near_copies(frame(spark, rows), tree_nodes=nodes).collect()
+    assert {r.id: r.group for r in got} == want
+
+
+@pytest.mark.parametrize("rows,parts", [(0, 3), (1, 5), (10, 4), (23, 2), (60, 40), (200, 40)])
+def test_few_rows_into_shards(spark, rows, parts):
+    df = spark.range(rows).repartition(parts).withColumns({"block": F.lit(1), "row": F.lit("x"), "n": F.lit(None).cast("int")})
+    got = sharding.shuffle_into_shards(df, 24).collect()
+    sizes = Counter(r.shard for r in got)
+    assert sorted((r.id, r.block, r.row) for r in got) == [(i, 1, "x") for i in range(rows)]
+    assert all(sizes[s] == rows // 24 + (s < rows % 24) for s in range(24))
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
+
+
+def test_bins_by_bytes(spark):
+    df = spark.range(400).withColumn("text", F.repeat(F.lit("t"), 5000)).withColumn("slot", F.lit(7))
+    got = sharding.shuffle_into_shards(df, 3, bytes_per_task=50_000, slot_col="place").collect()
+    assert {r.slot for r in got} == {7} and all(sorted(r.place for r in got if r.shard == s) == list(range(n)) for s, n in Counter(r.shard for r in got).items())
+
+
+def test_hypergeometric_at_every_small_size(spark):
+    cases = spark.range(7).selectExpr("id as total").selectExpr("total", "explode(sequence(0L, total)) as marked").selectExpr("*", "explode(sequence(0L, total)) as drawn").selectExpr("*", "explode(array(0.0001d, 0.3d, 0.5d, 0.9d, 0.9999d)) as u")
+    for r in cases.select("*", F.expr(sharding.hypergeometric("marked", "total", "drawn", "u")).alias("x")).collect():
+        assert max(0, r.marked + r.drawn - r.total) <= r.x <= min(r.marked, r.drawn)
+
+
+def test_matrix_of_many_blocks(spark):
+    sizes = [(i * 7) % 50 if i % 3 else 0 for i in range(2000)]
+    counts = spark.createDataFrame(list(enumerate(sizes)), "block long, n long")
+    matrix = {r.block: r.row for r in sharding.communication_matrix(counts, 24, 3).collect()}
+    assert [sum(matrix[i]) for i in range(2000)] == sizes and min(map(min, matrix.values())) >= 0
+    columns = np.array(list(matrix.values())).sum(0)
+    assert columns.max() - columns.min() <= 1
