@@ -5,6 +5,11 @@
 3. decontaminate: rows that give a benchmark item away go;
 4. pii: personal data is masked in the texts, ``n_chars`` follows;
 5. bpe: texts become token ids, with digests of ids and of the decoded text.
+
+Stages pass on the columns of ``documents`` and no others: further ones, whatever
+their names, are left behind by the first.  Rows with null ids or texts and
+repeated rows are rows like others, as each operator says; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.llm import bpe, decontaminate, near_copies, pii, quality
-from strandflow.llm.common import stage, table
+from strandflow.llm.common import drop_staged, scratch, stage, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,8 +26,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit on this stage's documents and the labels outside the held-out third; keep what scores 0.5 or more."""
     scorer = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs.withColumnRenamed("doc_id", "_id"), scorer, id_col="_id", keep=("_id", *COLUMNS[1:]))
-    return scored.where("predicted = 1").select(F.col("_id").alias("doc_id"), *COLUMNS[1:])
+    return quality.score(docs, scorer, keep=COLUMNS[1:]).where("predicted = 1").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +60,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what each returns is written to the shared folder and read again.
+
+    What a stage has read or written on the way is deleted once it is done.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as made:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+            made.remove(docs)
+        if before is not None:
+            drop_staged(before)
+        before = docs
     return docs

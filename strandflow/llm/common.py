@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_SCOPES: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +55,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    for made in _SCOPES[-1:]:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Drop the tables staged within the block when it ends; yields their list, from which those to keep can be taken."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+        for table_ in made:
+            drop_staged(table_)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the folder behind a table that :func:`stage` returned and nothing will read again."""
     files, where = _hadoop(df.sparkSession, df._staged_at)

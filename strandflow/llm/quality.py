@@ -1,12 +1,16 @@
 """Operator 9: text quality from positive and unlabelled documents.
 
-A linear scorer over a text's signs and shape is fitted by the
-non-negative unbiased risk for positive-unlabelled learning with the sigmoid
-loss: ``pi R_p(+) + max(0, R_u(-) - pi R_p(-))``.  Trusted positives and
-unlabelled texts are bounded samples; the class prior ``pi`` is estimated from
-them alone: a positives-against-unlabelled classifier gives the density ratio
-``p(x | positive) / p(x)``, which is ``1 / pi`` wherever no negative looks like
-``x``, so on held-back positives its mean estimates ``1 / pi``.
+A linear scorer over a text's signs and shape is fitted by the non-negative
+unbiased risk for positive-unlabelled learning with the sigmoid loss:
+``pi R_p(+) + max(0, R_u(-) - pi R_p(-))``.  The class prior ``pi`` is estimated
+from the same texts: a positives-against-unlabelled classifier gives the density
+ratio ``p(x | positive) / p(x)``, which is ``1 / pi`` wherever no negative looks
+like ``x``, so on held-back positives its mean estimates ``1 / pi``.
+
+Trusted positives are a bounded sample of the labelled rows.  Unlabelled texts
+are all texts outside the held-out third: they are dealt by a hash to groups of
+about :data:`ROWS_PER_FIT`, each group is fitted beside the same positives, and
+the scorer is the mean of the fits, weighted by rows.
 """
 
 from __future__ import annotations
@@ -20,8 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documented bounds of the samples the scorer is fitted on.
-POSITIVES, UNLABELLED = 4000, 8000
+from .common import drop_staged, stage
+
+#: Documented bound of the labelled rows the scorer is fitted on.
+POSITIVES = 4000
+#: Unlabelled rows that one task fits, about; more rows make more tasks.
+ROWS_PER_FIT = 50_000
 #: Bytes of a text counted at once.
 BLOCK = 1 << 20
 _SHAPES = 18
@@ -50,7 +58,7 @@ def features(data: bytes) -> np.ndarray:
     repeated = sum(map(bytes.__eq__, words, words[1:]))
     bare = sum(not w.isalnum() and w.isascii() and not any(c > 64 for c in w) for w in words)
     longest = max(map(len, words), default=0)
-    out[len(_SIGNS) :] = [
+    out[-_SHAPES:] = [
         np.log1p(m) / 10,
         sign / n,
         np.log1p(100 * sign / n),
@@ -82,10 +90,15 @@ class Scorer:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weight + self.bias
+        # features are added one after the other, so that equal texts have equal scores wherever they stand
+        z = (np.clip((x - self.mean) / self.scale, -8, 8) * self.weight).T.copy().sum(axis=0) + self.bias
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _blank(prior: float | None = None) -> Scorer:
+    return Scorer(np.zeros(FEATURES), 0.0, np.zeros(FEATURES), np.ones(FEATURES), prior or 0.5)
+
+
 def _adam(gradient, size: int, steps: int, rate: float) -> np.ndarray:
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for t in range(1, steps + 1):
@@ -117,17 +130,19 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, steps: int = 300, decay: float
     return float(np.clip(1.0 / max(1.0, np.mean(g / (1 - g))), 0.05, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 600, decay: float = 1e-4) -> Scorer:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 600, decay: float = 1e-4, moments: tuple[np.ndarray, np.ndarray] | None = None) -> Scorer:
     """Minimise the non-negative unbiased risk over a linear scorer.
 
     Where the negative part of the risk falls below zero, its gradient is turned
     round, as the non-negative estimator prescribes.  Without positives or
-    unlabelled texts every score is 0.5.
+    unlabelled texts every score is 0.5.  ``moments`` are the features' means
+    and deviations where they are known already.
     """
-    both = np.concatenate([positive, unlabelled])
     if not len(positive) or not len(unlabelled):
-        return Scorer(np.zeros(FEATURES), 0.0, np.zeros(FEATURES), np.ones(FEATURES), prior or 0.5)
-    mean, scale = both.mean(0), both.std(0) + 0.02
+        return _blank(prior)
+    both = np.concatenate([positive, unlabelled])
+    mean, scale = moments or (both.mean(0), both.std(0))
+    scale = scale + 0.02
     ready = lambda x: np.concatenate([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))], axis=1)
     p, u = ready(positive), ready(unlabelled)
     pi = prior if prior is not None else estimate_prior(p, u)
@@ -160,44 +175,86 @@ def _text(text_col: str):
     return F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Scorer:
-    """Fit on up to ``positives`` texts labelled 1 and ``unlabelled`` others, all outside the held-out third.
+def _vector(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.float32)
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each task: number, sums and sums of squares of the vectors."""
+    n, s, q = 0, np.zeros(FEATURES), np.zeros(FEATURES)
+    for batch in batches:
+        if batch.num_rows:
+            x = np.stack([_vector(v.as_py()) for v in batch.column(0)]).astype(np.float64)
+            n, s, q = n + len(x), s + x.sum(0), q + (x * x).sum(0)
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.concatenate([s, q])], pa.list_(pa.float64()))], ["n", "sums"])
+
+
+def _added(rows: DataFrame, column: str, size: int, weight: str = "1") -> tuple[int, np.ndarray]:
+    """Sum of ``n``, and of the arrays of a column element by element, with weights."""
+    row = rows.agg(F.sum("n"), F.array(*[F.sum(F.col(column)[i] * F.expr(weight)) for i in range(size)])).first()
+    return int(row[0] or 0), np.array([v or 0.0 for v in row[1]])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = POSITIVES, rows_per_fit: int = ROWS_PER_FIT) -> Scorer:
+    """Fit on up to ``positives`` texts labelled 1 and on all texts outside the held-out third.
 
-    Samples are the ids with the least hashes, so they are the same on every
-    run and every layout.  Only ids are ranked; texts of the chosen ids alone
-    are read into features, and only those features come to the driver.
+    The positives are the ids with the least hashes, so they are the same on
+    every run and every layout; only their features come to the driver, and of
+    the rest the fitted weights, added up.  Repeated ids count once among the
+    positives and as often as they occur among the unlabelled; rows without an
+    id are unlabelled ones.  Without positives or other texts every score is 0.5.
     """
+    spark = docs.sparkSession
     rank = F.xxhash64(F.col("id"), F.lit("quality"))
-    free = labels.where(~held_out(id_col)).where(F.col(id_col).isNotNull())
-    good = free.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("id")).distinct().orderBy(rank, "id").limit(positives)
-    every = docs.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    some = every.orderBy(rank, "id").limit(unlabelled)
-    kinds = {int(r["id"]): 1 for r in good.collect()}
-    asked = {int(r["id"]): 2 for r in some.collect()}
-    wanted = docs.sparkSession.createDataFrame(pd.DataFrame({"id": np.array(sorted(kinds | asked), np.int64)}), "id long")  # at most positives + unlabelled ids
+    free = labels.where(~held_out(id_col)).where(F.col(id_col).isNotNull() & (F.col(label_col) == 1))
+    good = [int(r["id"]) for r in free.select(F.col(id_col).cast("long").alias("id")).distinct().orderBy(rank, "id").limit(positives).collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t.as_py()).astype(np.float32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "x"])
 
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), _text(text_col)).join(F.broadcast(wanted), "id").mapInArrow(run, "id long, x binary").collect()
-    sample.sort(key=lambda r: (r["id"], bytes(r["x"])))
-    x = {k: np.array([np.frombuffer(r["x"], np.float32) for r in sample if r["id"] in ids], np.float64).reshape(-1, FEATURES) for k, ids in (("p", kinds), ("u", asked))}
-    return fit(x["p"], x["u"])
+    rows = docs.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), _text(text_col)).mapInArrow(run, "id long, x binary")
+    rows = stage(rows, "quality-features")
+    wanted = spark.createDataFrame(pd.DataFrame({"id": np.array(good, np.int64)}), "id long")  # at most ``positives`` ids
+    trusted = sorted((r["id"], bytes(r["x"])) for r in rows.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("x").alias("x")).collect())
+    p = np.array([_vector(x) for _, x in trusted], np.float64).reshape(-1, FEATURES)
+    n, sums = _added(rows.select("x").mapInArrow(_moments, "n long, sums array<double>"), "sums", 2 * FEATURES)
+    if not n or not len(p):
+        drop_staged(rows)
+        return _blank()
+    mean = (sums[:FEATURES] + p.sum(0)) / (n + len(p))
+    scale = np.sqrt(np.maximum((sums[FEATURES:] + (p * p).sum(0)) / (n + len(p)) - mean**2, 0))
+    groups = -(-n // rows_per_fit)
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = [v.as_py() for batch in batches for v in batch.column(0)]
+        if x:
+            got = fit(p, np.array([_vector(v) for v in x], np.float64), moments=(mean, scale))
+            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([np.concatenate([got.weight, [got.bias, got.prior]])], pa.list_(pa.float64()))], ["n", "w"])
+
+    dealt = rows.select("x", F.xxhash64("id", "x").alias("place")).repartitionById(groups, F.pmod("place", F.lit(groups)).cast("int")).sortWithinPartitions("place", "x")
+    fitted = stage(dealt.select("x").mapInArrow(fits, "n long, w array<double>"), "quality-fits")
+    _, w = _added(fitted, "w", FEATURES + 2, "n")
+    w /= n
+    drop_staged(rows)
+    drop_staged(fitted)
+    return Scorer(w[:FEATURES], float(w[FEATURES]), mean, scale + 0.02, float(w[FEATURES + 1]))
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row, then the columns in ``keep``.
 
     The score reads the text alone.  Null texts count as empty and get a score
-    too; repeated rows and null ids keep their rows; an empty table gives an
-    empty result.
+    too; repeated rows and null ids keep their rows; very long texts are read
+    whole, a block at a time; an empty table gives an empty result; columns that
+    are not in ``keep`` are ignored, whatever their names.
     """
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(scorer.score(np.array([features(bytes(t)) for t in texts]).reshape(-1, FEATURES)))
 
-    out = docs.withColumn("_score", scored(_text(text_col)))
-    return out.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), *keep)
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
+    out = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), scored(_text(text_col)).alias("score"), kept.alias("kept"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f"kept.`{c}`").alias(c) for c in keep])

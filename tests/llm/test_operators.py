@@ -582,3 +582,27 @@ def test_matrix_of_many_blocks(spark):
     assert [sum(matrix[i]) for i in range(2000)] == sizes and min(map(min, matrix.values())) >= 0
     columns = np.array(list(matrix.values())).sum(0)
     assert columns.max() - columns.min() <= 1
+
+
+# 9, on all unlabelled rows
+
+
+def test_quality_of_groups_ties_and_odd_rows(spark):
+    rng = random.Random(4)
+    good = lambda: " ".join(rng.choice(WORDS) for _ in range(60)) + "."
+    bad = lambda: " ".join(rng.choice(WORDS) + "###" for _ in range(60))
+    kinds = [rng.random() < 0.75 for _ in range(900)]
+    rows = [(i, good() if k else bad()) for i, k in enumerate(kinds)]
+    rows += [(2000 + i, rows[0][1]) for i in range(30)] + [(None, good())] * 20 + [(3000, "word " * 300_000), (3000, "word " * 300_000)]
+    docs = frame(spark, rows).withColumns({"_score": F.lit("x"), "score": F.lit(1), "kept": F.lit(2)})
+    labels = spark.createDataFrame([(i, int(k)) for i, k in enumerate(kinds) if i % 2] * 2, "doc_id long, quality int").withColumn("x", F.lit(1))
+    scorer = quality.train(docs, labels, rows_per_fit=150)
+    assert 0.6 < scorer.prior < 0.9
+    got = quality.score(docs, scorer, keep=("_score", "kept")).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and {r._score for r in got} == {"x"} and {r.kept for r in got} == {2}
+    assert len({by[i].score for i in [0, *range(2000, 2030)]}) == 1  # equal texts, equal scores
+    held = [i for i in range(900) if by[i].held_out]
+    assert np.mean([by[i].predicted == kinds[i] for i in held]) > 0.97
+    assert quality.score(docs.limit(0), scorer).count() == 0
+    assert set(quality.train(docs, labels.limit(0)).weight) == {0.0}

@@ -2,8 +2,10 @@
 
 import random
 import re
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -54,6 +56,31 @@ def test_pipeline(spark, tmp_path):
         assert step.columns == docs.columns
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, repeats, clashing columns, then no rows at all; nothing staged is left but the result."""
+    pytest.importorskip("public_tokenizers")
+    rng = random.Random(12)
+    sentence = lambda n: " ".join(rng.choice(WORDS) for _ in range(n)) + "."
+    rows = [(i, sentence(60), "en", "s", 1) for i in range(40)]
+    rows += [rows[3], rows[3], (None, rows[5][1], None, None, None), (None, None, None, None, None), (77, None, "en", "s", 0), (78, "", "en", None, 0), (79, sentence(30_000), "de", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("_id", "_score", "key", "id", "kept", "score", "node", "held_out"):
+        docs = docs.withColumn(name, F.lit("x"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(0, rows[7][1]), (None, None), (1, "")], "item_id long, text string")
+    for name, d, n in (("full", docs, None), ("none", docs.limit(0), 0)):
+        at = tmp_path / name
+        for table, df in (("documents", d), ("labels", labels.limit(n) if n == 0 else labels), ("benchmark", bench)):
+            df.write.parquet(str(at / f"{table}.parquet"))
+        got = corpus_pipeline.run(spark, str(at)).collect()
+        ids = [r.doc_id for r in got]
+        assert n is None or not ids
+        if n is None:  # repeated rows stay together, of equal texts the least id stays, of texts without words one at most
+            assert ids.count(3) == 3 and ids.count(5) == 1 and 7 not in ids and None not in ids and 78 not in ids
+    kept = [p for p in (Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "stage").iterdir() if p.name.startswith("pipeline-")]
+    assert len(kept) == len([p for p in kept if p.name.startswith("pipeline-bpe")])
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
