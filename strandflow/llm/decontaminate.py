@@ -3,10 +3,15 @@
 Words are lower-cased and stripped of signs.  In an item numbers, units after a
 number and names become typed slots, other words stay literal; windows of five
 words are hash-joined with the documents' windows that have the same literal
-words and words of the right kinds in the slots.  Along each diagonal (document
-place less item place) the slots' values must map the item's values to the
-document's as a function.  That finds items copied whole and items asked again
-with other numbers or names.
+words and words of the right kinds in the slots.  A document's windows on an item
+then share one map from the item's slot values to the document's
+(:func:`agreement`): windows that part from it drop out, and what is left must
+cover the item.  That finds items copied whole and items asked again with other
+numbers or names.
+
+Document windows are sifted before the join by a filter of :data:`FILTER` bits
+over the benchmark's window hashes; its size is the same for every benchmark,
+and what it lets through by chance falls to the join.
 
 What is a name can't be told from one word, so an item is read in up to four
 ways, each with windows of its own (:data:`READINGS`).  A document gives an item
@@ -17,20 +22,24 @@ whatever its words are.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 WINDOW = 5
 COVERAGE = 0.8
 #: Words of a window that must not be placeholders.
 LITERALS = 3
-#: Benchmark windows that are held in every task to sift document windows before the join; beyond that all go to the join.
-SIFT_WINDOWS = 1_000_000
+#: Bits of the filter over window hashes that every task holds, as a power of two.
+FILTER = 25
 #: Words handled at once: of several texts, or of a part of a long one.
 BLOCK = 1 << 17
 #: Words remembered by one worker at most; then it starts anew.
@@ -129,14 +138,21 @@ def _packed(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _item_rows(window: int):
+def _item_rows(window: int, short_items: bool):
     """``(id, key, text)`` of items to rows of their windows in each reading that differs from those before."""
-    place, least = _places(window), min(LITERALS, window)
+    place, least = [int(x) for x in _places(window)], min(LITERALS, window)
+
+    def row(canon: Canon, ids: np.ndarray, kind: np.ndarray, reading: int, p: int, size: int, total: int) -> tuple:
+        pattern = kind[p : p + size].astype(np.uint8).tobytes()
+        h = int(_salt(pattern)) + sum(int(canon.literal[i]) * w for i, k, w in zip(ids[p : p + size].tolist(), pattern, place) if not k)
+        return reading, p, (h + (1 << 63)) % (1 << 64) - (1 << 63), pattern, _slots(pattern, lambda j: canon.core[ids[j]], p), total
 
     def of(canon: Canon, words: list[str]) -> Iterator[tuple]:
         ids, readings = canon.readings(words)
         n = len(ids) - window + 1
         if n < 1:
+            if short_items and len(ids):
+                yield row(canon, ids, readings[-1], len(READINGS) - 1, 0, len(ids), 1)
             return
         seen: list[np.ndarray] = []
         for reading, kind in enumerate(readings):
@@ -148,11 +164,8 @@ def _item_rows(window: int):
             # few windows may be met by chance
             if reading and 2 * len(fit) < n:
                 continue
-            part = np.where(kind == 0, canon.literal[ids], np.uint64(0))
             for p in fit.tolist():
-                pattern = kind[p : p + window].astype(np.uint8).tobytes()
-                h = (part[p : p + window] * place).sum(dtype=np.uint64) + _salt(pattern)
-                yield reading, p, int(h.astype(np.int64)), pattern, _slots(pattern, lambda j: canon.core[ids[j]], p), len(fit)
+                yield row(canon, ids, kind, reading, p, window, len(fit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
@@ -166,29 +179,52 @@ def _item_rows(window: int):
     return run
 
 
-def _window_rows(window: int, patterns: list[bytes], wanted: np.ndarray | None):
-    """``(id, key, text)`` to rows of their windows that fit a pattern of slots, sifted by the sorted hashes ``wanted`` if given.
+def _probes(hashes: Column) -> Column:
+    """A hash's two places in the filter: its highest and its lowest bits."""
+    return F.array(F.shiftrightunsigned(hashes, 64 - FILTER), hashes.bitwiseAND(F.lit((1 << FILTER) - 1)))
+
+
+def _filter_bits(items: DataFrame) -> np.ndarray:
+    """The filter over the items' hashes as 64-bit words: made by Spark, at most ``2 ** (FILTER - 6)`` rows for the driver."""
+    at = items.select(F.explode(_probes(F.col("hash"))).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << FILTER - 6, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _maybe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that the filter lets through."""
+    some, size = np.arange(len(hashes)), len(bits).bit_length() + 5
+    for probe in (lambda h: h >> np.uint64(64 - size), lambda h: h & np.uint64((1 << size) - 1)):
+        p = probe(hashes[some])
+        some = some[(bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return some
+
+
+def _window_rows(window: int, patterns: list[bytes], held: Broadcast):
+    """``(id, key, text)`` to rows of their windows that fit a pattern of slots and pass the filter.
 
     Texts are gathered to blocks of words; a text longer than a block comes in
     parts, each with the last ``window - 1`` tokens of the part before.
+    Patterns shorter than a window are those of short items; of them a part may
+    tell a window twice.
     """
-    bits = None
-    if wanted is not None:
-        bits = np.zeros(1 << 22, bool)
-        bits[wanted >> np.uint64(42)] = True
     place = _places(window)
     # the rarer kinds first
     asked = [(p, _salt(p), sorted(((q, k) for q, k in enumerate(p) if k), key=lambda x: x[1] == NAME), [q for q, k in enumerate(p) if not k]) for p in patterns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = Canon()
+        canon, bits = Canon(), held.value
 
         def sifted(h: np.ndarray, has: dict[int, np.ndarray]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
             """For each pattern the windows to join and their hashes."""
-            n = len(h) - window + 1
-            parts = [h[q : q + n] * place[q] for q in range(window)]
+            parts: dict[tuple[int, int], np.ndarray] = {}
             where = {k: np.flatnonzero(x) for k, x in has.items()}
             for pattern, salt, slots, literal in asked:
+                n = len(h) - len(pattern) + 1
+                if n < 1:
+                    continue
                 if slots:
                     q, k = slots[0]
                     some = where[k] - q
@@ -201,22 +237,19 @@ def _window_rows(window: int, patterns: list[bytes], wanted: np.ndarray | None):
                     continue
                 grams = np.full(len(some), salt)
                 for q in literal:
-                    grams += parts[q][some] if slots else parts[q]
-                if bits is not None:
-                    near = np.flatnonzero(bits[grams >> np.uint64(42)])
-                    near = near[np.isin(grams[near], wanted)]
-                    some, grams = some[near], grams[near]
-                yield pattern, some, grams
+                    if (q, n) not in parts:
+                        parts[q, n] = h[q : q + n] * place[q]
+                    grams += parts[q, n][some] if slots else parts[q, n]
+                near = _maybe(bits, grams)
+                yield pattern, some[near], grams[near]
 
         def block(rows: list[tuple], words: list[str], sizes: list[int]) -> Iterator[tuple]:
             starts = np.cumsum([0, *sizes[:-1]])
             at, ids, number, unit = canon.tokens(words, starts)
             text = np.repeat(np.arange(len(sizes)), sizes)[at]
             begin = np.searchsorted(text, np.arange(len(sizes) + 1))
-            if len(ids) < window:
-                return
             for pattern, some, grams in sifted(canon.literal[ids], {NUMBER: number, UNIT: unit, NAME: canon.fact[5][ids]}):
-                own = text[some] == text[some + window - 1]
+                own = text[some] == text[some + len(pattern) - 1]
                 for p, g in zip(some[own].tolist(), grams[own].view(np.int64).tolist()):
                     i = int(text[p])
                     yield *rows[i], p - int(begin[i]), g, _slots(pattern, lambda j: canon.core[ids[j]], p)
@@ -233,12 +266,10 @@ def _window_rows(window: int, patterns: list[bytes], wanted: np.ndarray | None):
                 for k, x in ((NUMBER, number[new]), (UNIT, unit[new]), (NAME, canon.fact[5][ids])):
                     has[k] = np.concatenate([has[k], x])
                 core = np.concatenate([core, np.array([canon.core[j] for j in ids.tolist()], object)])
-                if len(h) < window:
-                    continue
                 for pattern, some, grams in sifted(h, has):
                     for p, g in zip(some.tolist(), grams.view(np.int64).tolist()):
                         yield *row, done + p, g, _slots(pattern, core.__getitem__, p)
-                past = len(h) - window + 1
+                past = max(0, len(h) - window + 1)
                 done += past
                 h, core, has = h[past:], core[past:], {k: x[past:] for k, x in has.items()}
 
@@ -266,45 +297,68 @@ def _window_rows(window: int, patterns: list[bytes], wanted: np.ndarray | None):
     return run
 
 
+def agreement(windows: list[tuple[int, list[tuple[int, int, str, str]]]]) -> tuple[int, int]:
+    """How many item windows agree on one map of slots, and how many slots it changes.
+
+    ``windows`` are ``(item place, [(slot's place, kind, item's value, document's value)])``
+    of one document and item.  A slot (a kind and an item's value) takes the
+    document's values that stand at more than half of its places; one without
+    such a majority takes none.  Several copies in one document may each keep
+    their own.  Windows with any other value in a slot do not count.
+    """
+    said: dict[tuple[int, str], dict[int, set[str]]] = defaultdict(lambda: defaultdict(set))
+    for _, slots in windows:
+        for place, kind, item, doc in slots:
+            said[kind, item][place].add(doc)
+    taken = {slot: {v for v in set().union(*at.values()) if 2 * sum(v in x for x in at.values()) > len(at)} for slot, at in said.items()}
+    kept = [(at, slots) for at, slots in windows if all(doc in taken[kind, item] for _, kind, item, doc in slots)]
+    used = {(kind, item) for _, slots in kept for _, kind, item, _ in slots}
+    return len({at for at, _ in kept}), sum(item not in taken[kind, item] for kind, item in used)
+
+
+def _agreements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [agreement([(w["at"], [(s["place"], s["kind"], s["item"], s["doc"]) for s in w["slots"]]) for w in ws.as_py()]) for ws in batch.column(6)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["id", "key", "item_id", "item_key", "reading", "item_windows", "windows", "slots_changed"])
+
+
 def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, short_items: bool = False) -> DataFrame:
     """``(doc_id, key, item_id, windows, item_windows, coverage, slots_changed)`` for each item a document gives away.
 
-    An item is given away if in one of its readings windows on diagonals with
-    consistent slots cover at least ``coverage`` of its windows; the figures are
+    An item is given away if in one of its readings the windows that agree on
+    one map of slots cover at least ``coverage`` of its windows; the figures are
     those of the reading with the best coverage, then the fewest changes.  A
     name may stand for any capitalised word; a text in lower case throughout
-    meets names only as they are.  ``key`` is ``xxhash64`` of the text;
-    rows that agree in id and text share one result.  Null texts count as empty
-    and match nothing; items shorter than a window can't be told from chance and
-    match nothing; windows with fewer than three literal words are not counted, so
-    an item that has only such is found by its words alone;
-    repeated items each get their rows; null ids stay null; empty
-    tables give an empty result; further columns are ignored.
+    meets names only as they are.  ``key`` is ``xxhash64`` of the text; rows that
+    agree in id and text share one result.
+
+    Null texts count as empty and match nothing.  An item shorter than a window
+    is hard to tell from chance: by default it matches nothing, with
+    ``short_items`` it is one window of all its words, found word for word.
+    Windows with fewer than three literal words are not counted, so an item that
+    has only such is found by its words alone; repeated items each get their
+    rows; null ids stay null; empty tables give an empty result; further
+    columns are ignored.
     """
-    items = _keyed(benchmark, item_id, item_text).mapInArrow(_item_rows(window), ITEM_SCHEMA)
-    items = items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "reading", F.col("pos").alias("item_pos"), "hash", "pattern", F.col("slots").alias("item_slots"), F.col("total").alias("item_windows"))
-    patterns = sorted(bytes(r["pattern"]) for r in items.select("pattern").distinct().collect())  # at most 106 for windows of five
-    hashes = [r["hash"] for r in items.select("hash").distinct().limit(SIFT_WINDOWS + 1).collect()]
-    small = len(hashes) <= SIFT_WINDOWS
-    found = _keyed(docs, id_col, text_col).mapInArrow(_window_rows(window, patterns, np.sort(np.array(hashes, np.int64).view(np.uint64)) if small else None), WINDOW_SCHEMA)
-    # broadcast only benchmarks known to be small
-    items = items.drop("pattern")
-    hits = found.join(F.broadcast(items) if small and len(hashes) <= 50_000 else items, "hash")
-    pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("item"), b["value"].alias("doc")))
+    spark = docs.sparkSession
+    items = stage(_keyed(benchmark, item_id, item_text).mapInArrow(_item_rows(window, short_items), ITEM_SCHEMA), "decontaminate-items")
+    patterns = sorted(bytes(r["pattern"]) for r in items.select("pattern").distinct().collect())  # at most 110 for windows of five
+    held = spark.sparkContext.broadcast(_filter_bits(items))  # 4 MB for every benchmark
+    found = _keyed(docs, id_col, text_col).mapInArrow(_window_rows(window, patterns, held), WINDOW_SCHEMA)
+    items = items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "reading", F.col("pos").alias("at"), "hash", F.col("slots").alias("item_slots"), F.col("total").alias("item_windows"))
+    # a written table, of known size: Spark broadcasts a small one and splits the hot hashes of a large one
+    hits = found.join(items, "hash")
+    pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct((F.col("at") + a["at"]).alias("place"), a["kind"].alias("kind"), a["value"].alias("item"), b["value"].alias("doc")))
     of = ("id", "key", "item_id", "item_key", "reading", "item_windows")
-    by_diagonal = hits.withColumn("diagonal", F.col("pos") - F.col("item_pos")).groupBy(*of, "diagonal")
-    lines = by_diagonal.agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))  # both bounded by the item's length
-    said = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["item"]))))
-    lines = lines.where(said == F.size("pairs")).withColumn("changed", F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])))
-    # a repeated item adds diagonals, not places: places are gathered as single rows
-    places = lines.select(*of, "changed", F.explode("places").alias("place"))
-    total = places.groupBy(*of, "place").agg(F.min("changed").alias("changed"))
-    total = total.groupBy(*of).agg(F.count("*").alias("windows"), F.max("changed").alias("slots_changed"))
+    # distinct windows of one document on one item, no more than the document has
+    lines = hits.groupBy(*of).agg(F.collect_set(F.struct("at", pairs.alias("slots"))).alias("seen"))
+    lines = lines.where(F.size(F.array_distinct("seen.at")) >= F.col("item_windows") * coverage - 1e-6)
+    total = lines.select(*of, "seen").mapInArrow(_agreements, "id long, key long, item_id long, item_key long, reading int, item_windows int, windows long, slots_changed long")
     total = total.withColumn("coverage", F.col("windows") / F.col("item_windows")).where(F.col("coverage") >= coverage)
     best = F.struct("coverage", (-F.col("slots_changed")).alias("same"), "windows", "item_windows")
     total = total.groupBy("id", "key", "item_id", "item_key").agg(F.max(best).alias("best"))

@@ -606,3 +606,98 @@ def test_quality_of_groups_ties_and_odd_rows(spark):
     assert np.mean([by[i].predicted == kinds[i] for i in held]) > 0.97
     assert quality.score(docs.limit(0), scorer).count() == 0
     assert set(quality.train(docs, labels.limit(0)).weight) == {0.0}
+
+
+# 4, one map of slots for each document and item
+
+
+def brute_contaminated(docs, items, window=5, share=0.8):
+    """Every window of every document against every window of every item's readings, without hashes."""
+    out = set()
+    canon = decontaminate.Canon()
+    for d, text in docs:
+        words = text.split()
+        if not words:
+            continue
+        at, ids, number, unit = canon.tokens(words, np.array([0]))
+        fits = {decontaminate.NUMBER: number, decontaminate.UNIT: unit, decontaminate.NAME: canon.fact[5][ids]}
+        core = [canon.core[i] for i in ids]
+        for i, item in items:
+            own, readings = canon.readings(item.split())
+            name = [canon.core[x] for x in own]
+            n = len(own) - window + 1
+            if 0 < len(own) < window:
+                if any(core[s : s + len(own)] == name for s in range(len(core))):
+                    out.add((d, i))
+                continue
+            for nth, kind in enumerate(readings):
+                fit = [p for p in range(n) if sum(kind[p : p + window] == 0) >= 3]
+                if not fit or nth and 2 * len(fit) < n:
+                    continue
+                seen = []
+                for p in fit:
+                    for s in range(len(core) - window + 1):
+                        if all(name[p + q] == core[s + q] if kind[p + q] == 0 else fits[kind[p + q]][s + q] for q in range(window)):
+                            seen.append((p, [(p + q, int(kind[p + q]), name[p + q], core[s + q]) for q in range(window) if kind[p + q]]))
+                values = defaultdict(lambda: defaultdict(set))
+                for p, slots in seen:
+                    for place, k, a, b in slots:
+                        values[k, a][place].add(b)
+                good = lambda k, a, b: sum(b in v for v in values[k, a].values()) > len(values[k, a]) / 2  # noqa: B023, E731
+                kept = {p for p, slots in seen if all(good(k, a, b) for _, k, a, b in slots)}
+                if len(kept) / len(fit) >= share:
+                    out.add((d, i))
+    return out
+
+
+def test_one_map_of_slots(spark):
+    two = "Then Tom bought 5 apples for 3 dollars and gave Tom two more before the long winter came again"
+    long = "On the way to the old mill near the river Tom met a man who sold 7 red hats and one blue coat for 9 coins so that Tom could walk home warm and dry"
+    items = [(0, two), (1, long), (2, "quiet grey harbour"), (3, "What is 12 + 7 ?")]
+    docs = [
+        (0, "Well. Then Anna bought 12 apples for 7 euros and gave Bert two more before the long winter came again"),
+        (1, "Well. Then Anna bought 12 apples for 7 euros and, as was said, gave Bert two more before the long winter came again"),
+        (2, "Well. Then Anna bought 12 apples for 7 euros and, so it was said, gave Anna two more before the long winter came again"),
+        (3, long.replace("Tom met", "Bob met")),  # a name changed in one place
+        (4, long.replace("Tom", "Bob").replace("7", "8")),
+        (5, "at the Quiet, grey Harbour we stood"),
+        (6, "grey quiet harbour"),
+        (7, "Then Anna bought 12 apples for 7 euros and gave Anna two more before the long winter came again. Then Bert bought 1 apples for 2 euros and gave Bert two more before the long winter came again"),
+        (8, "so what is 12 + 7 ? nothing"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame(spark, docs), bench, short_items=True).collect()}
+    assert set(found) == {(3, 1), (4, 1), (5, 2), (7, 0), (8, 3)} == brute_contaminated(docs, items)
+    assert found[5, 2].coverage == 1.0 and found[4, 1].slots_changed == 2
+    assert (5, 2) not in {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+
+
+@pytest.mark.parametrize("bits", [25, 7])
+def test_decontamination_against_brute_force(spark, monkeypatch, bits):
+    """Items copied with insertions, changed names and numbers, cut short; a full filter (7 bits) changes nothing."""
+    monkeypatch.setattr(decontaminate, "FILTER", bits)
+    rng = random.Random(bits)
+    names, plain = ["Anna", "Bert", "Carl", "Dora"], [f"word{i}" for i in range(60)]
+    items = []
+    for i in range(25):
+        words = [rng.choice(plain) if rng.random() < 0.75 else rng.choice([rng.choice(names), str(rng.randint(2, 40)), "km"]) for _ in range(rng.randint(3, 30))]
+        items.append((i, " ".join(words)))
+    docs = []
+    for d in range(90):
+        words = items[rng.randrange(25)][1].split()
+        swap = dict(zip(names, rng.sample(names, 4)))
+        if d % 3 == 0:
+            words = [swap.get(w, w) for w in words]
+        if d % 5 == 0:
+            words = [str(int(w) + 3) if w.isdigit() else w for w in words]
+        if d % 4 == 0:
+            words.insert(rng.randrange(len(words)), "and then")
+        if d % 7 == 0:
+            words[rng.randrange(len(words))] = "Emil"
+        lead = [rng.choice(plain) for _ in range(rng.randint(0, 20))]
+        docs.append((d, " ".join([*lead, *words[: max(2, int(len(words) * rng.choice([0.5, 0.85, 1, 1])))], *lead])))
+    docs += [(200, ""), (201, "a"), (202, docs[0][1]), (202, docs[0][1])]
+    bench = spark.createDataFrame([*items, (3, items[3][1]), (77, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench, short_items=True).collect()}
+    want = brute_contaminated(docs, items)
+    assert got == want and len(want) > 25
