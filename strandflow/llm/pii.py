@@ -7,10 +7,11 @@ not know: spelt-out addresses, numbers without a country code, defanged
 addresses, cards with other separators.  Words are decoded by Viterbi in numpy
 batches.
 
-Every span that passes the check on its kind holds a digit, an at sign or a
-spelt-out separator, so only words within :data:`REACH` words of one are
-decoded.  The words between are plain ones, where "outside" beats any other tag
-by :meth:`Crf.plain_margin` with transitions allowed for.
+Words with the features of a plain word need no decoding far from others:
+:meth:`Crf.reach` proves, for the fitted weights, that of so many plain words
+in a row the best path calls one "outside", and that between two such words it
+never leaves.  So a text is cut within longer runs of plain words, and its
+parts are decoded with the tags that the whole would have.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words decoded on either side of one that may belong to personal data.
-REACH = 6
+#: Characters split into words at a time.
+CHUNK = 1 << 20
+#: Words longer than this are not remembered.
+MEMORABLE = 64
 #: Words decoded together at most (a longer stretch is decoded alone).
 BATCH = 1 << 16
 
@@ -39,7 +42,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # starts at a run's star
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_HINT = re.compile(r"[0-9@]|[(\[]at[)\]]|(?<=[\x20\x09-\x0D(\[])dot(?=[\x20\x09-\x0D)\]])")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -83,12 +85,14 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _CUES = ("at", "dot", "(at)", "[at]", "(dot)", "[dot]", "call", "phone", "tel", "mobile", "fax", "mail", "email", "card", "visa", "ip", "host", "version", "page", "chapter", "item", "number")
+_EDGES = ".,;:!?\"'"
+_PLAIN = re.compile(r"[^0-9@.+()\[\]/_-]*")
 _SIGNS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|.", re.DOTALL)
 
 
 def word_features(word: str) -> tuple[str, ...]:
     """A word's shape with digit runs counted, its shape without counts, its cue, its number of digits."""
-    core = word.strip(".,;:!?\"'")[:64]  # longer words are shapes of their own anyway
+    core = word.strip(_EDGES)
     full, short = [], []
     for run in _SIGNS.findall(core):
         c = run[0]
@@ -160,35 +164,55 @@ def labelled_table(seed: int = 7, rows: int = 500) -> list[tuple[list[str], list
     return out
 
 
+class _Odd(dict):
+    """Whether a word has other features than a plain one, told without making them; remembered for short words."""
+
+    def __missing__(self, word: str) -> bool:
+        core = word.strip(_EDGES)
+        odd = not _PLAIN.fullmatch(core) or core.lower() in _CUES
+        if len(word) <= MEMORABLE:
+            if len(self) > 200_000:
+                self.clear()
+            self[word] = odd
+        return odd
+
+
 class Crf:
     """Linear-chain conditional random field over :func:`word_features` of a word and its neighbours."""
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, transition: np.ndarray) -> None:
         self.index, self.weights, self.transition = index, weights, transition  # weights: place (before, here, after) x feature x tag
         self._seen: dict[str, list[int]] = {}
+        self.plain = self.ids("word")
+        self.odd = _Odd()
+        self.cut: int | None = None  # see reach
 
     def ids(self, word: str) -> list[int]:
         got = self._seen.get(word)
         if got is None:
             got = [self.index.get(f, 0) for f in word_features(word)]
-            if len(self._seen) > 100_000:
-                self._seen.clear()
-            self._seen[word] = got
+            if len(word) <= MEMORABLE:
+                if len(self._seen) > 100_000:
+                    self._seen.clear()
+                self._seen[word] = got
         return got
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """Scores (batch, time, tag) from feature ids (batch, time, 4)."""
-        before, here, after = (w[ids].sum(axis=2) for w in self.weights)
+        before, here, after = (sum(w[ids[..., f]] for f in range(ids.shape[-1])) for w in self.weights)
         here[:, 1:] += before[:, :-1]
         here[:, :-1] += after[:, 1:]
         return here
 
     def viterbi(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best tags (batch, time); beyond a row's length they mean nothing."""
-        e = self.emissions(ids)
+        return self.best_path(self.emissions(ids), lengths)
+
+    def best_path(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Best tags from scores (batch, time, tag), with "outside" before and after each row."""
         n, steps, tags = e.shape
         back = np.zeros((n, steps, tags), np.int8)
-        score = e[:, 0] + self.transition[0]  # as if "outside" stood before
+        score = e[:, 0] + self.transition[0]
         for t in range(1, steps):
             ways = score[:, :, None] + self.transition[None]
             back[:, t] = ways.argmax(axis=1)
@@ -209,6 +233,43 @@ class Crf:
         return float(e[0] - e[1:].max() - max(into, within, 0))
 
 
+    def reach(self, most: int = 64) -> int | None:
+        """The least number of plain words in a row, with plain neighbours, among which the best path is "outside" once.
+
+        Whatever tags stand on either side, every path through that many plain
+        words without "outside" must weigh less than the best one with it; and
+        every way from "outside" over other tags back to it less than staying.
+        None if ``most`` words do not do, so that nothing may be cut.
+        """
+        stay = self.emissions(np.array([[self.plain] * 3]))[0, 1]
+        step = self.transition + stay - (self.transition[0, 0] + stay[0])  # into a plain word, staying outside weighs 0
+        away = step[1:, 1:]
+        inner = step[:, 1:]  # from any tag, after so many words all of other tags
+        outer = step[:, :1] + np.where(np.arange(len(step)) == 0, 0.0, -np.inf)  # the same with one "outside" at least
+        found = None
+        for n in range(1, most + 1):
+            if (inner[0] + self.transition[1:, 0] - self.transition[0, 0]).max() >= 0:  # out and back again
+                return None
+            without = (inner[:, :, None] + self.transition[None, 1:]).max(axis=1)
+            within = (outer[:, :, None] + self.transition[None]).max(axis=1)
+            if found is None and (without < within).all():
+                found = n
+            full = (outer[:, :, None] + step[None]).max(axis=1)
+            full[:, 0] = np.maximum(full[:, 0], (inner + step[1:, 0]).max(axis=1))
+            inner, outer = (inner[:, :, None] + away[None]).max(axis=1), full
+        # no ring of other tags may gain, else longer ways could still win
+        return found if inner[0].max() < 0 and self._best_ring(away) < 0 else None
+
+    @staticmethod
+    def _best_ring(step: np.ndarray) -> float:
+        """The heaviest ring's mean weight is below 0 if that of every ring of up to all tags is."""
+        walk, best = step, np.diag(step).max()
+        for _ in range(len(step) - 1):
+            walk = (walk[:, :, None] + step[None]).max(axis=1)
+            best = max(best, np.diag(walk).max())
+        return float(best)
+
+
 @lru_cache(1)
 def trained(steps: int = 80, decay: float = 1e-3) -> Crf:
     """Fit by gradient ascent on the penalised log-likelihood of the labelled table."""
@@ -265,6 +326,7 @@ def trained(steps: int = 80, decay: float = 1e-3) -> Crf:
             target += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         crf.weights[:, 0] = 0  # features never seen
     crf.transition = free + ban
+    crf.cut = crf.reach()
     return crf
 
 
@@ -272,7 +334,7 @@ def _valid(kind: str, s: str) -> bool:
     """What a span found by the field must hold to be kept."""
     d = _digits(s)
     if kind == "email":
-        return bool(re.search(r"@|\bat\b", s) and re.search(r"\.|\bdot\b", s) and re.search("[A-Za-z]", s))
+        return bool(re.search(r"@|\bat\b", s, re.IGNORECASE) and re.search(r"\.|\bdot\b", s, re.IGNORECASE) and re.search("[A-Za-z]", s))
     if kind == "ip":
         parts = re.split(r"[^0-9]+", s.strip("[]()."))
         return len(parts) == 4 and all(0 < len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -281,29 +343,44 @@ def _valid(kind: str, s: str) -> bool:
     return 7 <= len(d) <= 15 and not re.search("[A-Za-z]", s)
 
 
-def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of words (start, end) near what may be personal data; the rest of the text is plain."""
-    out: list[list[tuple[int, int]]] = []
-    until = 0
-    for hint in _HINT.finditer(text):
-        if hint.start() < until:
-            continue
-        # words before the hint: back over REACH words, but not into the stretch before
-        start = max(until, hint.start() - 1)
-        low, seen = start, 0
-        while low > until and seen <= REACH:
-            low -= 1
-            if text[low] in " \t\n\v\f\r" and low + 1 < len(text) and text[low + 1] not in " \t\n\v\f\r":
-                seen += 1
-        words, since = [], 0
-        for m in _WORD.finditer(text, low if low == until else low + 1):
-            words.append(m.span())
-            since = 0 if m.end() <= hint.end() or _HINT.search(text, max(0, m.start() - 1), min(len(text), m.end() + 1)) else since + 1
-            until = m.end()
-            if since > REACH:
-                break
-        out.append(words)
-    return out
+def _words(crf: Crf, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the numbers of those that are not plain."""
+    starts, ends, odd, at, n = [], [], [], 0, 0
+    while at < len(text):
+        to = at + CHUNK
+        gap = re.compile(r"[\x20\x09-\x0D]").search(text, to) if to < len(text) else None
+        part = text[at : gap.start()] if gap else text[at:]
+        words = _WORD.findall(part)
+        signs = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.concatenate(([False], (signs != 32) & ((signs < 9) | (signs > 13)), [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + at
+        starts.append(edges[::2])
+        ends.append(edges[1::2])
+        odd.append(np.flatnonzero(np.fromiter(map(crf.odd.__getitem__, words), bool, len(words))) + n)
+        n += len(words)
+        at += len(part)
+        if not part:  # the gap itself
+            at += 1
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *starts]), np.concatenate([none, *ends]), np.concatenate([none, *odd])
+
+
+def stretches(words: int, odd: np.ndarray, cut: int | None) -> list[tuple[int, int]]:
+    """Numbers (first, end) of the words to decode together: texts are cut where ``2 * (cut + 1)`` words in a row are plain.
+
+    ``cut + 1`` plain words stay on either side of the others, at the start of
+    the text and at its end.
+    """
+    if not words:
+        return []
+    if cut is None:
+        return [(0, words)]
+    keep = cut + 1
+    marks = np.unique(np.concatenate(([-1], odd, [words])))
+    wide = np.flatnonzero(np.diff(marks) - 1 >= 2 * keep)
+    first = np.concatenate(([0], marks[wide + 1] - keep))
+    end = np.concatenate((marks[wide] + 1 + keep, [words]))
+    return list(zip(first.tolist(), end.tolist()))
 
 
 def _trim(text: str, start: int, end: int) -> tuple[int, int]:
@@ -314,24 +391,35 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def field_spans(crf: Crf, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """Spans of each text by the random field, checked but not yet held against the base spans."""
+def field_spans(crf: Crf, texts: list[str], cut: int | None = -1) -> list[list[tuple[str, int, int]]]:
+    """Spans of each text by the random field, checked but not yet held against the base spans.
+
+    ``cut`` is the field's own reach if not given; with None whole texts are decoded.
+    """
+    cut = crf.cut if cut == -1 else cut
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    jobs = sorted(((i, s) for i, t in enumerate(texts) for s in stretches(t)), key=lambda x: len(x[1]))
+    split = [_words(crf, t) for t in texts]
+    jobs = [(i, a, b) for i, (starts, _, odd) in enumerate(split) for a, b in stretches(len(starts), odd, cut)]
+    jobs.sort(key=lambda x: x[2] - x[1])
     at = 0
     while at < len(jobs):
         to = at + 1
-        while to < len(jobs) and (to - at + 1) * len(jobs[to][1]) <= BATCH:
+        while to < len(jobs) and (to - at + 1) * (jobs[to][2] - jobs[to][1]) <= BATCH:
             to += 1
         part, at = jobs[at:to], to
-        steps = len(part[-1][1])
-        ids, lengths = np.zeros((len(part), steps, 4), np.int64), np.array([len(s) for _, s in part])
-        for row, (i, words) in enumerate(part):
-            ids[row, : len(words)] = [crf.ids(texts[i][a:b]) for a, b in words]
-        best = crf.viterbi(ids, lengths)
+        steps, lengths = part[-1][2] - part[-1][1], np.array([b - a for _, a, b in part])
+        ids = np.zeros((len(part), steps + 2, 4), np.int64)  # one word on either side as context; 0 beyond a text's ends
+        for row, (i, a, b) in enumerate(part):
+            starts, ends, _ = split[i]
+            low, high = max(0, a - 1), min(len(starts), b + 1)
+            text = texts[i]
+            ids[row, low - a + 1 : high - a + 1] = [crf.ids(text[x:y]) for x, y in zip(starts[low:high].tolist(), ends[low:high].tolist())]
+        best = crf.best_path(crf.emissions(ids)[:, 1:-1], lengths)
+        best[np.arange(steps) >= lengths[:, None]] = 0
         for row in np.flatnonzero((best > 0).any(axis=1)).tolist():
-            i, words = part[row]
-            tags = best[row, : len(words)].tolist()
+            i, first, end = part[row]
+            starts, ends, _ = split[i]
+            tags = best[row, : end - first].tolist()
             j = 0
             while j < len(tags):
                 tag, k = tags[j], j + 1
@@ -339,7 +427,7 @@ def field_spans(crf: Crf, texts: list[str]) -> list[list[tuple[str, int, int]]]:
                     while k < len(tags) and tags[k] == (tag + 1 if tag % 2 else tag):
                         k += 1
                     kind = KINDS[(tag - 1) // 2]
-                    a, b = _trim(texts[i], words[j][0], words[k - 1][1])
+                    a, b = _trim(texts[i], int(starts[first + j]), int(ends[first + k - 1]))
                     if a < b and _valid(kind, texts[i][a:b]):
                         found[i].append((kind, a, b))
                 j = k
