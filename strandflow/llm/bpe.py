@@ -8,7 +8,11 @@ these chains over the whole list and returns the most bytes one can span.  A
 token is stable, and is emitted, once that many bytes after its end have been
 seen; encoding starts again at its end, since what follows a token of an
 encoding is encoded alone in the same way.  So memory holds one window,
-whatever the length of the piece.
+whatever the length of the piece.  Every piece goes this way; one that ends
+within its first window is stable as a whole.
+
+Before the transducer stands a memory of the ids of units it has encoded, since
+words come again; it is bounded, and without it the ids are the same.
 
 Decoding maps ids to bytes and feeds them to an incremental UTF-8 state
 machine; bytes that form no character become U+FFFD.
@@ -18,7 +22,6 @@ from __future__ import annotations
 
 import bisect
 import codecs
-import heapq
 import json
 import re
 import sys
@@ -30,19 +33,20 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Unicode's White_Space property has it (Python's \\s has four more).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Pieces of up to so many bytes are encoded in one window and remembered.
-WHOLE_PIECE = 256
-#: Remembered pieces of one worker at most; then it starts anew.
+#: Units of up to so many characters are remembered once encoded; 0 for none.
+REMEMBERED = 256
+#: Remembered units of one worker at most; then it starts anew.
 MEMORY = 250_000
 #: Characters split into pieces at a time.
 CHUNK = 1 << 16
-#: Bytes a long piece's window advances by, beside the lookahead.
-STEP = 2048
+#: Bytes a window holds beside the lookahead (the longest token, if that is more).
+STEP = 128
 
 
 def byte_characters() -> list[str]:
@@ -117,18 +121,28 @@ class _Units(dict):
 
     def __missing__(self, unit: str) -> str:
         got = self.machine.encode_unit(unit)
-        if len(unit) <= WHOLE_PIECE:
+        return self.keep(unit, got)
+
+    def keep(self, unit: str, ids: str) -> str:
+        if len(unit) <= REMEMBERED:
             if len(self) >= MEMORY:
                 self.clear()
-            self[unit] = got
-        return got
+            self[unit] = ids
+        return ids
+
+
+class _Pieces(_Units):
+    """The same for pieces."""
+
+    def __missing__(self, piece: str) -> str:
+        return self.keep(piece, self.machine.encode_piece(piece))
 
 
 class Transducer:
     """A byte-level BPE vocabulary with streaming encoding and decoding."""
 
-    def __init__(self, path: str) -> None:
-        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    def __init__(self, vocabulary: bytes) -> None:
+        spec = json.loads(vocabulary)
         model = spec["model"]
         to_byte = {c: b for b, c in enumerate(byte_characters())}
         as_bytes = lambda s: bytes(to_byte[c] for c in s)
@@ -146,14 +160,16 @@ class Transducer:
         self.lookahead = sufficient_lookahead(self.merges)
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._piece = piece_pattern()
-        self._known: dict[str, str] = {}
         self._space = re.compile(f"[{SPACE}]")
-        self._units = _Units(self)
+        self._units, self._pieces = _Units(self), _Pieces(self)
+        self._size = {i: len(t) for t, i in self.ids.items()}
+        self.step = max([STEP, *self._size.values()])
         self._text_of: dict[bytes, bytes] = {str(i).encode(): t for i, t in self.token.items()}
 
     # encoding
 
-    def _merge_short(self, data: bytes) -> list[int]:
+    def _merge(self, data: bytes) -> list[int]:
+        """Ids of one window: the pair of least rank, the leftmost of equals, is merged until there is none."""
         parts = [self._byte_id[b] for b in data]
         rank, far, made = self._pair_rank.get, len(self.merges), self._made
         ranks = [rank(a << 20 | b, far) for a, b in zip(parts, parts[1:])]
@@ -170,50 +186,26 @@ class Transducer:
                 ranks[i] = rank(parts[i] << 20 | parts[i + 1], far)
         return parts
 
-    def _merge_long(self, data: bytes) -> list[bytes]:
-        n = len(data)
-        part: list[bytes | None] = [data[i : i + 1] for i in range(n)]
-        after, before, rank = [*range(1, n), -1], [-1, *range(n - 1)], self.rank
-        heap = [(rank[p], i) for i in range(n - 1) if (p := (part[i], part[i + 1])) in rank]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = after[i] if part[i] is not None else -1
-            if j < 0 or rank.get((part[i], part[j])) != r:
-                continue
-            part[i], part[j] = part[i] + part[j], None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (x := rank.get((part[a], part[b]))) is not None:
-                    heapq.heappush(heap, (x, a))
-        return [p for p in part if p is not None]
-
-    def stream(self, blocks: Iterable[bytes]) -> Iterator[bytes]:
-        """Tokens of one piece that comes in blocks, each emitted once it is stable."""
-        held, blocks, ended = b"", iter(blocks), False
+    def stream(self, blocks: Iterable[bytes]) -> Iterator[int]:
+        """Ids of one piece that comes in blocks, each emitted once its token is stable."""
+        held, blocks, ended, width = b"", iter(blocks), False, self.step + self.lookahead
         while not ended or held:
-            while not ended and len(held) < STEP + self.lookahead:
+            while not ended and len(held) <= width:
                 block = next(blocks, None)
                 ended, held = block is None, held + (block or b"")
-            window = held[: STEP + self.lookahead]
-            last, done = ended and len(window) == len(held), 0
-            for token in self._merge_long(window):
-                if not last and done + len(token) > len(window) - self.lookahead:
+            last, done = ended and len(held) <= width, 0
+            for token in self._merge(held[:width]):
+                size = self._size[token]
+                if not last and done + size > self.step:
                     break
                 yield token
-                done += len(token)
-            held = held[done:]
+                done += size
             if last:
                 return
+            held = held[done:]
 
-    def _encode_piece(self, piece: str) -> str:
-        data = piece.encode()
-        if len(data) <= WHOLE_PIECE:
-            return ",".join(map(str, self._merge_short(data)))
-        tokens = self.stream(piece[i : i + STEP].encode() for i in range(0, len(piece), STEP))
-        return ",".join(str(self.ids[t]) for t in tokens)
+    def encode_piece(self, piece: str) -> str:
+        return ",".join(map(str, self.stream(piece[i : i + STEP].encode() for i in range(0, len(piece), STEP))))
 
     def _chunks(self, text: str) -> Iterator[str]:
         """Slices of a text at places where its pieces end whatever comes after: before a lone blank."""
@@ -247,17 +239,7 @@ class Transducer:
                     yield ",".join(out)
 
     def _encode_pieces(self, text: str) -> str:
-        known, out = self._known, []
-        for piece in self._piece.findall(text):
-            got = known.get(piece)
-            if got is None:
-                got = self._encode_piece(piece)
-                if len(piece) <= WHOLE_PIECE:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[piece] = got
-            out.append(got)
-        return ",".join(out)
+        return ",".join(map(self._pieces.__getitem__, self._piece.findall(text)))
 
     def encode_unit(self, unit: str) -> str:
         """A blank and what follows it up to the next blank: its pieces depend on nothing else,
@@ -286,23 +268,44 @@ class Transducer:
 
 @lru_cache(2)
 def transducer(path: str) -> Transducer:
+    """The transducer of a vocabulary file, made once."""
+    return Transducer(Path(path).read_bytes())
+
+
+class _Shipped:
+    """A broadcast vocabulary; equal ones have one transducer in each worker."""
+
+    def __init__(self, held: Broadcast, digest: str) -> None:
+        self.held, self.digest = held, digest
+
+    def __hash__(self) -> int:
+        return hash(self.digest)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Shipped) and other.digest == self.digest
+
+
+@lru_cache(2)
+def _machine(shipped: _Shipped) -> Transducer:
     """One transducer for each worker process and vocabulary."""
-    return Transducer(path)
+    return Transducer(shipped.held.value)
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``, and ``ids`` or ``decoded`` where asked.
 
-    ``vocabulary`` is a tokenizer file that every executor can read at that
-    path.  Null texts count as empty: no tokens, digests of the empty string.
-    Strings of added tokens become their ids, as that library does it.  Rows
-    are handled alone, so repeats, null ids and an empty table need no care;
-    further columns are ignored.
+    ``vocabulary`` is a tokenizer file that the driver can read; its bytes (some
+    megabytes) are broadcast.  Null texts count as empty: no tokens, digests of
+    the empty string.  Strings of added tokens become their ids, as that library
+    does it.  Rows are handled alone, so repeats, null ids and an empty table
+    need no care; further columns are ignored.
     """
+    blob = Path(vocabulary).read_bytes()
+    shipped = _Shipped(docs.sparkSession.sparkContext.broadcast(blob), sha256(blob).hexdigest())
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(vocabulary)
+        machine = _machine(shipped)
         for batch in batches:
             out: list[list] = [[] for _ in range(3 + keep_ids + keep_text)]
             for text in batch.column(1):

@@ -791,3 +791,55 @@ def test_field_on_texts_written_by_hand():
         missed += len(set(want) - set(got))
     print(f"precision {hit / (hit + wrong):.2f}, recall {hit / (hit + missed):.2f}")
     assert hit / (hit + wrong) >= 0.8 and hit / (hit + missed) >= 0.7
+
+
+# 5, every piece through the transducer
+
+
+def vocabulary_of(merges):
+    import json
+
+    names = bpe.byte_characters()
+    as_text = lambda b: "".join(names[x] for x in b)
+    tokens = [bytes([b]) for b in range(256)] + list(dict.fromkeys(a + b for a, b in merges))
+    return json.dumps({"model": {"vocab": {as_text(t): i for i, t in enumerate(tokens)}, "merges": [f"{as_text(a)} {as_text(b)}" for a, b in merges]}, "added_tokens": []}).encode()
+
+
+def test_transducer_on_random_merge_lists(monkeypatch):
+    """Windows of a few bytes give what merging the whole piece gives."""
+    monkeypatch.setattr(bpe, "STEP", 3)
+    rng = random.Random(13)
+    cut = 0
+    for _ in range(300):
+        known = [b"a", b"b", b"c"]
+        merges = []
+        for _ in range(rng.randint(0, 9)):
+            pair = (rng.choice(known), rng.choice(known))
+            if pair not in merges and len(pair[0] + pair[1]) < 7:
+                merges.append(pair)
+                known.append(pair[0] + pair[1])
+        machine = bpe.Transducer(vocabulary_of(merges))
+        for _ in range(12):
+            data = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 60)))
+            size = rng.randint(1, 9)
+            assert list(machine.stream(data[i : i + size] for i in range(0, len(data), size))) == machine._merge(data)
+            cut += len(data) > machine.step + machine.lookahead
+    assert cut > 1000
+
+
+def test_without_memory(monkeypatch, vocabulary):
+    machine = bpe.transducer(vocabulary)
+    rng = random.Random(14)
+    tokens = [t.decode() for t in machine.ids if t.isalpha()]
+    texts = ["don't  we\n\nsay so " * 40, "x" * 3000, " " * 700, "".join(rng.choice(tokens) for _ in range(500)), " ".join(rng.choice(tokens) for _ in range(500)), ""]
+    want = [machine.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "REMEMBERED", 0)
+    bare = bpe.Transducer(open(vocabulary, "rb").read())
+    assert [bare.encode(t) for t in texts] == want
+    assert max(map(len, bare._units), default=0) == max(map(len, bare._pieces), default=0) == 0
+
+
+def test_round_trip_of_no_rows(spark, vocabulary):
+    assert bpe.round_trip(odd(spark).limit(0), vocabulary, keep_ids=True, keep_text=True).count() == 0
+    got = bpe.round_trip(odd(spark), vocabulary, keep_text=True).collect()
+    assert sorted(r.decoded for r in got) == sorted(["", "", "", "", "x y z", "long " * 4000, "long " * 4000])
