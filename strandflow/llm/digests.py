@@ -86,12 +86,41 @@ def with_digest(docs: DataFrame, text_col: str = "text", out_col: str = "fingerp
     return docs.withColumn(out_col, hexed(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")))
 
 
-def _bucket_of(splits: list[int]) -> Column:
-    """How many of the ascending splits are at or above the id: 0 for the largest ids."""
+def _place(splits: list[int]) -> Column:
+    """How many of the ascending splits are below ``_id``."""
     if not splits:
-        return F.lit(0)
+        return F.lit(0).cast("long")
     halving = F.expr(f"aggregate(sequence(1, {len(splits).bit_length() + 1}), named_struct('a', 0L, 'b', {len(splits)}L), (s, _i) -> if(s.a >= s.b, s, if(_splits[(s.a + s.b) div 2] < _id, named_struct('a', (s.a + s.b) div 2 + 1L, 'b', s.b), named_struct('a', s.a, 'b', (s.a + s.b) div 2))))")
-    return F.lit(len(splits)) - halving["a"]
+    return halving["a"]
+
+
+def _ranges(quantiles: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Distinct splits, how many ranges the ids of each alone fill, and the number of the first of its ranges.
+
+    Ranges are numbered in the order of rows: from the largest id down.  An id
+    that is several quantiles fills as many ranges, by the hash of its texts;
+    the ids between it and the next split share the range after them.
+    """
+    splits = sorted(set(quantiles))
+    fills = [n if (n := quantiles.count(s)) > 1 else 0 for s in splits]
+    first, number = [0] * len(splits), 1  # range 0: above all splits
+    for i in range(len(splits) - 1, -1, -1):
+        first[i], number = number, number + fills[i] + 1
+    return splits, fills, first
+
+
+def _bucket(quantiles: list[int]) -> Column:
+    """The number of a row's range, from ``_id``, ``_hash`` and ``_splits``."""
+    splits, fills, first = _ranges(quantiles)
+    if not splits:
+        return F.lit(0)
+    at = _place(splits)
+    number = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), at.cast("int") + 1)
+    heavy = (F.col("_id") == F.col("_splits")[at.cast("int")]) & (number(fills) > 0)
+    # the hash of a text as a share of all hashes, from the least up
+    share = F.col("_hash").cast("double") / float(1 << 64) + 0.5
+    part = F.least(F.floor(share * number(fills)), number(fills) - 1)
+    return F.when(at == len(splits), 0).otherwise(number(first) + F.when(heavy, part).otherwise(number(fills))).cast("int")
 
 
 def edited(text: str, following: str) -> str:
@@ -136,33 +165,41 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Each row's digest, its edited text's and the next row's, and their likeness.
 
     The next row is that of the next lower id; after the last comes the first.
-    Rows are dealt into ranges of ids (quantiles of all ids) and sorted there;
-    the first row of each range is copied to the end of the range before it, so
-    texts are shuffled once and no range needs another.
+    Rows are dealt into ranges of ids (quantiles of all ids), a task for each
+    range, and sorted there; the first row of each range is copied to the end of
+    the range before it, so texts are shuffled once and no range needs another.
+    An id that fills several quantiles (nulls are one) is dealt by its texts.
 
     Null texts count as empty.  Null ids come last; rows of one id are in the
-    order of their texts (they share a range).  A lone row follows itself.  An
-    empty table gives an empty result; further columns are ignored.
+    order of their texts, and where ids fill several ranges in that of the
+    texts' hashes (``xxhash64``), then texts, so that only rows that agree in
+    both must share a task.  A lone row follows itself.  An empty table gives an
+    empty result; further columns are ignored.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"))
+    last = -(1 << 63)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("_id"))
     n = buckets or shuffle_partitions(spark)
     shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else None
-    splits = sorted(set(ids.agg(F.percentile_approx("_id", shares, max(10_000, 20 * n))).first()[0] or [])) if shares is not None else []
-    # the largest id of each range that has rows: one number for each range
-    with_splits = ids.withColumn("_splits", F.array(*[F.lit(s).cast("long") for s in splits]).cast("array<long>"))
-    heads = {r["b"]: r["top"] for r in with_splits.groupBy(_bucket_of(splits).alias("b")).agg(F.max("_id").alias("top")).collect()}
+    quantiles = ids.agg(F.percentile_approx("_id", shares, max(10_000, 20 * n))).first()[0] or [] if shares is not None else []
+    splits = F.array(*[F.lit(s).cast("long") for s in sorted(set(quantiles))]).cast("array<long>")
+    with_range = lambda df: df.withColumn("_splits", splits).withColumn("_own", _bucket(quantiles)).drop("_splits")
+    # the first row of each range: texts are hashed only where an id fills several
+    several = [s for s in set(quantiles) if quantiles.count(s) > 1]
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("_id"), text.alias("text"))
+    hashed = F.xxhash64("text") if several else F.lit(0).cast("long")
+    marked = with_range(keyed.withColumn("_hash", hashed).drop("text"))
+    first = F.max(F.struct("_id", (F.lit(-1) - F.col("_hash")).alias("_turned"))).alias("top")
+    heads = {r["_own"]: (r["top"]["_id"], -1 - r["top"]["_turned"]) for r in marked.groupBy("_own").agg(first).collect()}  # a row for each range
     order = sorted(heads)
-    before = {heads[b]: order[i - 1] for i, b in enumerate(order)}  # the first range's head also ends the last
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_splits", F.array(*[F.lit(s).cast("long") for s in splits]).cast("array<long>")).withColumn("_own", _bucket_of(splits).cast("int"))
-    own = F.struct(F.col("_own").alias("bucket"), F.lit(0).alias("extra"))
-    if before:
-        copy_to = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in (int(pair[0]), int(pair[1]))]), F.col("_id"))
-        both = F.when(copy_to.isNotNull(), F.array(own, F.struct(copy_to.cast("int").alias("bucket"), F.lit(1).alias("extra")))).otherwise(F.array(own))
-    else:
-        both = F.array(own)
-    dealt = rows.select("_id", "doc_id", "text", F.explode(both).alias("to")).select("to.bucket", "to.extra", "_id", "doc_id", "text")
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", F.desc("_id"), "text").select("bucket", "extra", "doc_id", "text")
+    facts = [(b, i, *heads[b], (i - 1) % len(order)) for i, b in enumerate(order)]  # the first range's head also ends the last
+    heads_table = spark.createDataFrame(facts, "_own int, bucket int, _head long, _head_hash long, copy_to int")
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = with_range(rows.withColumn("_id", F.coalesce("doc_id", F.lit(last))).withColumn("_hash", hashed)).join(F.broadcast(heads_table), "_own")
+    own, copy = F.struct("bucket", F.lit(0).alias("extra")), F.struct(F.col("copy_to").alias("bucket"), F.lit(1).alias("extra"))
+    both = F.when((F.col("_id") == F.col("_head")) & (F.col("_hash") == F.col("_head_hash")), F.array(own, copy)).otherwise(F.array(own))
+    dealt = rows.select("_id", "_hash", "doc_id", "text", F.explode(both).alias("to")).select("to.bucket", "to.extra", "_id", "_hash", "doc_id", "text")
+    dealt = dealt.repartitionById(max(1, len(order)), F.col("bucket")).sortWithinPartitions("bucket", "extra", F.desc("_id"), "_hash", "text").select("bucket", "extra", "doc_id", "text")
     return dealt.mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
