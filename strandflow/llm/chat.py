@@ -7,7 +7,10 @@ a longer one is dropped by an anti-join; of equal conversations the one with
 the least id stays.  DataFrame functions only.
 
 Prefix hashes of a long conversation are made from blocks of its turns, so that
-no single task has to hold it before it is rendered.
+no single task has to hold it before it is rendered.  Rendering makes one text
+of it and so gathers it in one row, as must be: a conversation longer than a
+Spark string (2 GB) has no such row.  That goes for turns without a conversation
+id as well, which count as one; ``render=False`` gathers nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: Values of ``turn`` in one block.
 BLOCK = 256
 _NONE = -(1 << 63)
@@ -42,21 +47,23 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     return rolled.select("conv", "n", "pos", "role", "text", *[F.bit_xor(f"h{i}").over(upto).bitwiseXOR(F.col(f"e{i}")).alias(f"p{i}") for i in (1, 2)])
 
 
-def maximal_conversations(turns: DataFrame) -> DataFrame:
+def maximal_conversations(turns: DataFrame, render: bool = True) -> DataFrame:
     """``(conv_id, n_turns, n_logged, text)``, one row for each conversation that no longer one begins with.
 
     ``turns`` has ``conv_id, turn, role, text``.  Turns are in the order of
     ``turn`` (nulls last), then role, then text; null roles and texts count as
     empty; repeated turns are turns of their own.  Turns without a conversation
     id form one conversation with a null id.  ``n_logged`` counts the equal
-    conversations behind a row.  An empty table gives an empty result; further
-    columns are ignored.
+    conversations behind a row.  Without ``render`` there is no ``text``.  An
+    empty table gives an empty result; further columns are ignored.
     """
-    rolled = prefix_hashes(turns)
+    rolled = stage(prefix_hashes(turns), "chat-prefixes")  # read three times
     whole = rolled.where("pos = n").select("conv", "n", F.col("p1").alias("w1"), F.col("p2").alias("w2"))
     unique = whole.groupBy("n", "w1", "w2").agg(F.min("conv").alias("conv"), F.count("*").alias("n_logged"))
     inner = rolled.where("pos < n").select(F.col("pos").alias("n"), F.col("p1").alias("w1"), F.col("p2").alias("w2")).distinct()
     kept = unique.join(inner, ["n", "w1", "w2"], "left_anti").select("conv", F.col("n").alias("n_turns"), "n_logged")
+    if not render:
+        return kept.select(F.nullif("conv", F.lit(_NONE)).alias("conv_id"), "n_turns", "n_logged")
     line = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
     said = rolled.select("conv", "pos", line.alias("line")).join(kept, "conv")
     said = said.groupBy("conv", "n_turns", "n_logged").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))

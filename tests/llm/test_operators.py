@@ -843,3 +843,31 @@ def test_round_trip_of_no_rows(spark, vocabulary):
     assert bpe.round_trip(odd(spark).limit(0), vocabulary, keep_ids=True, keep_text=True).count() == 0
     got = bpe.round_trip(odd(spark), vocabulary, keep_text=True).collect()
     assert sorted(r.decoded for r in got) == sorted(["", "", "", "", "x y z", "long " * 4000, "long " * 4000])
+
+
+# 8, ids that fill several ranges
+
+
+@pytest.mark.parametrize("buckets", [1, 6, 40])
+def test_digests_of_hot_ids(spark, buckets):
+    rng = random.Random(15)
+    rows = [(None, f"none {i} " * rng.randint(1, 9)) for i in range(60)] + [(7, f"seven {i} " * rng.randint(1, 9)) for i in range(60)] + [(i, f"own {i}") for i in range(20, 60)] + [(3, "same text")] * 12 + [(2, None), (1, "")]
+    df = frame(spark, rows).withColumns({"bucket": F.lit(1), "_own": F.lit(2), "_hash": F.lit("x")})
+    hashed = frame(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h, r.text))
+    if buckets == 1:  # no id fills several ranges, so texts alone decide
+        order = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.text))
+    want = Counter()
+    for a, b in zip(order, order[1:] + order[:1]):
+        half = len(a.text) // 2
+        want[a.doc_id, hashlib.sha256((a.text[: len(a.text) - half] + b.text[:half]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in digests.compare_with_edits(df, buckets=buckets).collect()) == want
+
+
+# 1, without rendering
+
+
+def test_chat_collapse_without_texts(spark):
+    logs = [(0, [("user", "a")]), (1, [("user", "a"), ("assistant", "b")]), (2, [("user", "a"), ("assistant", "b")]), (3, [("user", "c")])]
+    got = chat.maximal_conversations(turns(spark, logs), render=False)
+    assert got.columns == ["conv_id", "n_turns", "n_logged"] and {tuple(r) for r in got.collect()} == {(1, 2, 2), (3, 1, 1)}
