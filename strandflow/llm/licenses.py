@@ -1,16 +1,24 @@
 """Operator 2: licence scans by sparse TF-IDF and directory inheritance.
 
-Header lines that speak of licensing, and licence files whole, are compared with
+Headers that speak of licensing, and licence files whole, are compared with
 licence templates by the cosine of their TF-IDF vectors; document frequencies
-are counted over all such segments.  A file without a licence of its own
-inherits that of the nearest ancestor directory with a licence file, found by
-joining each directory's ancestors with the licensed directories.
-
-Equal segments are compared once.  DataFrame functions only.
+are counted over all such segments.  A header is a comment block or a paragraph
+joined to one segment, since notices are wrapped; each of its lines that speaks
+of licensing is a segment too, since a paragraph may say other things.  What
+speaks of licensing is told by :data:`LINE`, which finds every template.  A file
+without a licence of its own inherits that of the nearest ancestor directory
+with a licence file, found by joining each directory's ancestors with the
+licensed directories.
+
+Equal segments are compared once.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +55,35 @@ IDENTIFIERS = {name: [name, f"{name}-only", f"{name}-or-later"] if "GPL" in name
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
+_SAYS = re.compile(LINE)
+_OPENS = re.compile(r"\s*(?://+!?|/\*+!?|\*+(?!/)|#+!?|--+|;+|%+|<!--|\"\"\"|''')\s?")
+_CLOSES = re.compile(r"\s*(?:\*+/|-->|\"\"\"|''')\s*$")
+
+
+def header_blocks(text: str) -> Iterator[str]:
+    """Comment blocks and paragraphs of several lines that speak of licensing, each joined to one line without comment signs."""
+    held: list[str] = []
+    kind, inside = "", False
+
+    def joined() -> Iterator[str]:
+        if len(held) > 1 and _SAYS.search((block := " ".join(" ".join(held).split())).lower()):
+            yield block
+
+    for line in text.split("\n"):
+        opened = _OPENS.match(line)
+        now = "comment" if opened or inside else "text" if line.strip() else ""
+        if now != kind or not now:
+            yield from joined()
+            held, kind = [], now
+        said = line[opened.end() :] if opened else line
+        if "/*" in line:
+            inside = "*/" not in line[line.index("/*") :]
+        elif "*/" in line:
+            inside = False
+        held.append(_CLOSES.sub("", said))
+    yield from joined()
+
+
 def _header(identifier: str) -> str:
     return f"SPDX-License-Identifier: {identifier}".lower()
 
@@ -98,11 +135,16 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     table gives an empty result; further columns are ignored.
     """
     files = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    @F.pandas_udf("array<string>")
+    def blocks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else list(header_blocks(t)))
+
     lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(LINE))
     # each identifier of an SPDX header is asked by itself as well, whatever else its line says
     stated = F.flatten(F.transform(lines, lambda x: F.flatten(F.transform(F.regexp_extract_all(F.lower(x), F.lit(SPDX), F.lit(1)), lambda e: F.regexp_extract_all(e, F.lit(TERM), F.lit(0))))))
     stated = F.filter(F.array_distinct(stated), lambda t: t.isin([i.lower() for ids in IDENTIFIERS.values() for i in ids]))
-    lines = F.concat(lines, F.transform(stated, lambda t: F.concat(F.lit(_header("")), t)))
+    lines = F.concat(lines, F.transform(stated, lambda t: F.concat(F.lit(_header("")), t)), blocks(F.when(F.lower("text").rlike(LINE), F.col("text"))))
     named = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
     asked = F.when(named, F.array_append(lines, F.col("text"))).otherwise(lines)
     folder = F.regexp_replace(F.regexp_replace(F.coalesce("path", F.lit("")), "^/+", ""), "/?[^/]*$", "")

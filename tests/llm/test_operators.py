@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -871,3 +872,83 @@ def test_chat_collapse_without_texts(spark):
     logs = [(0, [("user", "a")]), (1, [("user", "a"), ("assistant", "b")]), (2, [("user", "a"), ("assistant", "b")]), (3, [("user", "c")])]
     got = chat.maximal_conversations(turns(spark, logs), render=False)
     assert got.columns == ["conv_id", "n_turns", "n_logged"] and {tuple(r) for r in got.collect()} == {(1, 2, 2), (3, 1, 1)}
+
+
+# 2, wrapped headers and many folders
+
+
+def wrapped(text, width, leader):
+    lines, now = [], ""
+    for w in text.split():
+        if now and len(now) + len(w) > width:
+            lines.append(now)
+            now = w
+        else:
+            now = f"{now} {w}".strip()
+    return "\n".join(leader + x for x in [*lines, now])
+
+
+def test_wrapped_headers(spark):
+    files, want = [], {}
+    for n, (name, text) in enumerate(licenses.TEMPLATES.items()):
+        for m, (leader, before, after) in enumerate([("# ", "#!/bin/sh\n", "\nx = 1\n"), (" * ", "/*\n", "\n */\nint x;\n"), ("", "/*\n", "\n*/\ncode();\n"), ("", "Some words first.\n\n", "\n\nOther words follow.")]):
+            files.append((100 * n + m, f"p{n}/q{m}/x", before + wrapped(text, 60, leader) + after))
+            want[100 * n + m] = name
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == want
+    notice = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3"
+    rows = [(0, "a", notice), (1, "b", notice.replace("\n", "\n# ")), (2, "c", None), (2, "c", None), (3, "d/LICENSE", notice + " of the License\n" * 1), (4, "e", "word " * 200_000)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert len(got) == 6 and {r.doc_id: r.license for r in got} == {0: "GPL-3.0", 1: "GPL-3.0", 2: None, 3: "GPL-3.0", 4: None}
+    assert list(licenses.header_blocks("a\nb\n\nlicense x\n// y\n// License z\nnext\n\n/* copyright\nme */\n")) == ["y License z", "copyright me"]
+
+
+def test_inheritance_in_many_folders(spark):
+    rng = random.Random(16)
+    folder = lambda: "/".join(rng.choice("abc") for _ in range(rng.randint(0, 5)))
+    texts = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", None: "nothing known here"}
+    files = []
+    for i in range(400):
+        named = rng.random() < 0.15
+        says = rng.choice(list(texts)) if named or rng.random() < 0.1 else None
+        at = folder()
+        files.append((i, f"{rng.choice(['', '/'])}{at}{'/' * bool(at)}{'LICENSE' if named else f'f{i}.txt'}", texts[says], says, at, named))
+    given = defaultdict(set)
+    for _, _, _, says, at, named in files:
+        if named and says:
+            given[at].add(says)
+    got = licenses.scan_licenses(spark.createDataFrame([f[:3] for f in files], "doc_id long, path string, text string")).collect()
+    for r in got:
+        _, _, _, says, at, _ = files[r.doc_id]
+        parts = at.split("/") if at else []
+        above = next((p for p in ("/".join(parts[:k]) for k in range(len(parts), -1, -1)) if given.get(p)), None)
+        if says:
+            assert (r.license, r.origin) == (says, "own")
+        elif above is None:
+            assert (r.license, r.origin) == (None, "none")
+        else:
+            assert r.license in given[above] and (r.origin, r.inherited_from) == ("inherited", above)
+    for at in given:  # a folder with several gives one of them to all
+        assert len({r.license for r in got if r.inherited_from == at and r.origin == "inherited"}) <= 1
+
+
+# Recall of near copies
+
+
+def test_near_copy_recall_on_the_small_tables(spark):
+    """All pairs of the table at a similarity of 0.8 or more lie in one group, and groups hold nothing else."""
+    table = Path("/root/testdata/sf0.01/documents.parquet")
+    if not table.exists():
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(str(table))
+    sets = {r.doc_id: {tuple(w) for w in (lambda ws: [ws[i : i + 5] for i in range(max(1, len(ws) - 4))] if ws else [])(words_of((r.text or "").lower()))} for r in docs.collect()}
+    by = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            by[x].append(i)
+    shared = Counter((a, b) for ids in by.values() if len(ids) > 1 for n, a in enumerate(ids) for b in ids[n + 1 :])
+    links = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    empty = [i for i, s in sets.items() if not s]
+    got = {r.id: r.group for r in near_copies.near_copies(docs).collect()}
+    assert len(links) > 20 and all(got[a] == got[b] for a, b in links)
+    assert got == groups([*links, *zip(empty, empty[1:])], sets)
