@@ -57,25 +57,23 @@ def kmer_id(kmer: Column, *, star_is_mask: bool = False) -> Column:
     return out.otherwise(F.lit(UNK))
 
 
-def _digits(seq: Column) -> Column:
-    """The bases as base-4 digits, anything else as a dot."""
-    return F.translate(seq, "0123ACGT", "....0123")
-
-
 def kmer_ids(seq: Column | str, k: int, shift: int, offset: Column | int = 0) -> Column:
     """Ids of a segment's k-mers, translated once for the whole segment.
 
-    A segment of known bases alone, the usual case, needs no check for each k-mer.
+    Bases become base-4 digits in bytes, where cutting out a k-mer costs its own
+    length; in a string it would cost a walk from the start.  A segment of known
+    bases alone, the usual case, needs no check for each k-mer.
     """
-    d = _digits(col(seq))
+    digits = F.regexp_replace(F.translate(col(seq), "0123ACGT", "....0123"), "[^0-3]", ".")
 
     def ids(s: Column) -> Column:
         starts = kmer_starts(F.length(s), k, shift, offset)
-        plain = F.transform(starts, lambda i: F.conv(F.substring(s, i + 1, F.lit(k)), 4, 10).cast("int") + len(SPECIALS))
-        mixed = F.transform(starts, lambda i: F.when(F.contains(F.substring(s, i + 1, F.lit(k)), F.lit(".")), F.lit(UNK)).otherwise(F.conv(F.substring(s, i + 1, F.lit(k)), 4, 10).cast("int") + len(SPECIALS)))
-        return F.when(F.contains(s, F.lit(".")), mixed).otherwise(plain)
+        cut = lambda i: F.substring(s, i + 1, F.lit(k)).cast("string")
+        known = lambda i: F.conv(cut(i), 4, 10).cast("int") + len(SPECIALS)
+        mixed = F.transform(starts, lambda i: F.when(F.contains(cut(i), F.lit(".")), F.lit(UNK)).otherwise(known(i)))
+        return F.when(F.contains(s.cast("string"), F.lit(".")), mixed).otherwise(F.transform(starts, known))
 
-    return let(F.regexp_replace(d, "[^0-3]", "."), ids)
+    return let(F.encode(digits, "US-ASCII"), ids)
 
 
 def encode_ids(

@@ -1,12 +1,14 @@
-"""Masked-language-model collation with hash randomness, so results do not depend on partitioning."""
+"""Masked-language-model collation; draws are fixed by seed, row and place, so results do not depend on partitioning."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from .numbering import unit_interval
+from .numbering import uniform, uniform_values
 
 IGNORED = -100
 
@@ -29,6 +31,17 @@ def dilate(hits: Column, left: int, right: int) -> Column:
     return F.transform(hits, covered)
 
 
+def dilated(hits: np.ndarray, row: np.ndarray, first: np.ndarray, end: np.ndarray, left: int, right: int) -> np.ndarray:
+    """:func:`dilate` of rows that lie end to end: ``row`` of each place, ``first`` and ``end`` of each row."""
+    at = np.flatnonzero(hits)
+    low, high = np.maximum(at - left, first[row[at]] + 1), np.minimum(at + right, end[row[at]] - 2)
+    some = low <= high
+    steps = np.zeros(len(hits) + 1, np.int32)
+    np.add.at(steps, low[some], 1)
+    np.add.at(steps, high[some] + 1, -1)
+    return hits | (np.cumsum(steps[:-1]) > 0)
+
+
 def mask_tokens(
     rows: DataFrame,
     vocabulary_size: int,
@@ -47,16 +60,39 @@ def mask_tokens(
     Seeds fall on tokens that are no specials; a mask spreads ``left`` and
     ``right`` of each.  Masked tokens become MASK with chance ``replace``, of the
     rest a random id with chance ``random``, else stay.
+
+    A numpy kernel over Arrow batches: neighbourhoods by running sums over the
+    few hits, where array lambdas would look around every place; fates are drawn
+    for masked places alone.
     """
     check_neighborhood(left, right)
-    u = lambda salt, i: unit_interval(F.lit(seed), F.lit(salt), F.col(row_id), i)
-    hits = F.transform(F.col(ids), lambda x, i: (x >= len(S.SPECIALS)) & (u(1, i) < probability))
-    out = rows.withColumn("_hits", hits).withColumn("_mask", dilate(F.col("_hits"), left, right)).withColumn("_ids", F.col(ids))
-    labels = F.zip_with("_ids", "_mask", lambda x, m: F.when(m, x).otherwise(F.lit(IGNORED)))
-    pairs = F.zip_with("_ids", "_mask", lambda x, m: F.struct(x.alias("x"), m.alias("m")))
-    other = lambda i: F.floor(u(4, i) * vocabulary_size).cast("int")
-    changed = F.transform(pairs, lambda p, i: F.when(~p["m"], p["x"]).when(u(2, i) < replace, F.lit(S.MASK)).when(u(3, i) < random, other(i)).otherwise(p["x"]))
-    return out.withColumn("labels", labels).withColumn(ids, changed).drop("_hits", "_mask", "_ids")
+
+    @F.arrow_udf("array<array<int>>")
+    def masked(row_ids: pa.Array, lists: pa.Array) -> pa.Array:
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = np.array(lists.value_lengths().fill_null(0), np.int64)
+        end = np.cumsum(sizes)
+        first = end - sizes
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(values)) - first[row]
+        key = np.array(row_ids.fill_null(0), np.int64)[row]
+        hits = (values >= len(S.SPECIALS)) & (uniform_values(seed, 1, key, place) < probability)
+        at = np.flatnonzero(dilated(hits, row, first, end, left, right))
+        fate = lambda salt: uniform_values(seed, salt, key[at], place[at])
+        labels = np.full(len(values), IGNORED, np.int64)
+        labels[at] = values[at]
+        other = np.where(fate(3) < random, (fate(4) * vocabulary_size).astype(np.int64), values[at])
+        values[at] = np.where(fate(2) < replace, S.MASK, other)
+        # a row's ids, then its labels
+        both = np.empty(2 * len(values), np.int32)
+        both[np.arange(len(values)) + first[row]] = values
+        both[np.arange(len(values)) + end[row]] = labels
+        inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.repeat(sizes, 2)))).astype(np.int32)), pa.array(both))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(sizes) + 1, 2, dtype=np.int32)), inner)
+
+    out = rows.withColumn("_both", masked(F.col(row_id).cast("long"), F.col(ids)))
+    null = F.col(ids).isNull()
+    return out.withColumns({"labels": F.when(~null, F.col("_both")[1]), ids: F.when(~null, F.col("_both")[0])}).drop("_both")
 
 
 def mask_positions(ids: Column, positions: Column, left: int = 3, right: int = 3) -> Column:
@@ -103,7 +139,7 @@ def random_windows(
     """
     if distribution not in DISTRIBUTIONS:
         raise ValueError(f"The distribution must be one of {DISTRIBUTIONS}")
-    u = lambda salt: unit_interval(F.lit(seed), F.lit(salt), F.col(row_id))
+    u = lambda salt: uniform(seed, salt, F.col(row_id))
     n, top = F.size(ids), max_length - 2 * special
     short = F.when(n < min_length, F.raise_error(F.lit("A row is shorter than the least length")).cast("int")).otherwise(n)
     cut = F.lit(truncation) >= u(1)

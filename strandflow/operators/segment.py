@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import segmentation_parameters
 from .checks import check_expected_columns, is_valid_primary_key
-from .numbering import cumulative, unit_interval
+from .numbering import cumulative, uniform, unit_interval
 from .ranges import interval_join
 
 SEGMENT_COLUMNS = ("segment_id", "sequence_id", "segment_start", "segment_end", "segment")
@@ -28,14 +28,14 @@ def sampled(sequences: DataFrame, min_length: int = 0, max_length: int = 512, co
 
     A place belongs to the sequence whose interval holds it, so long ones are
     drawn more often and empty ones never; windows are cut at the sequence's
-    end and dropped below ``min_length`` (``segment_id`` then has gaps).  Draws
-    are hashes of their number, so partitioning does not matter.
+    end and dropped below ``min_length``.  Draws are fixed by seed and number,
+    so partitioning does not matter.
     """
     known = sequences.select("sequence_id", F.length("sequence").cast("long").alias("length")).where("length > 0")
     total = known.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     n = -(-int(round(total * coverage * 1_000_000)) // (max_length * 1_000_000))
     spans = cumulative(known, "sequence_id", "length", "high").withColumn("low", F.col("high") - F.col("length"))
-    draws = sequences.sparkSession.range(n).select(F.floor(unit_interval(F.lit(seed), F.col("id")) * total).cast("long").alias("place"))
+    draws = sequences.sparkSession.range(n).select(F.floor(uniform(seed, F.col("id")) * total).cast("long").alias("place"))
     hits = interval_join(draws, "place", spans.select("sequence_id", "low", "high"), "low", "high", width=max(1, total // max(1, n)) * 64)
     cut = hits.select("sequence_id", (F.col("place") - F.col("low")).cast("int").alias("segment_start"), "place")
     cut = cut.join(sequences.select("sequence_id", "sequence"), "sequence_id").withColumn("segment_end", F.least(F.col("segment_start") + max_length, F.length("sequence")))
@@ -93,6 +93,8 @@ def number_segments(cut: DataFrame, order: Column) -> DataFrame:
 
 
 def train_test_split(df: DataFrame, key: str = "sequence_id", test_share: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """A split that depends on each row's key alone."""
-    in_test = unit_interval(F.lit(seed), F.col(key)) < test_share
+    """A split that depends on each row's key alone (for integers by :func:`uniform`); rows without a key are trained on."""
+    whole = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    drawn = uniform(seed, F.col(key)) if whole else F.when(F.col(key).isNotNull(), unit_interval(F.lit(seed), F.col(key)))
+    in_test = F.coalesce(drawn < test_share, F.lit(False))
     return df.where(~in_test), df.where(in_test)

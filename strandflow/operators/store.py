@@ -6,15 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from .numbering import cumulative, first_seen_codes, unit_interval
+from .numbering import cumulative, dense_rows, first_seen_codes, uniform
 from .ranges import interval_join
 
 
+#: Bytes of drawn rows that a join may broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def token_length(store: DataFrame) -> Column:
+    """A contig's number of tokens: the store's ``length_tok`` where it has that, so that no tokens are read."""
+    return (F.col("length_tok") if "length_tok" in store.columns else F.size("tokens")).cast("long")
+
+
 def contig_metadata(store: DataFrame, item_bytes: int = 2) -> DataFrame:
     """Catalogue of a store ``(cid, accession, shard_id, tokens)``: places in its shard and file names."""
     from pyspark.sql import Window
 
-    size = F.size("tokens").cast("long")
+    size = token_length(store)
     before = Window.partitionBy("shard_id").orderBy("cid").rowsBetween(Window.unboundedPreceding, -1)
     out = store.select("cid", "accession", "shard_id", size.alias("length_tok"))
     out = out.withColumn("offset_tok", F.coalesce(F.sum("length_tok").over(before), F.lit(0)))
@@ -22,7 +31,7 @@ def contig_metadata(store: DataFrame, item_bytes: int = 2) -> DataFrame:
 
 
 def shards_info(store: DataFrame) -> DataFrame:
-    return store.groupBy("shard_id").agg(F.count("*").alias("n_contigs"), F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0)).alias("n_tokens"))
+    return store.groupBy("shard_id").agg(F.count("*").alias("n_contigs"), F.coalesce(F.sum(token_length(store)), F.lit(0)).alias("n_tokens"))
 
 
 def window_at(tokens: Column | str, start: Column, length: int, pad: int = 0) -> Column:
@@ -39,22 +48,36 @@ def window_by_accession(store: DataFrame, asked: DataFrame, length: int, pad: in
     return found.select(*asked.columns, window_at(tokens, F.col("start"), length, pad).alias("window"))
 
 
-def draw_pairs(store: DataFrame, length: int, k: int, seed: int = 1337) -> DataFrame:
-    """``k`` draws ``(draw_id, cid, start, l_eff)``: contigs by their length, starts uniform in each."""
-    spans = store.select("cid", F.size("tokens").cast("long").alias("length")).where("length > 0")
+def draw_pairs(store: DataFrame, length: int, k: int, seed: int = 1337, by_shard: bool = False) -> DataFrame:
+    """``k`` draws ``(draw_id, cid, start, l_eff)``: contigs by their length, starts uniform in each.
+
+    Only lengths are read (one job adds them up first).  ``by_shard`` numbers
+    the draws in the order of shards and places, as readers of sharded files
+    want them.
+    """
+    spans = store.select("cid", "shard_id" if by_shard else F.lit(0).alias("shard_id"), token_length(store).alias("length")).where("length > 0")
     total = spans.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     if not total:
         raise ValueError("No contig has tokens")
     ends = cumulative(spans, "cid", "length", "high").withColumn("low", F.col("high") - F.col("length"))
-    draws = store.sparkSession.range(k).select(F.col("id").alias("draw_id"), F.floor(unit_interval(F.lit(seed), F.lit(1), F.col("id")) * total).cast("long").alias("place"))
+    draws = store.sparkSession.range(k).select(F.col("id").alias("draw_id"), F.floor(uniform(seed, 1, F.col("id")) * total).cast("long").alias("place"))
     hits = interval_join(draws, "place", ends, "low", "high", width=max(1, total // max(1, k)) * 64)
-    start = F.floor(unit_interval(F.lit(seed), F.lit(2), F.col("draw_id")) * (F.greatest(F.col("length") - length, F.lit(0)) + 1)).cast("int")
-    return hits.select("draw_id", "cid", start.alias("start"), F.least(F.col("length"), F.lit(length)).cast("int").alias("l_eff"))
+    start = F.floor(uniform(seed, 2, F.col("draw_id")) * (F.greatest(F.col("length") - length, F.lit(0)) + 1)).cast("int")
+    out = hits.select("draw_id", "cid", "shard_id", start.alias("start"), F.least(F.col("length"), F.lit(length)).cast("int").alias("l_eff"))
+    if by_shard:
+        out = dense_rows(out, "shard_id", ["cid", "start", "draw_id"], "_n", block=1).drop("draw_id").withColumnRenamed("_n", "draw_id")
+    return out.select("draw_id", "cid", "start", "l_eff")
 
 
-def draw_windows(store: DataFrame, length: int, k: int, seed: int = 1337, pad: int = 0) -> DataFrame:
-    """``(draw_id, cid, start, l_eff, window)``; a store bucketed by ``cid`` joins without a shuffle of its tokens."""
-    return draw_pairs(store, length, k, seed).join(store.select("cid", "tokens"), "cid").select("draw_id", "cid", "start", "l_eff", window_at("tokens", F.col("start"), length, pad).alias("window"))
+def draw_windows(store: DataFrame, length: int, k: int, seed: int = 1337, pad: int = 0, by_shard: bool = False) -> DataFrame:
+    """``(draw_id, cid, start, l_eff, window)``: the draws meet one scan of the store.
+
+    Draws of a bounded size are broadcast, so tokens are never shuffled; of more
+    a store bucketed by ``cid`` is joined without a shuffle of its tokens.
+    """
+    draws = draw_pairs(store, length, k, seed, by_shard)
+    draws = F.broadcast(draws) if k * 48 <= BROADCAST_BYTES else draws
+    return store.select("cid", "tokens").join(draws, "cid").select("draw_id", "cid", "start", "l_eff", window_at("tokens", F.col("start"), length, pad).alias("window"))
 
 
 def sample_catalogue(store: DataFrame, draws: DataFrame, length: int) -> DataFrame:
@@ -72,7 +95,9 @@ def labelled_windows(store: DataFrame, assemblies: DataFrame, length: int, k: in
     field between bars is its id; codes follow the first appearance by ``pos``.
     """
     coded = first_seen_codes(assemblies, "assembly_id", "pos", "label").select("accession_id", "assembly_id", "label")
-    drawn = draw_windows(store, length, k, seed).join(store.select("cid", "accession"), "cid")
+    draws = draw_pairs(store, length, k, seed)
+    draws = F.broadcast(draws) if k * 48 <= BROADCAST_BYTES else draws
+    drawn = store.select("cid", "accession", "tokens").join(draws, "cid").select("draw_id", "cid", "start", "l_eff", window_at("tokens", F.col("start"), length).alias("window"), "accession")
     keyed = drawn.withColumn("accession_id", F.coalesce(F.split("accession", r"\|")[1], F.col("accession")))
     return keyed.join(coded, "accession_id", "left").withColumn("attention_mask", S.attention_mask("window", (S.PAD, S.UNK, S.CLS, S.SEP)))
 

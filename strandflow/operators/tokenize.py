@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import tokenization_parameters
 from ..functions import sequences as S
 from .checks import is_valid_primary_key
-from .numbering import dense_rows, unit_interval
+from .numbering import dense_rows, uniform
 
 
 @dataclass(frozen=True)
@@ -128,15 +128,16 @@ def load_vocabulary(spark, path: str) -> DataFrame:
     return lines
 
 
-def tokenize_segments(segments: DataFrame, tokenizer: KmerTokenizer | None = None, *, unique: bool = True) -> DataFrame:
+def tokenize_segments(segments: DataFrame, tokenizer: KmerTokenizer | None = None, *, unique: bool = True, check: bool = True) -> DataFrame:
     """``(segment_id, offset, ids)``: a row for each segment and offset.
 
-    With ``unique=False`` repeated ids keep their last row by ``position``.
+    Ids are checked to be unique by a job of their own; ``check=False`` leaves
+    that out for segments numbered by :func:`.segment.segment_sequences`.  With ``unique=False`` repeated ids keep their last row by ``position``.
     """
     t = tokenizer or KmerTokenizer()
     if not unique:
         segments = segments.groupBy("segment_id").agg(F.max_by("segment", "position").alias("segment"))
-    elif not is_valid_primary_key(segments, "segment_id"):
+    elif check and not is_valid_primary_key(segments, "segment_id"):
         raise ValueError("segment_id must be unique and not null")
     return segments.select("segment_id", F.posexplode(t.encode_all("segment")).alias("offset", "ids"))
 
@@ -161,10 +162,30 @@ def rectangular(tokens: DataFrame, max_token_count: int, *, randomize: bool = Fa
     if not randomize:
         return rows
     span = 1 << 20
-    keyed = rows.withColumnRenamed("torch_id", "original_torch_id").withColumn("_key", F.floor(unit_interval(F.lit(seed), F.col("original_torch_id")) * span).cast("long"))
+    keyed = rows.withColumnRenamed("torch_id", "original_torch_id").withColumn("_key", F.floor(uniform(seed, F.col("original_torch_id")) * span).cast("long"))
     return dense_rows(keyed, "_key", ["original_torch_id"], "torch_id", block=64).drop("_key")
 
 
+def rectangular_segments(segments: DataFrame, tokenizer: KmerTokenizer | None = None, max_token_count: int | None = None) -> DataFrame:
+    """``(torch_id, segment_id, offset, input_ids)`` straight from segments, with what :func:`rectangular` gives for their tokens.
+
+    Segments must be numbered densely from 0, as :func:`.segment.segment_sequences`
+    does it: then a row's number is ``segment_id * shift + offset``, the width
+    follows from the longest segment, and no tokens are shuffled or made twice.
+    Only where a segment holds unknown bases, whose sentence may come out empty,
+    is its width taken from its ids.
+    """
+    t = tokenizer or KmerTokenizer()
+    most = max_token_count or t.token_limit
+    known = F.translate(F.upper("segment"), "ACGT", "") == ""
+    count = F.greatest(F.floor((F.length("segment") - t.kmer) / F.lit(float(t.shift))) + 1, F.lit(0)).cast("int") + 2 * t.special
+    taken = F.when(known, count).otherwise(F.array_max(F.transform(t.encode_all("segment"), lambda x: F.size(x))))
+    width = min(most, int(segments.agg(F.coalesce(F.max(taken), F.lit(0))).first()[0]))
+    too_long = F.raise_error(F.lit("A token vector is longer than the maximum token count")).cast("array<int>")
+    rows = segments.select("segment_id", F.posexplode(t.encode_all("segment")).alias("offset", "ids"))
+    return rows.select((F.col("segment_id") * t.shift + F.col("offset")).cast("long").alias("torch_id"), "segment_id", "offset", F.when(F.size("ids") > most, too_long).otherwise(S.pad_ids("ids", width)).alias("input_ids"))
+
+
 def truncate_zero_columns(rows: DataFrame, ids: str = "input_ids") -> DataFrame:
     return rows.withColumn(ids, F.slice(F.col(ids), F.lit(1), F.lit(max_width(rows, ids))))
 

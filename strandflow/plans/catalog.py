@@ -24,14 +24,14 @@ def segments(spark: SparkSession, sf_dir: str, keep: str = "ACGTacgt", min_lengt
 
 
 def tokens(spark: SparkSession, sf_dir: str, tokenizer: KmerTokenizer, keep: str = "ACGTacgt") -> DataFrame:
-    return tokenize_segments(segments(spark, sf_dir, keep), tokenizer)
+    return tokenize_segments(segments(spark, sf_dir, keep), tokenizer, check=False)  # numbered just now
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A token store: each contig's k-mers of six by shift one, in eight shards."""
     from ..functions.sequences import kmer_ids
 
-    return contigs(spark, sf_dir).select(F.col("sequence_id").alias("cid"), F.col("fasta_id").alias("accession"), (F.col("sequence_id") % 8).cast("int").alias("shard_id"), kmer_ids("sequence", 6, 1).alias("tokens"))
+    return contigs(spark, sf_dir).select(F.col("sequence_id").alias("cid"), F.col("fasta_id").alias("accession"), (F.col("sequence_id") % 8).cast("int").alias("shard_id"), F.greatest(F.length("sequence") - 5, F.lit(0)).cast("long").alias("length_tok"), kmer_ids("sequence", 6, 1).alias("tokens"))
 
 
 def segment_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,8 +131,7 @@ _RECT = _with(SEGMENTS, C.sql_tokens(6, 2, 2), "rows_ AS (SELECT g.segment_id, o
 
 @query(_RECT + "SELECT row_number() OVER (ORDER BY segment_id, off) - 1 AS torch_id, segment_id, CAST(off AS INTEGER) AS \"offset\", list_resize(ids, w, 0) AS input_ids FROM filled, wide")
 def rectangular(spark, d):
-    rows = C.tokens(spark, d, KmerTokenizer(6, 2))
-    return tokenize.rectangular(rows, 300)
+    return tokenize.rectangular_segments(C.segments(spark, d), KmerTokenizer(6, 2), 300)
 
 
 @query(_with(SEGMENTS) + "SELECT row_number() OVER (ORDER BY segment_id, off) - 1 AS torch_id, segment_id, CAST(off AS INTEGER) AS \"offset\" FROM segments, (SELECT unnest(range(0, 2)) AS off)")
