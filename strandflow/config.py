@@ -68,8 +68,9 @@ PRETRAINING = {
 #: Bytes of an integer to Spark's type of that width.
 INTEGER_TYPES = {1: "tinyint", 2: "smallint", 4: "int", 8: "bigint"}
 
-_TRUE, _FALSE = ("true", "1", "yes"), ("false", "0", "no")
-_CASTS = {"integer": int, "int": int, "float": float, "string": str, "str": str, "list": list, "tuple": tuple, "set": set, "dict": dict}
+_CASTS = {"integer": int, "int": int, "float": float, "string": str, "str": str}
+#: Types whose values are taken as they are or not at all.
+_KINDS = {"list": list, "tuple": tuple, "set": set, "dict": dict}
 
 
 class Config:
@@ -93,12 +94,13 @@ class Config:
         kind = self._spec(group, name).type
         try:
             if kind in ("bool", "boolean"):
-                low = str(value).lower()
-                if low not in (*_TRUE, *_FALSE):
-                    raise ValueError(low)
-                return low in _TRUE
+                return {"true": True, "false": False}[str(value).lower()]
             if kind == "type":
                 return value if isinstance(value, type) else {"int": int, "float": float, "str": str}[str(value)]
+            if kind in _KINDS:
+                if not isinstance(value, _KINDS[kind]):
+                    raise TypeError(kind)
+                return value
             return _CASTS[kind](value)
         except (KeyError, TypeError, ValueError) as e:
             raise ValueError(f"{name}: {value!r} is no {kind}") from e

@@ -11,40 +11,55 @@ from pyspark.sql import functions as F
 # Abbreviations in model names.
 ABBREVIATIONS = {"ls": "Ls", "ep": "epochs", "lr": "learning_rate", "bs": "batch_size", "gac": "gradient_accumulation_steps", "mtl": "max_token_length"}
 SEPARATOR = "___"
-_PART = re.compile(r"^(?P<key>" + "|".join(ABBREVIATIONS) + r")_?(?P<value>[-+]?\d*\.?\d+(?:e[-+]?\d+)?)$", re.IGNORECASE)
+#: Signs that numbers in names are written with.
+_NUMBER_SIGNS = "+-.0123456789eE"
 BASE_SCHEMA = "hf_name string, hf_path string, tokenizer_short_name string, max_token_scaling double"
 DEFAULTS_SCHEMA = "basemodel string, seq_length_min int, seq_length_max int, learning_rate double, batch_size double, gradient_accumulation_steps double, max_token_length double"
 
 
-def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A lookup table from CSV, or from a sheet file where pandas can read it."""
+def load_table(spark: SparkSession, path: str, schema: str, sheet: str | int = 0) -> DataFrame:
+    """A lookup table from CSV, or from a named or numbered sheet of a sheet file where pandas can read it."""
     if path.endswith((".xlsx", ".xls")):
         import pandas as pd
 
-        return spark.createDataFrame(pd.read_excel(path))
+        return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet))
     return spark.read.csv(path, header=True, schema=schema)
 
 
+def _parameter(part: str) -> tuple[str, int | float] | None:
+    """A part's parameter: the longest abbreviation it begins with, then a number after an underscore or at once."""
+    known = max((k for k in ABBREVIATIONS if part.lower().startswith(k)), key=len, default=None)
+    if known is None:
+        return None
+    text = part[len(known) :].removeprefix("_")
+    if not text or text.strip(_NUMBER_SIGNS) or text.endswith("."):
+        return None
+    for kind in (int, float):
+        try:
+            return ABBREVIATIONS[known], kind(text)
+        except ValueError:
+            continue
+    return None
+
+
 def parse_model_name(name: str) -> dict:
     """Prefix, base model, task and parameters of a name; parts that are none are left out."""
-    parts = name.split(SEPARATOR)
-    if len(parts) < 3:
+    head, rest = name.split(SEPARATOR)[:3], name.split(SEPARATOR)[3:]
+    if len(head) < 3:
         raise ValueError(f"The name {name} has fewer than three parts")
-    out: dict = dict(zip(("prefix", "base_model", "task"), parts, strict=False))
-    for part in parts[3:]:
-        if m := _PART.match(part):
-            v = m["value"]
-            out[ABBREVIATIONS[m["key"].lower()]] = float(v) if "." in v or "e" in v.lower() else int(v)
-    return out
+    return {"prefix": head[0], "base_model": head[1], "task": head[2]} | dict(filter(None, map(_parameter, rest)))
 
 
 def parsed_names(df: DataFrame, column: str = "name") -> DataFrame:
-    """``df`` with the parts of model names and a map of their parameters (as text)."""
+    """``df`` with the parts of model names and a map of their parameters (as text), by the rule of :func:`parse_model_name`."""
     parts = F.split(column, SEPARATOR)
-    ok = F.filter(F.slice(parts, F.lit(4), F.size(parts)), lambda p: p.rlike("(?i)" + _PART.pattern.replace("?P<key>", "").replace("?P<value>", "")))
-    key = lambda p: F.lower(F.regexp_extract(p, "(?i)^(" + "|".join(ABBREVIATIONS) + ")_?", 1))
-    full = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v))])
-    entries = F.transform(ok, lambda p: F.struct(F.element_at(full, key(p)).alias("key"), F.regexp_replace(p, "(?i)^(" + "|".join(ABBREVIATIONS) + ")_?", "").alias("value")))
+    keys = sorted(ABBREVIATIONS, key=len, reverse=True)
+    key = lambda p: F.coalesce(*[F.when(F.lower(p).startswith(k), k) for k in keys])
+    text = lambda p: F.regexp_replace(F.substring(p, F.length(key(p)) + 1, F.length(p)), "^_", "")
+    number = lambda p: (F.length(text(p)) > 0) & (F.translate(text(p), _NUMBER_SIGNS, "") == "") & ~text(p).endswith(".") & text(p).try_cast("double").isNotNull()
+    names = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
+    found = F.filter(F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(1))), lambda p: F.coalesce(number(p), F.lit(False)))
+    entries = F.transform(found, lambda p: F.struct(F.element_at(names, key(p)).alias("key"), text(p).alias("value")))
     return df.where(F.size(parts) >= 3).withColumns({"prefix": parts[0], "base_model": parts[1], "task": parts[2], "parameters": F.map_from_entries(entries)})
 
 
@@ -64,10 +79,11 @@ def model_name_column(prefix, short_name, dataset, **parameters):
 def training_parameters(defaults: DataFrame, asked: DataFrame) -> DataFrame:
     """``asked`` rows ``(model, length)`` with the first default whose model fits and whose range holds the length.
 
+    Models are joined by equality, so the table of defaults may have any size.
     ``defaults`` has ``pos`` for its order.  Three fields become integers; a row
     without a match keeps nulls.
     """
-    hit = asked.join(F.broadcast(defaults), (F.col("basemodel") == F.col("model")) & (F.col("seq_length_min") < F.col("length")) & (F.col("seq_length_max") >= F.col("length")), "left")
+    hit = asked.join(defaults, (F.col("basemodel") == F.col("model")) & (F.col("seq_length_min") < F.col("length")) & (F.col("seq_length_max") >= F.col("length")), "left")
     first = hit.withColumn("_n", F.row_number().over(Window.partitionBy(*asked.columns).orderBy("pos"))).where("_n = 1")
     whole = {c: F.col(c).cast("int") for c in ("batch_size", "gradient_accumulation_steps", "max_token_length") if c in defaults.columns}
     return first.withColumns(whole).drop("_n", "basemodel", "pos")

@@ -151,8 +151,7 @@ def detokenize(spark, d):
     + "SELECT segment_id, CAST(i / 2 AS INTEGER) AS \"index\", substr(segment, i + 1, 6) AS kmer FROM places WHERE mid >= i AND mid < i + 6"
 )
 def positions_tokens(spark, d):
-    rows = C.segments(spark, d).withColumn("segment", F.substring("segment", F.lit(1), (F.floor(F.length("segment") / 2) * 2).cast("int")))
-    found = rows.select("segment_id", S.tokens_at("segment", F.length("segment") / 2, 6, 2).alias("f"))
+    found = C.segments(spark, d).select("segment_id", S.tokens_at("segment", F.floor(F.length("segment") / 2), 6, 2).alias("f"))
     return found.select("segment_id", F.inline("f")).where("offset = 0").select("segment_id", F.inline("tokens"))
 
 
@@ -334,8 +333,7 @@ def l2_norm(spark, d):
 
 @query(f"WITH {_EMB}, g AS (SELECT label, d, avg(x) AS x FROM e GROUP BY label, d) SELECT label, CAST(d AS INTEGER) AS d, round(x, 9) AS x FROM g")
 def mean_pool(spark, d):
-    rows = C.table(spark, d, "embeddings").groupBy("label").agg(F.collect_list("embedding").alias("h"))  # few hundred vectors a class here
-    return rows.select("label", F.posexplode(S.mean_pool("h")).alias("d", "x")).select("label", "d", F.round("x", 9).alias("x"))
+    return embed.mean_vectors(C.table(spark, d, "embeddings")).select("label", "d", F.round("x", 9).alias("x"))
 
 
 @query(
@@ -460,8 +458,8 @@ def first_seen_codes(spark, d):
 
 @query("SELECT c.c_custkey, coalesce(n.n_name, 'unknown') AS nation FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_nationkey < 20")
 def lookup_default(spark, d):
-    nation = C.table(spark, d, "nation").where("n_nationkey < 20")
-    return ranges.lookup_with_default(C.table(spark, d, "customer"), "c_nationkey", nation, "n_nationkey", "n_name", "unknown", "nation").select("c_custkey", "nation")
+    asked = C.table(spark, d, "customer").withColumn("key", F.when(F.col("c_nationkey") < 20, F.col("c_nationkey")))  # the rest get the default
+    return ranges.lookup_with_default(asked, "key", C.table(spark, d, "nation"), "n_nationkey", "n_name", "unknown", "nation").select("c_custkey", "nation")
 
 
 @query("SELECT a.row_id, a.p_name, b.s_name FROM (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_id, p_name FROM part) a JOIN (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row_id, s_name FROM supplier) b ON a.row_id = b.row_id")

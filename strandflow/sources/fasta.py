@@ -9,11 +9,11 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import revcomp
-from ..operators.numbering import dense_rows
 
 #: Suffixes of nucleotide files.
 SUFFIXES = (".fasta", ".fa", ".fna", ".ffn", ".fas")
@@ -35,19 +35,41 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return parse_records(raw)
 
 
+def _files(spark: SparkSession, paths: list[str]) -> list[tuple[int, str, str]]:
+    """``(number, name, path)`` of each path's files, named as the reader names them; folders and patterns give several."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for i, p in enumerate(paths):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        files = path.getFileSystem(conf)
+        found = list(files.globStatus(path) or [])
+        if not found:
+            raise ValueError(f"The file {p} does not exist")
+        for status in found:
+            for one in sorted(files.listStatus(status.getPath()), key=lambda f: f.getPath().getName()) if status.isDirectory() else [status]:
+                out.append((i, re.sub(r"^(\w+):/+", r"\1:/", one.getPath().toUri().toString()), one.getPath().toString()))
+    return out
+
+
 def load_contigs(spark: SparkSession, paths: list[str], *, reverse_complement: bool = True, uppercase: bool = False) -> DataFrame:
     """The sequence table: records numbered in the order of files and places.
 
     With ``reverse_complement`` record ``i`` gives rows ``2i`` (forward) and
-    ``2i + 1`` (reverse).  Files are read whole, one task for each, and numbered
-    by a running total over files, not over rows.
+    ``2i + 1`` (reverse).  All files are one scan, whatever their number; their
+    order comes from a small table of names.  Records are numbered within the
+    splits that the reader makes, and splits by a running total, so a large file
+    is several tasks.  A file that is named twice is read twice.
     """
-    order = {p: i for i, p in enumerate(paths)}
-    per_file = [spark.read.option("lineSep", "\n>").text(p).select("value", F.lit(i).alias("file"), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos")) for p, i in order.items()]
-    raw = per_file[0]
-    for more in per_file[1:]:
-        raw = raw.unionByName(more)
-    rows = dense_rows(parse_records(raw), "file", ["block", "pos"], "record", block=1)
+    files = _files(spark, paths)
+    order = spark.createDataFrame([f[:2] for f in files], "file int, name string")
+    raw = spark.read.option("lineSep", "\n>").text(sorted({f[2] for f in files})).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
+    # the reader writes a name with one stroke or three after its scheme
+    rows = parse_records(raw).withColumn("name", F.regexp_replace("source_file", r"^(\w+):/+", "$1:/")).join(order, "name").drop("name")
+    splits = rows.groupBy("file", "source_file", "block").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("file", "source_file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    starts = splits.select("file", "source_file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("file", "source_file", "block").orderBy("pos"))
+    rows = rows.withColumn("_rank", rank).join(starts, ["file", "source_file", "block"]).withColumn("record", (F.col("_start") + F.col("_rank") - 1).cast("long"))
     seq = F.upper("sequence") if uppercase else F.col("sequence")
     rows = rows.withColumn("sequence", seq)
     if not reverse_complement:
@@ -99,10 +121,54 @@ def write_fasta(df: DataFrame, path: str, *, files: int | None = None, order: st
 
 
 def write_fasta_per_record(df: DataFrame, path: str) -> None:
-    """A folder for each record's id, named ``fasta_id=<id>``."""
+    """A folder for each record's id, named ``fasta_id=<id>``, by Spark's own writer."""
     df.select("fasta_id", fasta_text().alias("value")).write.mode("overwrite").partitionBy("fasta_id").text(path)
 
 
+def write_fasta_files(df: DataFrame, path: str) -> None:
+    """A file ``<fasta_id>.fasta`` for each record; signs that no file name may hold become underscores.
+
+    Each task writes its own records straight to the folder, which all executors
+    must see, so a repeated attempt writes the same files again.  Records of one
+    id share a file name, and one of them stays.
+    """
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+
+    def write(batches):  # noqa: ANN001, ANN202
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+        for batch in batches:
+            for ident, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name = re.sub(r"[^\w.|=-]", "_", ident or "none")
+                with files.open_output_stream(f"{base.rstrip('/')}/{name}.fasta") as out:
+                    out.write(f"{text}\n".encode())
+            yield batch.slice(0, 0)
+
+    rows = df.select(F.col("fasta_id").cast("string").alias("fasta_id"), fasta_text().alias("value"))
+    rows.mapInArrow(write, rows.schema).write.format("noop").mode("overwrite").save()
+
+
+def greedy_chunks(sizes: np.ndarray, filled: float, chunk: int, limit: float) -> tuple[np.ndarray, float, int]:
+    """Chunk numbers of records in order, and the last chunk's fill and number: a step for each chunk, not for each record.
+
+    A record that would pass the limit opens a chunk, even if the one before is
+    empty.
+    """
+    total, numbers, done = np.concatenate(([0.0], np.cumsum(sizes))), np.empty(len(sizes), np.int64), 0
+    while done < len(sizes):
+        to = max(done, int(np.searchsorted(total, total[done] + limit - filled, "right")) - 1)
+        numbers[done:to] = chunk
+        filled, done = filled + total[to] - total[done], to
+        if done < len(sizes):
+            chunk += 1
+            numbers[done] = chunk
+            filled, done = float(sizes[done]), done + 1
+    return numbers, filled, chunk
+
+
 def chunk_numbers(df: DataFrame, order: str, chunk_mb: float = 10, group: str | None = None) -> DataFrame:
     """``df`` with ``chunk``: records fill a chunk greedily until the next would pass the limit.
 
@@ -119,15 +185,15 @@ def chunk_numbers(df: DataFrame, order: str, chunk_mb: float = 10, group: str |
     def run(frames):  # noqa: ANN001, ANN202
         now, filled, chunk = None, 0.0, 1
         for pdf in frames:
-            numbers = []
-            for g, size in zip(pdf["_group"], pdf["_size"], strict=True):
-                if g != now:
-                    now, filled, chunk = g, 0.0, 1
-                if filled + size > limit:
-                    chunk, filled = chunk + 1, 0.0
-                filled += size
-                numbers.append(chunk)
-            yield pdf.drop(columns=["_group", "_size"]).assign(chunk=pd.Series(numbers, index=pdf.index, dtype="int64"))
+            groups, sizes = pdf["_group"].to_numpy(), pdf["_size"].to_numpy()
+            numbers, at = [np.empty(0, np.int64)], 0
+            for end in [*(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), len(pdf)] if len(pdf) else []:
+                if groups[at] != now:
+                    now, filled, chunk = groups[at], 0.0, 1
+                got, filled, chunk = greedy_chunks(sizes[at:end], filled, chunk, limit)
+                numbers.append(got)
+                at = end
+            yield pdf.drop(columns=["_group", "_size"]).assign(chunk=pd.Series(np.concatenate(numbers), index=pdf.index, dtype="int64"))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", chunk long"
     return spread.mapInPandas(run, schema)
@@ -145,4 +211,4 @@ def stream_fasta(spark: SparkSession, directory: str) -> DataFrame:
     return parse_records(raw)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Path", "Window", "re")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Path", "Window", "np", "re")]

@@ -360,3 +360,137 @@ def test_streaming(spark, tmp_path):
     assert sorted(r.total for r in event_windows(events).collect()) == [3.0, 4.0]
     assert sorted(r.total for r in event_windows(events, "session").collect()) == [3.0, 4.0]
     assert event_windows(events, "sliding", slide="30 minutes").count() == 4
+
+
+def test_contigs_of_many_files(spark, tmp_path):
+    """One scan for all files, in the order given; odd names, several splits, a folder."""
+    paths, want = [], []
+    for i in (3, 1, 2):
+        p = tmp_path / f"a+b é {i}.fa"
+        p.write_text("".join(f">r{i}.{j} x\n{'ACGT' * (j + 1)}\n" for j in range(40)))
+        paths.append(str(p))
+        want += [f"r{i}.{j}" for j in range(40)]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/z.fasta").write_text(">last\nAC")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = fasta.load_contigs(spark, [*paths, str(tmp_path / "sub"), paths[0]], reverse_complement=False).orderBy("sequence_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.fasta_id for r in rows] == [*want, "last", *want[:40]] and [r.sequence_id for r in rows] == list(range(161))
+    assert all(r.sequence == "ACGT" * (int(r.fasta_id.split(".")[1]) + 1) for r in rows if r.fasta_id != "last")
+    with pytest.raises(ValueError):
+        fasta.load_contigs(spark, [str(tmp_path / "none.fa")])
+
+
+def test_record_files_and_chunks(spark, tmp_path):
+    df = spark.createDataFrame([("a/1", "ACGT"), ("b|2", "A" * 70)], "fasta_id string, sequence string")
+    fasta.write_fasta_files(df, str(tmp_path / "out"))
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"a_1.fasta": ">a/1\nACGT\n", "b|2.fasta": f">b|2\n{'A' * 60}\n{'A' * 10}\n"}
+    rng = np.random.default_rng(0)
+    for limit in (1, 10, 55, 1000):
+        sizes = rng.integers(1, 60, 300).astype(float)
+        want, filled, chunk = [], 0.0, 1
+        for x in sizes:
+            if filled + x > limit:
+                chunk, filled = chunk + 1, 0.0
+            filled += x
+            want.append(chunk)
+        got, f, c = np.empty(0, np.int64), 0.0, 1
+        for part in np.array_split(sizes, 7):
+            some, f, c = fasta.greedy_chunks(part, f, c, limit)
+            got = np.concatenate([got, some])
+        assert got.tolist() == want and (f, c) == (filled, chunk)
+
+
+def test_uniform_draws(spark):
+    """The same numbers as column, array and by hand; even, and unrelated from one to the next."""
+    got = np.array([r.u for r in spark.range(20_000).select(numbering.uniform(7, F.col("id") - 5, 3).alias("u")).collect()])
+    assert (got == numbering.uniform_values(7, np.arange(20_000) - 5, 3)).all() and 0 <= got.min() and got.max() < 1
+    assert np.abs(np.histogram(got, 20)[0] - 1000).max() < 150
+    assert abs(np.corrcoef(got[1:], got[:-1])[0, 1]) < 0.03 and abs(np.corrcoef(got[2:], got[:-2])[0, 1]) < 0.03
+    other = numbering.uniform_values(8, np.arange(20_000) - 5, 3)
+    assert abs(np.corrcoef(got, other)[0, 1]) < 0.03
+
+
+def test_mask_kernel_is_the_column_rule(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [2, *rng.integers(5, 90, n).tolist(), 3] if n else []) for i, n in enumerate([0, 1, 2, 3, 30, 200, 7])] + [(99, None)]
+    df = spark.createDataFrame(rows, "row_id long, input_ids array<int>").withColumn("_both", F.lit(1))
+    got = {r.row_id: r for r in masking.mask_tokens(df.drop("_both"), 90, probability=0.2, left=2, right=1, seed=3).collect()}
+    hits = F.transform("input_ids", lambda x, i: (x >= 5) & (numbering.uniform(3, 1, F.col("row_id"), i) < 0.2))
+    want = {r.row_id: r.m for r in df.select("row_id", masking.dilate(hits, 2, 1).alias("m")).collect()}
+    assert got[99].labels is None and all([x != -100 for x in got[i].labels] == want[i] for i, ids in rows if ids is not None)
+
+
+def test_rectangular_from_segments(spark):
+    seqs_ = ["ACGTACGTAC", "ACG", "A" * 31, "NNNNNNNNNNNNNN", "ACGTNNACGTACGTTT", "acgtacgta"]
+    cut = segment.segment_sequences(seqs(spark, *seqs_), {"max_length": 12, "min_length": 2})
+    for t in (KmerTokenizer(6, 2), KmerTokenizer(3, 3, max_unknown=0.1), KmerTokenizer(6, 1, special=False)):
+        want = tokenize.rectangular(tokenize.tokenize_segments(cut, t), 40).collect()
+        got = tokenize.rectangular_segments(cut, t, 40).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    with pytest.raises(Exception, match="longer than the maximum"):
+        tokenize.rectangular_segments(cut, KmerTokenizer(6, 1), 5).collect()
+
+
+def test_draws_by_shard(spark):
+    store = spark.createDataFrame([(i, f"x|A{i}", i % 3, list(range(5, 5 + 10 * i))) for i in range(8)], "cid long, accession string, shard_id int, tokens array<int>")
+    with_length = store.withColumn("length_tok", F.size("tokens"))
+    plain = {(r.cid, r.start) for r in stores.draw_pairs(store, 20, 100).collect()}
+    got = stores.draw_pairs(with_length, 20, 100, by_shard=True).orderBy("draw_id").collect()
+    assert [r.draw_id for r in got] == list(range(100)) and {(r.cid, r.start) for r in got} == plain
+    assert [(r.cid % 3, r.cid, r.start) for r in got] == sorted((r.cid % 3, r.cid, r.start) for r in got)
+    assert stores.draw_windows(with_length, 20, 100, by_shard=True).count() == 100
+
+
+def test_many_classes(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.normal(size=6).tolist(), int(i % 5)) for i in range(60)] + [(60, [1.0] * 6, 1), (61, [1.0] * 6, 1)], "vec_id long, embedding array<double>, label int")
+    centers = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(5)], "class int, centroid array<double>")
+    small = embed.silhouette(df).first()[0], {r.vec_id: r.logits for r in embed.curricular_logits(df, centers, label="label").collect()}
+    monkeypatch.setattr(embed, "BROADCAST_BYTES", 0)
+    large = embed.silhouette(df).first()[0], {r.vec_id: r.logits for r in embed.curricular_logits(df, centers, label="label").collect()}
+    assert small[0] == pytest.approx(large[0]) and all(small[1][i] == pytest.approx(large[1][i]) for i in small[1])
+
+    class Halves:
+        def __init__(self, **options):
+            self.rows = 0
+
+        def fit_transform(self, x):
+            self.rows = len(x)
+            return x[:, :2] / 2
+
+        def transform(self, x):
+            return x[:, :2] / 2
+
+    reducer, fitted = embed.reduce_embeddings(df, Halves, max_rows=10)
+    assert reducer.rows == 10 and len(fitted) == 10
+    assert all(r.projection == [v / 2 for v in r.embedding[:2]] for r in embed.project_embeddings(df, reducer).collect())
+
+
+def test_names_and_slugs(spark):
+    names = ["R___m___t___ls_256___EP2___lr-3e-05___bs_1.5.2___gac_.5___mtl_7.___q_1", "R___m___t", "R___m"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r.name: r.parameters for r in registry.parsed_names(df).collect()}
+    assert registry.parse_model_name(names[0]) == {"prefix": "R", "base_model": "m", "task": "t", "Ls": 256, "epochs": 2, "learning_rate": -3e-05, "gradient_accumulation_steps": 0.5}
+    assert got == {names[0]: {"Ls": "256", "epochs": "2", "learning_rate": "-3e-05", "gradient_accumulation_steps": ".5"}, names[1]: {}}
+    texts = ["  Éscherichia coli (K-12)! ", "***", "a" * 60, "a" * 39 + " b", None, "x  Y__z", "ﬁne"]
+    slugs = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(taxa.slug("t").alias("s")).collect()]
+    assert slugs == [taxa.slugify(t) if t is not None else "unknown" for t in texts]
+
+
+def test_closure_depth(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "taxon_id long, parent_id long")
+    assert taxa.transitive_closure(chain).count() == 21
+    for edges in (chain.unionByName(spark.createDataFrame([(6, 0)], "taxon_id long, parent_id long")), chain):
+        with pytest.raises(ValueError, match="deeper"):
+            taxa.transitive_closure(edges, max_depth=5)
+
+
+def test_strict_casts():
+    c = config.Config({"g": {"l": config.Parameter([], "list"), "t": config.Parameter((), "tuple"), "d": config.Parameter({}, "dict"), "b": config.Parameter(False, "bool")}})
+    assert c.cast_to_expected_type("g", "l", [1]) == [1] and c.cast_to_expected_type("g", "b", "TRUE") is True
+    for name, value in (("l", "abc"), ("t", [1]), ("d", [("a", 1)]), ("b", "yes"), ("b", 1)):
+        with pytest.raises(ValueError):
+            c.cast_to_expected_type("g", name, value)
