@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,16 @@ def auc(df: DataFrame, score: str, label: str = "y") -> DataFrame:
     return total.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p").cast("double") * F.col("n"))).otherwise(-1.0).alias("auc"))
 
 
+def one_vs_rest_auc(df: DataFrame, classes: list[int], scores: str, label: str = "y") -> DataFrame:
+    """One row with the mean over classes of each class's exact area against all others; NaN where a class has no rows or all.
+
+    ``scores`` is an array with a score for each class, in their order.
+    """
+    each = [auc(df.select(F.col(scores)[i].alias("s"), F.when(F.col(label) == c, 1).when(F.col(label).isNotNull(), 0).alias("y")), "s") for i, c in enumerate(classes)]
+    parts = reduce(DataFrame.unionByName, each)
+    return parts.agg(F.avg(F.when(F.col("auc") >= 0, F.col("auc")).otherwise(float("nan"))).alias("auc"))
+
+
 def confusion(df: DataFrame, prediction: str = "y_pred", label: str = "y") -> DataFrame:
     hit = lambda y, p: F.sum(((F.col(label) == y) & (F.col(prediction) == p)).cast("long"))
     return df.agg(*[F.coalesce(hit(y, p), F.lit(0)).alias(n) for n, y, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))])

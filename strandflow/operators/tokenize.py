@@ -99,6 +99,19 @@ class LcaTokenizer:
     def __len__(self) -> int:
         return len(S.SPECIALS) + 4**self.kmer
 
+    @property
+    def vocab_size(self) -> int:
+        return len(self)
+
+    def vocabulary(self, spark) -> DataFrame:
+        return vocabulary(spark, self.kmer)
+
+    def token_to_id(self, token: Column) -> Column:
+        return KmerTokenizer(self.kmer, self.shift).token_to_id(token)
+
+    def id_to_token(self, token: Column) -> Column:
+        return KmerTokenizer(self.kmer, self.shift).id_to_token(token)
+
     def tokenize(self, seq: Column | str, offset: int = 0) -> Column:
         return S.kmers(seq, self.kmer, self.shift, offset)
 
@@ -108,6 +121,20 @@ class LcaTokenizer:
             ids = F.slice(ids, 1, max_length - 2 * special)
         return S.with_specials(ids) if special else ids
 
+    def batch_encode_plus(self, df: DataFrame, sequence: str = "segment", batch: str | None = None, *, special: bool = True, max_length: int | None = None, pad_to: int | None = None) -> DataFrame:
+        """``df`` with ``input_ids``, ``token_type_ids`` and ``attention_mask``, padded as :func:`padded` has it."""
+        return padded(df.withColumn("input_ids", self.encode(sequence, special=special, max_length=max_length)), batch, pad_to)
+
+
+def padded(rows: DataFrame, batch: str | None = None, pad_to: int | None = None) -> DataFrame:
+    """``rows`` with ``input_ids`` padded to ``pad_to``, or to the longest row of each ``batch``, and their masks and types."""
+    from pyspark.sql import Window
+
+    width = F.lit(pad_to) if pad_to is not None else F.max(F.size("input_ids")).over(Window.partitionBy(batch)) if batch else F.size("input_ids")
+    rows = rows.withColumn("_n", F.size("input_ids")).withColumn("input_ids", S.pad_ids("input_ids", width))
+    kept = F.transform("input_ids", lambda _, i: F.when(i < F.col("_n"), 1).otherwise(0))
+    return rows.withColumns({"token_type_ids": S.token_type_ids("input_ids"), "attention_mask": kept}).drop("_n")
+
 
 def vocabulary(spark, k: int) -> DataFrame:
     """``(id, token)``: the specials, then all k-mers in lexicographic order."""
@@ -197,7 +224,8 @@ def classification_table(segments: DataFrame, tokenizer: KmerTokenizer, length:
     return rows.join(segments.select("segment_id", *[c for c in ("y", "label") if c in segments.columns]), "segment_id", "left")
 
 
-#: Encoders by a part of a model's name; add more with :func:`register_encoder`.
+#: Encoders by a part of a model's name; add more with :func:`register_encoder`.  Only this package's own k-mer encoder
+#: is there from the start: models of other families have other tokens, so their names raise until one is registered.
 ENCODERS: dict[str, object] = {}
 
 
@@ -214,18 +242,12 @@ def encoder_for(model_name: str):
 
 
 def encode_batch(df: DataFrame, tokenizer: KmerTokenizer, batch: str | None = None, label: str = "y", max_length: int | None = None) -> DataFrame:
-    """Batches padded to their longest row; ends count as masked; ``labels`` are longs."""
-    from pyspark.sql import Window
-
+    """Batches padded to their longest row, with token types; ends count as masked; ``labels`` are longs."""
     ids = tokenizer.encode("segment")
     ids = S.truncate_ids(ids, max_length) if max_length else ids
-    rows = df.withColumn("input_ids", ids)
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy(batch)) if batch else F.size("input_ids")
-    rows = rows.withColumn("input_ids", S.pad_ids("input_ids", longest))
+    rows = padded(df.withColumn("input_ids", ids), batch)
     rows = rows.withColumn("attention_mask", S.attention_mask("input_ids", (S.PAD, S.UNK, S.CLS, S.SEP)))
     return rows.withColumn("labels", F.col(label).cast("long")) if label in df.columns else rows
 
 
 register_encoder("kmer", encode_batch)
-register_encoder("nucleotide", encode_batch)
-register_encoder("dnabert", encode_batch)

@@ -35,6 +35,14 @@ def _hadoop(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the session ends."""
+    path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    files, where = _hadoop(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
@@ -43,11 +51,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     ``monotonically_increasing_id`` are fixed from here on.  The files go by
     :func:`drop_staged`, at the latest when the session ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    files, where = _hadoop(spark, path)
-    files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     for made in _SCOPES[-1:]:
