@@ -36,9 +36,10 @@ def _hadoop(spark: SparkSession, path: str):
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the session ends."""
+    """A new folder in the shared one; what is written there goes when the session ends."""
     path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
     files, where = _hadoop(spark, path)
+    files.mkdirs(where)  # only what exists can be marked
     files.deleteOnExit(where)
     return path
 
@@ -52,7 +53,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     :func:`drop_staged`, at the latest when the session ends.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     for made in _SCOPES[-1:]:
