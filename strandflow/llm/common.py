@@ -1,16 +1,10 @@
-"""Helpers shared by the training-data operators: reading and staged tables."""
+"""Helpers shared by the training-data operators: the driver's tables, and staged tables by name."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-_SCOPES: list[list[DataFrame]] = []
+from ..staging import CHECKPOINT_KEY, drop_staged, scratch, shared_dir, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,68 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none, a folder is made on one machine (tests) and
-    the setting is filled in, so later calls agree on it; a cluster without the
-    setting raises, since its executors share no folder of their own.
-    """
-    found = spark.conf.get(CHECKPOINT_KEY, None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
-            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors of {master} share")
-        found = "file://" + tempfile.mkdtemp(prefix="strandflow-")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
-
-
-def _hadoop(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs the tasks that were running,
-    never the work that made ``df``, and values such as
-    ``monotonically_increasing_id`` are fixed from here on.  The files go by
-    :func:`drop_staged`, at the latest when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    files, where = _hadoop(spark, path)
-    files.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    for made in _SCOPES[-1:]:
-        made.append(out)
-    return out
-
-
-@contextmanager
-def scratch() -> Iterator[list[DataFrame]]:
-    """Drop the tables staged within the block when it ends; yields their list, from which those to keep can be taken."""
-    made: list[DataFrame] = []
-    _SCOPES.append(made)
-    try:
-        yield made
-    finally:
-        _SCOPES.remove(made)
-        for table_ in made:
-            drop_staged(table_)
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Delete the folder behind a table that :func:`stage` returned and nothing will read again."""
-    files, where = _hadoop(df.sparkSession, df._staged_at)
-    files.delete(where, True)
-    files.cancelDeleteOnExit(where)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's own measure of how finely data of this size is dealt."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+__all__ = ["CHECKPOINT_KEY", "drop_staged", "scratch", "shared_dir", "shuffle_partitions", "stage", "table"]
