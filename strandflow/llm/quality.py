@@ -29,7 +29,7 @@ from .common import drop_staged, stage
 #: Documented bound of the labelled rows the scorer is fitted on.
 POSITIVES = 4000
 #: Unlabelled rows that one task fits, about; more rows make more tasks.
-ROWS_PER_FIT = 50_000
+ROWS_PER_FIT = 16_384
 #: Bytes of a text counted at once.
 BLOCK = 1 << 20
 _SHAPES = 18
@@ -229,9 +229,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = [v.as_py() for batch in batches for v in batch.column(0)]
-        if x:
-            got = fit(p, np.array([_vector(v) for v in x], np.float64), moments=(mean, scale))
-            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([np.concatenate([got.weight, [got.bias, got.prior]])], pa.list_(pa.float64()))], ["n", "w"])
+        if n := len(x):
+            x = np.frombuffer(b"".join(x), np.float32).reshape(n, FEATURES).astype(np.float64)
+            got = fit(p, x, moments=(mean, scale))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.concatenate([got.weight, [got.bias, got.prior]])], pa.list_(pa.float64()))], ["n", "w"])
 
     dealt = rows.select("x", F.xxhash64("id", "x").alias("place")).repartitionById(groups, F.pmod("place", F.lit(groups)).cast("int")).sortWithinPartitions("place", "x")
     fitted = stage(dealt.select("x").mapInArrow(fits, "n long, w array<double>"), "quality-fits")
