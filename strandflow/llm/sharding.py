@@ -141,7 +141,8 @@ def shuffle_into_shards(df: DataFrame, shards: int = 24, seed: int = 42, rows_pe
     sizes = dealt.groupBy("shard", "bin").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("shard", "bin").orderBy("again", "pos")
-    placed = dealt.withColumn("n", F.row_number().over(order))
+    # a task for each bin, whatever the session's number of partitions
+    sorted_ = dealt.repartitionById(int(shards * bins), (F.col("shard") * int(bins) + F.col("bin")).cast("int")).sortWithinPartitions("again", "pos")
+    placed = sorted_.withColumn("n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     placed = placed.join(F.broadcast(offsets) if bins * shards * 16 <= BROADCAST_BYTES else offsets, ["shard", "bin"])
     return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.col("shard").alias(shard_col), (F.col("offset") + F.col("n") - 1).cast("long").alias(slot_col))
