@@ -494,3 +494,64 @@ def test_strict_casts():
     for name, value in (("l", "abc"), ("t", [1]), ("d", [("a", 1)]), ("b", "yes"), ("b", 1)):
         with pytest.raises(ValueError):
             c.cast_to_expected_type("g", name, value)
+
+
+def test_published_weights(tmp_path):
+    """Written under published names and read again, with and without the prefix, in half precision, with a foreign head."""
+    for c in (infer.EncoderConfig(30, 16, 2, 4, 32, 64, positions="relative_key_query", head="mlp"), infer.EncoderConfig(30, 16, 2, 4, 32, 64, head="curricular", projection=6)):
+        w = {k: v + np.random.default_rng(3).normal(size=v.shape).astype(np.float32) * 0.1 for k, v in infer.random_weights(c, 5).items()}
+        infer.save_pretrained(c, w, str(tmp_path / "m"))
+        again, got, report = infer.load_pretrained(str(tmp_path / "m"), strict=True)
+        assert again == c and report == {"missing": [], "unexpected": [], "mismatched": []}
+        assert got.keys() == w.keys() and all(np.array_equal(got[k], w[k]) for k in w)
+        names = infer.load_weights(str(tmp_path / "m/model.safetensors"), base_prefix="none")
+        assert names["bert.encoder.layer.1.attention.self.query.weight"].shape == (16, 16) and (names["bert.encoder.layer.1.attention.self.query.weight"].T == w["1.q"]).all()
+        assert names["bert.encoder.layer.0.intermediate.dense.weight"].shape == (32, 16)
+        other = infer.EncoderConfig(30, 16, 2, 4, 32, 64, positions=c.positions, head="linear", labels=5)
+        fit, report = infer.published_weights(other, str(tmp_path / "m/model.safetensors"))
+        assert (fit["0.up"] == w["0.up"]).all() and "head.linear" in report["missing"] + report["mismatched"]
+        with pytest.raises(ValueError, match="lacks"):
+            infer.published_weights(other, str(tmp_path / "m/model.safetensors"), strict=True)
+        ids, mask = np.array([[2, 7, 8, 3]]), np.ones((1, 4))
+        a, b = (infer.classify(c, x, infer.pool(c, x, infer.encode(c, x, ids, mask), mask)) for x in (w, got))
+        assert np.allclose(a, b, atol=1e-6) and a.shape == (1, 2)
+    import json
+    import struct
+
+    head = json.dumps({"bert.x": {"dtype": "BF16", "shape": [3], "data_offsets": [0, 6]}}).encode()
+    (tmp_path / "b.safetensors").write_bytes(struct.pack("<Q", len(head)) + head + struct.pack("<3H", 0x3F80, 0xC000, 0x0000))
+    assert infer.load_weights(str(tmp_path / "b.safetensors"))["x"].tolist() == [1.0, -2.0, 0.0]
+
+
+def test_heads_and_losses(spark):
+    assert np.abs(infer.erf(np.linspace(-3, 3, 61)) - [math.erf(x) for x in np.linspace(-3, 3, 61)]).max() < 2e-7
+    c = infer.EncoderConfig(30, 16, 1, 4, 32, 64)
+    w = infer.random_weights(c)
+    h, mask = np.random.default_rng(0).normal(size=(1, 5, 16)).astype(np.float32), np.array([[1, 1, 1, 0, 0]])
+    cold, hot = (infer.pool(c, w | {"pool.temperature": np.float32(x)}, h, mask) for x in (-50, 50))
+    assert np.allclose(hot, infer.pool(c, w | {"pool.temperature": np.log(np.float32(10))}, h, mask), atol=1e-6)
+    assert np.allclose(cold, infer.pool(c, w | {"pool.temperature": np.log(np.float32(0.1))}, h, mask), atol=1e-6) and not np.allclose(hot, cold)
+    rows = spark.createDataFrame([([0.5, -1.0], 1), ([2.0, 0.0], 0)], "logits array<double>, labels int")
+    x = np.array([[0.5, -1.0], [2.0, 0.0]])
+    want = np.mean(np.log(np.exp(x).sum(1)) - x[[0, 1], [1, 0]])
+    assert infer.classification_loss(rows).first().loss == pytest.approx(want)
+    one = spark.createDataFrame([([0.5], 1.0), ([2.0], 0.0)], "logits array<double>, labels double")
+    assert infer.classification_loss(one).first().loss == pytest.approx((0.25 + 4) / 2)
+    many = spark.createDataFrame([([0.5, -1.0], [1, 0])], "logits array<double>, labels array<int>")
+    p = 1 / (1 + np.exp(-x[0]))
+    assert infer.classification_loss(many).first().loss == pytest.approx(-np.mean([np.log(p[0]), np.log(1 - p[1])]))
+    with pytest.raises(ValueError):
+        infer.classification_loss(rows, "other")
+
+
+def test_any_models_vectors(spark):
+    mask = np.array([[1, 1, 0]])
+    tokens = np.arange(6, dtype=float).reshape(1, 3, 2)
+
+    class Output:
+        last_hidden_state = tokens
+
+    for output in (tokens, {"embeddings": tokens}, Output(), (tokens * 0, tokens), {"hidden_states": (tokens * 0, tokens)}, [[1.0, 2.0]]):
+        assert infer.vectors_of(output, mask).tolist() == [[1.0, 2.0]]
+    with pytest.raises(TypeError):
+        infer.vectors_of(np.zeros(3), mask)
