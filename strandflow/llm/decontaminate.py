@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import released, stage
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -349,7 +349,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = stage(_keyed(benchmark, item_id, item_text).mapInArrow(_item_rows(window, short_items), ITEM_SCHEMA), "decontaminate-items")
     patterns = sorted(bytes(r["pattern"]) for r in items.select("pattern").distinct().collect())  # at most 110 for windows of five
     held = spark.sparkContext.broadcast(_filter_bits(items))  # 4 MB for every benchmark
-    found = _keyed(docs, id_col, text_col).mapInArrow(_window_rows(window, patterns, held), WINDOW_SCHEMA)
+    found = _keyed(docs, id_col, text_col).mapInArrow(released(_window_rows(window, patterns, held)), WINDOW_SCHEMA)
     items = items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "reading", F.col("pos").alias("at"), "hash", F.col("slots").alias("item_slots"), F.col("total").alias("item_windows"))
     # a written table, of known size: Spark broadcasts a small one and splits the hot hashes of a large one
     hits = found.join(items, "hash")

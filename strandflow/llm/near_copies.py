@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stage
+from .common import released, shuffle_partitions, stage
 from .components import connected
 from .simhash import BLOCK, BKTree, block_pairs, union
 from .substrings import ngram_hashes, word_hashes
@@ -161,14 +161,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.encode(text, "UTF-8").alias("text"))
-    rows = stage(rows.mapInArrow(_sketch_rows(shingle), "id long, key long, node long, fp long, bands array<long>, shingles binary"), "copies-sketches")
+    rows = stage(rows.mapInArrow(released(_sketch_rows(shingle)), "id long, key long, node long, fp long, bands array<long>, shingles binary"), "copies-sketches")
     each = rows.select("node", "fp", F.explode("bands").alias("band")).distinct()
     sizes = each.groupBy("band").count().where("count > 1").select("band", F.ceil(F.col("count") / tree_nodes).cast("int").alias("blocks"))
     asked = each.join(stage(sizes, "copies-shards"), "band").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     sets = rows.select("node", "shingles").groupBy("node").agg(F.first("shingles").alias("shingles"))
     asked = block_pairs(asked.join(sets, "node"), "band node fp shingles", "own", "blocks").select("band", "part", "block", "node", "fp", "mine", "shingles")
     spread = asked.repartition(shuffle_partitions(docs.sparkSession), "band", "part", "block").sortWithinPartitions("band", "part", "block", F.desc("mine"))
-    roots = connected(spread.mapInArrow(_verified_forest(radius, similarity), "a long, b long"))
+    roots = connected(spread.mapInArrow(released(_verified_forest(radius, similarity)), "a long, b long"))
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("key").alias("key"))
     named = rows.select("id", "key", "node").join(roots, "node", "left").select("id", "key", F.coalesce("root", "node").alias("root"))
     named = stage(named, "copies-groups")

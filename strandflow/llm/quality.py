@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, stage
+from .common import drop_staged, released, stage
 
 #: Documented bound of the labelled rows the scorer is fitted on.
 POSITIVES = 4000
@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [features(t.as_py()).astype(np.float32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "x"])
 
-    rows = docs.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), _text(text_col)).mapInArrow(run, "id long, x binary")
+    rows = docs.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), _text(text_col)).mapInArrow(released(run), "id long, x binary")
     rows = stage(rows, "quality-features")
     wanted = spark.createDataFrame(pd.DataFrame({"id": np.array(good, np.int64)}), "id long")  # at most ``positives`` ids
     trusted = sorted((r["id"], bytes(r["x"])) for r in rows.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("x").alias("x")).collect())
@@ -235,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.concatenate([got.weight, [got.bias, got.prior]])], pa.list_(pa.float64()))], ["n", "w"])
 
     dealt = rows.select("x", F.xxhash64("id", "x").alias("place")).repartitionById(groups, F.pmod("place", F.lit(groups)).cast("int")).sortWithinPartitions("place", "x")
-    fitted = stage(dealt.select("x").mapInArrow(fits, "n long, w array<double>"), "quality-fits")
+    fitted = stage(dealt.select("x").mapInArrow(released(fits), "n long, w array<double>"), "quality-fits")
     _, w = _added(fitted, "w", FEATURES + 2, "n")
     w /= n
     drop_staged(rows)
