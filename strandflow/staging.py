@@ -10,6 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Bytes of a staged table that a task holds before it writes them.
+ROW_GROUP = 32 << 20
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SCOPES: list[list[DataFrame]] = []
 
 
@@ -44,16 +47,30 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def _arrow_batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    before = spark.conf.get(_ARROW_ROWS)
+    if rows is not None:
+        spark.conf.set(_ARROW_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
+
+
+def stage(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs the tasks that were running,
     never the work that made ``df``, and values such as
     ``monotonically_increasing_id`` are fixed from here on.  The files go by
-    :func:`drop_staged`, at the latest when the session ends.
+    :func:`drop_staged`, at the latest when the session ends.  ``arrow_rows``
+    bounds the rows of an Arrow batch while the table is made, since the JVM
+    holds whole batches outside its heap.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with _arrow_batches(spark, arrow_rows):
+        df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     for made in _SCOPES[-1:]:
