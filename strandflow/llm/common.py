@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..staging import CHECKPOINT_KEY, drop_staged, scratch, shared_dir, stage
 
 
+#: Rows of texts in an Arrow batch where a table is staged.
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read by Spark only (any file system)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,4 +36,4 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-__all__ = ["CHECKPOINT_KEY", "drop_staged", "released", "scratch", "shared_dir", "shuffle_partitions", "stage", "table"]
+__all__ = ["ARROW_ROWS", "CHECKPOINT_KEY", "drop_staged", "released", "scratch", "shared_dir", "shuffle_partitions", "stage", "table"]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, shuffle_partitions, stage
+from .common import ARROW_ROWS, released, shuffle_partitions, stage
 from .components import connected
 from .simhash import BLOCK, BKTree, block_pairs, union
 from .substrings import ngram_hashes, word_hashes
@@ -161,7 +161,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.encode(text, "UTF-8").alias("text"))
-    rows = stage(rows.mapInArrow(released(_sketch_rows(shingle)), "id long, key long, node long, fp long, bands array<long>, shingles binary"), "copies-sketches")
+    rows = stage(rows.mapInArrow(released(_sketch_rows(shingle)), "id long, key long, node long, fp long, bands array<long>, shingles binary"), "copies-sketches", ARROW_ROWS)
     each = rows.select("node", "fp", F.explode("bands").alias("band")).distinct()
     sizes = each.groupBy("band").count().where("count > 1").select("band", F.ceil(F.col("count") / tree_nodes).cast("int").alias("blocks"))
     asked = each.join(stage(sizes, "copies-shards"), "band").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))

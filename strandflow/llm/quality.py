@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, released, stage
+from .common import ARROW_ROWS, drop_staged, released, stage
 
 #: Documented bound of the labelled rows the scorer is fitted on.
 POSITIVES = 4000
@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "x"])
 
     rows = docs.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), _text(text_col)).mapInArrow(released(run), "id long, x binary")
-    rows = stage(rows, "quality-features")
+    rows = stage(rows, "quality-features", ARROW_ROWS)
     wanted = spark.createDataFrame(pd.DataFrame({"id": np.array(good, np.int64)}), "id long")  # at most ``positives`` ids
     trusted = sorted((r["id"], bytes(r["x"])) for r in rows.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("x").alias("x")).collect())
     p = np.array([_vector(x) for _, x in trusted], np.float64).reshape(-1, FEATURES)

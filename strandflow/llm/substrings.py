@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, released, stage
+from .common import ARROW_ROWS, drop_staged, released, stage
 
 WINDOW = 35
 #: Words hashed together for an anchor; windows have WINDOW - K + 1 such hashes.
@@ -153,12 +153,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """``(id, key, first, last)``: inclusive ranges of words that repeated windows cover."""
     keyed = _keyed(docs, id_col, text_col).select("id", "key", "text")
-    seeds = stage(keyed.mapInArrow(released(_seed_rows(window, k)), "id long, key long, seeds array<long>"), "repeat-seeds")
+    seeds = stage(keyed.mapInArrow(released(_seed_rows(window, k)), "id long, key long, seeds array<long>"), "repeat-seeds", ARROW_ROWS)
     each = seeds.select("id", "key", F.explode("seeds").alias("anchor"))
     # counts are written before they are joined, so that both sides of a join are plain exchanges and hot keys are split
     twice = stage(each.groupBy("anchor").count().where("count > 1").select("anchor"), "repeat-anchors")
     wanted = each.join(twice, "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("wanted"))
-    runs = stage(keyed.join(wanted, ["id", "key"]).mapInArrow(released(_run_rows(window, k)), RUN_SCHEMA), "repeat-runs")
+    runs = stage(keyed.join(wanted, ["id", "key"]).mapInArrow(released(_run_rows(window, k)), RUN_SCHEMA), "repeat-runs", ARROW_ROWS)
     for done in (seeds, twice):  # the runs are written, nothing reads these again
         drop_staged(done)
 
