@@ -30,7 +30,7 @@ BANDS, ROWS = 6, 2
 #: Bits that fingerprints of similar documents may differ in: 3.6 deviations above the mean of 9.7 at 0.8 for large sets.
 #: Of sets of four and five shingles (12 bits expected) 0.5% differ in more and are lost.
 RADIUS = 20
-TREE_NODES = 512
+TREE_NODES = 2048
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
