@@ -7,13 +7,17 @@ numbers come from the place in the file, so ids are dense and in input order.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import revcomp
+from ..operators.numbering import cumulative
+from ..staging import stage
 
 #: Suffixes of nucleotide files.
 SUFFIXES = (".fasta", ".fa", ".fna", ".ffn", ".fas")
@@ -35,19 +39,149 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return parse_records(raw)
 
 
-def _files(spark: SparkSession, paths: list[str]) -> list[tuple[int, str, str]]:
-    """``(number, name, path)`` of each path's files, named as the reader names them; folders and patterns give several."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    out = []
+def _opened(path: str):
+    """``(file system, path in it, what to put before such paths)``; raises for what pyarrow can't open."""
+    from pyarrow import fs
+
+    if not re.match(r"\w+:/", path):
+        return fs.LocalFileSystem(), path, "file:"
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path), "file:"
+    files, base = fs.FileSystem.from_uri(path)
+    return files, base, path[: path.rindex(base)] if base in path else path[: path.index(":/") + 3]
+
+
+def _can_open(path: str) -> bool:
+    try:
+        _opened(path)
+    except Exception:  # noqa: BLE001  (what it raises depends on the scheme)
+        return False
+    return True
+
+
+def _hidden(name: str) -> bool:
+    """What Spark's readers pass over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _in_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most 8192 rows or about ``size`` characters."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) == 8192 or n > size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _list(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ``(file, name, path, length, level)``: files as they are; a folder's files, and its folders at level 1, or all below for those."""
+    from pyarrow import fs
+
+    def below(files, path: str, before: str, file: int, name: str, level: int) -> Iterator[tuple]:  # noqa: ANN001
+        for one in files.get_file_info(fs.FileSelector(path)):
+            here = f"{name}/{one.base_name}" if name else one.base_name
+            if _hidden(one.base_name):
+                continue
+            if one.type != fs.FileType.Directory:
+                yield file, here, before + one.path, one.size, 2
+            elif level:
+                yield from below(files, one.path, before, file, here, level)
+            else:
+                yield file, here, before + one.path, None, 1
+
+    def found() -> Iterator[tuple]:
+        for file, name, path, length, level in _rows_of(batches):
+            if level == 2:
+                yield file, name, path, length, level
+                continue
+            files, inner, before = _opened(path)
+            one = files.get_file_info(inner)
+            if one.type == fs.FileType.Directory:
+                yield from below(files, inner, before, file, name, level)
+            else:
+                yield file, name, before + inner if one.type == fs.FileType.File else path, one.size if one.type == fs.FileType.File else -1, 2
+
+    yield from _in_batches(found(), pa.schema([("file", pa.int32()), ("name", pa.string()), ("path", pa.string()), ("length", pa.int64()), ("level", pa.int32())]))
+
+
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def listed(spark: SparkSession, roots: list[tuple[int, str]]) -> DataFrame:
+    """``(file, name, path, length)`` of the files at or below numbered paths, by tasks: no names go through the driver.
+
+    A path's own folder is listed by one task and each folder in it by another,
+    so many files want folders of their own.  ``name`` is what stands below the
+    path; a path that is missing has length -1.
+    """
+    kind = "file int, name string, path string, length long, level int"
+    asked = spark.createDataFrame([(i, "", p, None, 0) for i, p in roots], kind)
+    asked = asked.repartition(_partitions(spark)) if len(roots) > 1 else asked
+    return asked.mapInArrow(_list, kind).repartition(_partitions(spark)).mapInArrow(_list, kind).drop("level")
+
+
+#: Bytes of a file that a task reads whole; larger ones, and packed ones, go through Spark's reader, which splits them.
+SMALL = 4 << 20
+_PACKED = r"(?i)\.(gz|gzip|bz2|deflate|snappy|lz4|zst|zstd)$"
+
+
+def _blank(record: str) -> bool:
+    """Whether :func:`parse_records` drops it."""
+    head = re.match(r"[^\r\n]*", record.removeprefix(">"))[0]
+    return not head.strip(" ") and not re.search(r"[^ \t\n\x0b\f\r]", record.removeprefix(">")[len(head) :])
+
+
+def _read_small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ``(no, path)``: ``(no, source_file, rank, value)``, records that are not blank by their place in the file."""
+
+    def records() -> Iterator[tuple]:
+        for no, path in _rows_of(batches):
+            files, inner, _ = _opened(path)
+            with files.open_input_stream(inner, compression=None) as at:
+                text = at.read().decode(errors="replace")
+            for rank, value in enumerate(r for r in text.split("\n>") if not _blank(r)):
+                yield no, path, rank, value
+
+    yield from _in_batches(records(), pa.schema([("no", pa.int64()), ("source_file", pa.string()), ("rank", pa.int64()), ("value", pa.string())]))
+
+
+def _expanded(spark: SparkSession, paths: list[str]) -> list[tuple[int, str]]:
+    """Numbered paths, with those that are patterns matched at the driver."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
     for i, p in enumerate(paths):
+        if not re.search(r"[*?\[\]{}\\]", p) and _can_open(p):
+            out.append((i, p))
+            continue
         path = jvm.org.apache.hadoop.fs.Path(p)
-        files = path.getFileSystem(conf)
-        found = list(files.globStatus(path) or [])
+        found = [s.getPath().toString() for s in path.getFileSystem(conf).globStatus(path) or []]
         if not found:
             raise ValueError(f"The file {p} does not exist")
-        for status in found:
-            for one in sorted(files.listStatus(status.getPath()), key=lambda f: f.getPath().getName()) if status.isDirectory() else [status]:
-                out.append((i, re.sub(r"^(\w+):/+", r"\1:/", one.getPath().toUri().toString()), one.getPath().toString()))
+        out += [(i, f) for f in found]
+    return out
+
+
+def _files_by_spark(spark: SparkSession, roots: list[tuple[int, str]]) -> list[tuple]:
+    """:func:`listed` at the driver, for paths that pyarrow can't open; without lengths."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for i, p in roots:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        files = path.getFileSystem(conf)
+        found = files.listFiles(path, True)
+        while found.hasNext():
+            one = found.next().getPath().toString()
+            name = one[len(files.makeQualified(path).toString()) + 1 :]
+            if not any(_hidden(x) for x in name.split("/") if x):
+                out.append((i, name, one, None))
     return out
 
 
@@ -55,21 +189,43 @@ def load_contigs(spark: SparkSession, paths: list[str], *, reverse_complement: b
     """The sequence table: records numbered in the order of files and places.
 
     With ``reverse_complement`` record ``i`` gives rows ``2i`` (forward) and
-    ``2i + 1`` (reverse).  All files are one scan, whatever their number; their
-    order comes from a small table of names.  Records are numbered within the
-    splits that the reader makes, and splits by a running total, so a large file
-    is several tasks.  A file that is named twice is read twice.
+    ``2i + 1`` (reverse).  Files are listed and numbered by tasks, in the order
+    of ``paths`` and below a folder by name, so any number of them may lie in
+    few folders.  Small files are read whole, many by a task, and their records
+    staged; large and packed ones are one scan of Spark's reader, numbered
+    within its splits, so a large file is several tasks.  A file that is named
+    twice is read twice.
     """
-    files = _files(spark, paths)
-    order = spark.createDataFrame([f[:2] for f in files], "file int, name string")
-    raw = spark.read.option("lineSep", "\n>").text(sorted({f[2] for f in files})).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
-    # the reader writes a name with one stroke or three after its scheme
-    rows = parse_records(raw).withColumn("name", F.regexp_replace("source_file", r"^(\w+):/+", "$1:/")).join(order, "name").drop("name")
-    splits = rows.groupBy("file", "source_file", "block").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("file", "source_file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
-    starts = splits.select("file", "source_file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("file", "source_file", "block").orderBy("pos"))
-    rows = rows.withColumn("_rank", rank).join(starts, ["file", "source_file", "block"]).withColumn("record", (F.col("_start") + F.col("_rank") - 1).cast("long"))
+    roots = _expanded(spark, paths)
+    ours, theirs = [r for r in roots if _can_open(r[1])], [r for r in roots if not _can_open(r[1])]
+    found = listed(spark, ours)
+    if theirs:
+        found = found.unionByName(spark.createDataFrame(_files_by_spark(spark, theirs), "file int, name string, path string, length long"))
+    files = stage(found.orderBy("file", "name", "path").withColumn("no", F.monotonically_increasing_id()), "files")
+    if missing := files.where("length < 0").first():
+        raise ValueError(f"The file {missing['path']} does not exist")
+    few = files.where(F.col("length").isNull() | (F.col("length") > SMALL) | F.col("path").rlike(_PACKED))
+    large = sorted({r["path"] for r in few.select("path").collect()})  # of at least SMALL bytes, or packed
+
+    small = files.where((F.col("length") <= SMALL) & ~F.col("path").rlike(_PACKED)).select("no", "path")
+    small = small.repartition(_partitions(spark)).mapInArrow(_read_small, "no long, source_file string, rank long, value string")
+    rows = stage(parse_records(small), "records")
+    counts = rows.groupBy("no").agg(F.count("*").alias("_n"))
+    if large:
+        raw = spark.read.option("lineSep", "\n>").text(large).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
+        # the reader writes a name with one stroke or three after its scheme, and signs by their codes
+        order = spark.createDataFrame([(p, re.sub(r"^(\w+):/+", r"\1:/", spark._jvm.org.apache.hadoop.fs.Path(p).toUri().toString())) for p in large], "path string, name string")
+        order = few.select("no", "path").join(order, "path").drop("path")
+        split = parse_records(raw).withColumn("name", F.regexp_replace("source_file", r"^(\w+):/+", "$1:/")).join(order, "name").drop("name")
+        splits = split.groupBy("no", "block").agg(F.count("*").alias("_n"))
+        before = Window.partitionBy("no").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+        starts = splits.select("no", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        place = F.row_number().over(Window.partitionBy("no", "block").orderBy("pos")) - 1
+        split = split.withColumn("_place", place).join(starts, ["no", "block"]).withColumn("rank", F.col("_before") + F.col("_place"))
+        rows = rows.unionByName(split.select(*rows.columns))
+        counts = counts.unionByName(splits.groupBy("no").agg(F.sum("_n").alias("_n")))
+    starts = cumulative(counts, "no", "_n", "_upto").select("no", (F.col("_upto") - F.col("_n")).alias("_start"))
+    rows = rows.join(starts, "no").withColumn("record", (F.col("_start") + F.col("rank")).cast("long"))
     seq = F.upper("sequence") if uppercase else F.col("sequence")
     rows = rows.withColumn("sequence", seq)
     if not reverse_complement:
@@ -93,9 +249,12 @@ def find_nucleotide_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def non_empty_files(spark: SparkSession, directory: str, suffixes: tuple[str, ...] = (".fasta", ".fna")) -> DataFrame:
-    """``(path, length)`` of files below with one of the suffixes, or it and ``.gz``, that hold anything."""
+    """``(path, length)`` of files below with one of the suffixes, or it and ``.gz``, that hold anything; tasks list the folders."""
     pattern = "(" + "|".join(re.escape(s) for s in suffixes) + r")(\.gz)?$"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path", "length")
+    if _can_open(directory):
+        found = listed(spark, [(0, directory)]).select("path", "length")
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path", "length")
     return found.where((F.col("length") > 0) & F.col("path").rlike(pattern))
 
 
@@ -125,9 +284,12 @@ def write_fasta_per_record(df: DataFrame, path: str) -> None:
     df.select("fasta_id", fasta_text().alias("value")).write.mode("overwrite").partitionBy("fasta_id").text(path)
 
 
-def write_fasta_files(df: DataFrame, path: str) -> None:
+def write_fasta_files(df: DataFrame, path: str, folder: Column | None = None) -> None:
     """A file ``<fasta_id>.fasta`` for each record; signs that no file name may hold become underscores.
 
+    ``folder`` names a folder for each record below ``path``, so that many files
+    don't lie in one; readers list folders side by side.
+
     Each task writes its own records straight to the folder, which all executors
     must see, so a repeated attempt writes the same files again.  Records of one
     id share a file name, and one of them stays.
@@ -140,14 +302,19 @@ def write_fasta_files(df: DataFrame, path: str) -> None:
         from pyarrow import fs
 
         files, base = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+        made = set()
         for batch in batches:
-            for ident, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for ident, text, below in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 name = re.sub(r"[^\w.|=-]", "_", ident or "none")
-                with files.open_output_stream(f"{base.rstrip('/')}/{name}.fasta") as out:
+                at = base.rstrip("/") + (f"/{below}" if below else "")
+                if below and at not in made:
+                    files.create_dir(at, recursive=True)
+                    made.add(at)
+                with files.open_output_stream(f"{at}/{name}.fasta") as out:
                     out.write(f"{text}\n".encode())
             yield batch.slice(0, 0)
 
-    rows = df.select(F.col("fasta_id").cast("string").alias("fasta_id"), fasta_text().alias("value"))
+    rows = df.select(F.col("fasta_id").cast("string").alias("fasta_id"), fasta_text().alias("value"), (F.lit("") if folder is None else folder).alias("folder"))
     rows.mapInArrow(write, rows.schema).write.format("noop").mode("overwrite").save()
 
 
@@ -211,4 +378,4 @@ def stream_fasta(spark: SparkSession, directory: str) -> DataFrame:
     return parse_records(raw)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Path", "Window", "np", "re")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Iterable", "Iterator", "Path", "Window", "np", "pa", "re")]

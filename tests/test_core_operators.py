@@ -555,3 +555,31 @@ def test_any_models_vectors(spark):
         assert infer.vectors_of(output, mask).tolist() == [[1.0, 2.0]]
     with pytest.raises(TypeError):
         infer.vectors_of(np.zeros(3), mask)
+
+
+def test_many_small_files_never_pass_the_driver(spark, tmp_path, monkeypatch):
+    """Files in folders are found, checked and numbered by tasks; large and packed ones by Spark's reader, in the same order."""
+    df = spark.createDataFrame([(i, f"r{i:03d}", "ACGT"[i % 4] * (i + 1)) for i in range(60)], "i long, fasta_id string, sequence string")
+    fasta.write_fasta_files(df, str(tmp_path / "out"), F.format_string("f%02d", F.floor(F.col("i") / 7)))
+    (tmp_path / "out/f03/_hidden.fasta").write_text(">h\nAC\n")
+    (tmp_path / "out/f03/r021a.fasta").write_text("\n>x y\nAC\n>\n\n>z\nGT\n")
+    (tmp_path / "out/f04/r029a.fasta").write_text("".join(f">big{j}\n{'ACGT' * 300}\n" for j in range(20)))
+    with gzip.open(tmp_path / "out/f05/r036a.fasta.gz", "wt") as f:
+        f.write(">packed\nGG\n")
+    want = []
+    for i in range(60):
+        want += [f"r{i:03d}", *{21: ["x", "z"], 29: [f"big{j}" for j in range(20)], 36: ["packed"]}.get(i, [])]
+    monkeypatch.setattr(fasta, "SMALL", 4000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = fasta.load_contigs(spark, [str(tmp_path / "out")], reverse_complement=False).orderBy("sequence_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.fasta_id for r in rows] == want and [r.sequence_id for r in rows] == list(range(len(want)))
+    names = {r.path.rsplit("/", 1)[1] for r in fasta.find_nucleotide_files(spark, str(tmp_path / "out")).collect()}
+    assert names == {f"r{i:03d}.fasta" for i in range(60)} | {"r029a.fasta"}
+    assert fasta.non_empty_files(spark, str(tmp_path / "out")).count() == 63
+    for text, good in ((">a\r\nAC GT\r\n>b\nXX", True), (">a\nACX", False), ("ACGT", False), (">", True), (">a" + "b" * 70_000 + "\nAC" + "G" * 70_000 + "X", False), ("", False), ("\n>a\nAC", False)):
+        (tmp_path / "one").mkdir(exist_ok=True)
+        (tmp_path / "one/a.fa").write_bytes(text.encode())
+        assert (fasta.find_nucleotide_files(spark, str(tmp_path / "one")).count() == 1) == good
