@@ -239,9 +239,47 @@ def with_reverse(rows: DataFrame, record: str) -> DataFrame:
     return rows.select("*", both.alias("_b")).select((F.col(record) * 2 + F.col("_b.r")).cast("long").alias("sequence_id"), "fasta_id", "description", "source_file", F.col("_b.s").alias("sequence"), F.col("_b.o").alias("orientation"))
 
 
+def _first_is_nucleotide(at) -> bool:  # noqa: ANN001
+    """Whether a stream's first record, up to ``\\n>``, has a header and else only ACGTN and white space; read no further than needed."""
+    chunk, body = at.read(1 << 16), False
+    if chunk[:1] != b">":
+        return False
+    last = b""
+    while chunk:
+        if not body and (found := re.search(rb"[\r\n]", chunk)):
+            chunk, body = chunk[found.start() :], True
+        if body:
+            chunk = last + chunk
+            end = chunk.find(b"\n>")
+            if re.search(rb"[^ACGTNacgtn\s]", chunk[:end] if end >= 0 else chunk):
+                return False
+            if end >= 0:
+                return True
+            last = chunk[-1:]
+        chunk = at.read(1 << 20)
+    return True
+
+
+def _nucleotide_paths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for path in batch.column(0).to_pylist():
+            files, inner, _ = _opened(path)
+            with files.open_input_stream(inner, compression=None) as at:
+                keep.append(_first_is_nucleotide(at))
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def find_nucleotide_files(spark: SparkSession, directory: str) -> DataFrame:
-    """``(path)`` of files below with a nucleotide suffix whose first record is of ACGTN alone."""
+    """``(path)`` of files below with a nucleotide suffix whose first record is of ACGTN alone.
+
+    Tasks list the folders and read first records, many files each; folders that
+    pyarrow can't open are scanned by Spark's reader.
+    """
     pattern = r"(?i)\.(" + "|".join(s[1:] for s in SUFFIXES) + ")$"
+    if _can_open(directory):
+        found = listed(spark, [(0, directory)])
+        return found.where((F.col("length") > 0) & F.col("path").rlike(pattern)).select("path").mapInArrow(_nucleotide_paths, "path string")
     files = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", True).text(directory).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
     first = files.where(F.col("path").rlike(pattern)).groupBy("path").agg(F.min_by("value", F.struct("block", "pos")).alias("value"))
     body = F.regexp_replace(F.regexp_replace("value", r"^>?[^\r\n]*", ""), r"\s+", "")
