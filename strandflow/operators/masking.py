@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +14,8 @@ from ..functions import sequences as S
 from .numbering import uniform, uniform_values
 
 IGNORED = -100
+#: Neighbours that :func:`dilate` looks at one by one; of more it makes a slice at each place.
+NEAR = 16
 
 
 def check_neighborhood(left: int, right: int) -> None:
@@ -21,14 +26,21 @@ def check_neighborhood(left: int, right: int) -> None:
 
 def dilate(hits: Column, left: int, right: int) -> Column:
     """Hits (booleans by place) spread to their neighbourhood; ends of the row are reached only by their own hits."""
-    n = F.size(hits)
 
-    def covered(hit: Column, i: Column) -> Column:
-        inner = (i >= 1) & (i < n - 1)
-        near = F.slice(hits, F.greatest(i - right, F.lit(0)) + 1, F.least(i + left, n - 1) - F.greatest(i - right, F.lit(0)) + 1)
-        return hit | (inner & F.exists(near, lambda x: x))
+    def spread(made: Column) -> Column:  # hits made once, not again at each place
+        n = F.size(made)
+
+        def covered(hit: Column, i: Column) -> Column:
+            inner = (i >= 1) & (i < n - 1)
+            if left + right <= NEAR:
+                near = [F.when((i + d >= 0) & (i + d < n), made[i + d]).otherwise(False) for d in range(-right, left + 1) if d]
+                return hit | (inner & reduce(or_, near)) if near else hit
+            around = F.slice(made, F.greatest(i - right, F.lit(0)) + 1, F.least(i + left, n - 1) - F.greatest(i - right, F.lit(0)) + 1)
+            return hit | (inner & F.exists(around, lambda x: x))
+
+        return F.transform(made, covered)
 
-    return F.transform(hits, covered)
+    return S.let(hits, spread)
 
 
 def dilated(hits: np.ndarray, row: np.ndarray, first: np.ndarray, end: np.ndarray, left: int, right: int) -> np.ndarray:

@@ -221,7 +221,7 @@ def last_of_repeated_ids(spark, d):
     + "SELECT segment_id, list(masked ORDER BY pos) AS masked FROM m GROUP BY segment_id"
 )
 def mask_dilation(spark, d):
-    rows = C.segments(spark, d).withColumn("ids", S.kmer_ids("segment", 6, 2)).where(F.size("ids") > 0)
+    rows = C.segments(spark, d).where(F.length("segment") >= 6).withColumn("ids", S.kmer_ids("segment", 6, 2))
     hits = F.transform("ids", lambda _, i: (i * 7 + F.col("segment_id")) % 11 == 0)
     return rows.select("segment_id", masking.dilate(hits, 2, 1).alias("masked"))
 

@@ -2,12 +2,15 @@
 
 import gzip
 import math
+import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandflow import config, infer
+from strandflow.functions import sequences as S
 from strandflow.operators import checks, embed, masking, numbering, parsers, predict, ranges, registry, segment, taxa, tokenize
 from strandflow.operators import store as stores
 from strandflow.operators.tokenize import KmerTokenizer
@@ -583,3 +586,20 @@ def test_many_small_files_never_pass_the_driver(spark, tmp_path, monkeypatch):
         (tmp_path / "one").mkdir(exist_ok=True)
         (tmp_path / "one/a.fa").write_bytes(text.encode())
         assert (fasta.find_nucleotide_files(spark, str(tmp_path / "one")).count() == 1) == good
+
+
+def made(df, marker):
+    return df._jdf.queryExecution().analyzed().toString().count(marker)
+
+
+def test_dilation_makes_its_hits_once(spark):
+    hits = F.transform(F.sequence(F.lit(0), F.col("id")), lambda i: i % 123457 == 2)
+    df = spark.range(0, 6).select("id", masking.dilate(hits, 2, 1).alias("m"))
+    assert made(df, "123457") == 1
+    assert {r.id: r.m for r in df.collect()}[5] == [False, True, True, True, False, False]
+    rng = np.random.default_rng(2)
+    for left, right in ((0, 0), (3, 0), (0, 2), (12, 9)):
+        bits = [bool(x) for x in rng.random(40) < 0.1]
+        want = [h or (0 < i < 39 and any(bits[max(0, i - right) : i + left + 1])) for i, h in enumerate(bits)]
+        got = spark.range(1).select(masking.dilate(F.array(*map(F.lit, bits)), left, right).alias("m")).first().m
+        assert got == want
