@@ -203,15 +203,16 @@ def token_position(position: Column, length: Column, k: int, shift: int, offset:
 
 
 def tokens_at(seq: Column | str, position: Column, k: int, shift: int) -> Column:
-    """For each offset with any: the k-mers over a base and their places."""
-    s = col(seq)
+    """For each offset with any: the k-mers over a base and their places; only those are cut."""
+    none, s = "array<struct<index:int,kmer:string>>", col(seq)
 
-    def at(o: int) -> Column:
-        named = F.transform(kmers(s, k, shift, o), lambda m, i: F.struct(i.alias("index"), m.alias("kmer")))
-        over = F.filter(named, lambda z: (position >= z["index"] * shift + o) & (position < z["index"] * shift + o + k))
-        return F.struct(F.lit(o).alias("offset"), over.alias("tokens"))
+    def at(o: int, t: Column) -> Column:
+        first = F.greatest(F.ceil((position - (o + k - 1)) / F.lit(float(shift))), F.lit(0)).cast("int")
+        last = F.floor(F.least(position - o, F.length(t) - k - o) / F.lit(float(shift))).cast("int")
+        over = F.transform(F.sequence(first, last, F.lit(1)), lambda i: F.struct(i.alias("index"), F.substring(t, i * shift + (o + 1), F.lit(k)).alias("kmer")))
+        return F.struct(F.lit(o).alias("offset"), F.when(last >= first, over).otherwise(F.array().cast(none)).alias("tokens"))
 
-    inside = F.filter(F.array(*[at(o) for o in range(shift)]), lambda x: F.size(x["tokens"]) > 0)
+    inside = let(s, lambda t: F.filter(F.array(*[at(o, t) for o in range(shift)]), lambda x: F.size(x["tokens"]) > 0))
     return F.when((position >= 0) & (position < F.length(s)), inside).otherwise(F.raise_error(F.lit("Position lies outside the sequence")).cast("array<struct<offset:int,tokens:array<struct<index:int,kmer:string>>>>"))
 
 
