@@ -43,8 +43,14 @@ def kmer_starts(length: Column, k: int, shift: int, offset: Column | int = 0) ->
 
 
 def kmers(seq: Column | str, k: int, shift: int, offset: Column | int = 0) -> Column:
-    s = col(seq)
-    return F.transform(kmer_starts(F.length(s), k, shift, offset), lambda i: F.substring(s, i + 1, F.lit(k)))
+    """K-mers in order: cut from bytes where each sign is one, since in a string each cut would walk from the start."""
+
+    def cut(s: Column) -> Column:
+        starts = kmer_starts(F.length(s), k, shift, offset)
+        plain = let(s.cast("binary"), lambda b: F.transform(starts, lambda i: F.substring(b, i + 1, F.lit(k)).cast("string")))
+        return F.when(F.octet_length(s) == F.length(s), plain).otherwise(F.transform(starts, lambda i: F.substring(s, i + 1, F.lit(k))))
+
+    return let(col(seq), cut)
 
 
 def kmer_id(kmer: Column, *, star_is_mask: bool = False) -> Column:

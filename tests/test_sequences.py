@@ -1,6 +1,7 @@
 """Golden values of the column functions and tokenizers."""
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -144,3 +145,19 @@ def test_random_segments_match_plain_python(spark):
             k = s[p : p + 4]
             want.append(1 if "N" in k else 5 + sum(digit[c] * 4 ** (3 - j) for j, c in enumerate(k)))
         assert r.x == want
+
+
+def test_kmers_of_long_sequences(spark):
+    """Cut from bytes, or only where asked for: a walk from the start to each would take hours."""
+    text, began = "ACGTTGCAAC" * 100_000, time.time()
+    row = spark.createDataFrame([(text,)], "s string").select(S.kmers("s", 6, 2, 1).alias("k"), S.tokens_at("s", F.lit(700_001), 6, 2).alias("t")).first()
+    assert row.k == [text[i : i + 6] for i in range(1, len(text) - 5, 2)]
+    assert [[z["index"] * 2 + x.offset for z in x.tokens] for x in row.t] == [[699_996, 699_998, 700_000], [699_997, 699_999, 700_001]]
+    assert all(z.kmer == text[(at := z["index"] * 2 + x.offset) : at + 6] for x in row.t for z in x.tokens)
+    assert one(spark, S.kmers("s", 2, 1), s="aéxz") == ["aé", "éx", "xz"] and one(spark, S.kmers("s", 9, 1), s="ACG") == []
+    for s, k, shift in (("ACGTACGTACG", 6, 2), ("ACGTACG", 3, 4), ("ACG", 6, 2), ("ACGTA", 1, 3)):
+        for p in range(len(s)):
+            want = [(o, [(j, s[i : i + k]) for j, i in enumerate(range(o, len(s) - k + 1, shift)) if i <= p < i + k]) for o in range(shift)]
+            got = one(spark, S.tokens_at("s", F.lit(p), k, shift), s=s)
+            assert [(x.offset, [tuple(z) for z in x.tokens]) for x in got] == [w for w in want if w[1]]
+    assert time.time() - began < 120
