@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..staging import stage
 from .numbering import cumulative, dense_rows, first_seen_codes, uniform
 from .ranges import interval_join
 
@@ -51,11 +52,11 @@ def window_by_accession(store: DataFrame, asked: DataFrame, length: int, pad: in
 def draw_pairs(store: DataFrame, length: int, k: int, seed: int = 1337, by_shard: bool = False) -> DataFrame:
     """``k`` draws ``(draw_id, cid, start, l_eff)``: contigs by their length, starts uniform in each.
 
-    Only lengths are read (one job adds them up first).  ``by_shard`` numbers
+    Only lengths are read, once, and staged.  ``by_shard`` numbers
     the draws in the order of shards and places, as readers of sharded files
     want them.
     """
-    spans = store.select("cid", "shard_id" if by_shard else F.lit(0).alias("shard_id"), token_length(store).alias("length")).where("length > 0")
+    spans = stage(store.select("cid", "shard_id" if by_shard else F.lit(0).alias("shard_id"), token_length(store).alias("length")), "lengths").where("length > 0")
     total = spans.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     if not total:
         raise ValueError("No contig has tokens")
@@ -69,6 +70,18 @@ def draw_pairs(store: DataFrame, length: int, k: int, seed: int = 1337, by_shard
     return out.select("draw_id", "cid", "start", "l_eff")
 
 
+def _drawn(store: DataFrame, draws: DataFrame, k: int, *columns: str) -> DataFrame:
+    """``columns`` and tokens of the store's drawn contigs beside their draws.
+
+    The draws are staged, as they are met twice: first by a semi-join that passes
+    below the store's columns, so tokens that are made on the way are made for
+    drawn contigs alone.
+    """
+    draws = stage(draws, "draws")
+    small = (lambda x: F.broadcast(x)) if k * 48 <= BROADCAST_BYTES else (lambda x: x)
+    return store.join(small(draws.select("cid").distinct()), "cid", "left_semi").select("cid", "tokens", *columns).join(small(draws), "cid")
+
+
 def draw_windows(store: DataFrame, length: int, k: int, seed: int = 1337, pad: int = 0, by_shard: bool = False) -> DataFrame:
     """``(draw_id, cid, start, l_eff, window)``: the draws meet one scan of the store.
 
@@ -76,8 +89,7 @@ def draw_windows(store: DataFrame, length: int, k: int, seed: int = 1337, pad: i
     a store bucketed by ``cid`` is joined without a shuffle of its tokens.
     """
     draws = draw_pairs(store, length, k, seed, by_shard)
-    draws = F.broadcast(draws) if k * 48 <= BROADCAST_BYTES else draws
-    return store.select("cid", "tokens").join(draws, "cid").select("draw_id", "cid", "start", "l_eff", window_at("tokens", F.col("start"), length, pad).alias("window"))
+    return _drawn(store, draws, k).select("draw_id", "cid", "start", "l_eff", window_at("tokens", F.col("start"), length, pad).alias("window"))
 
 
 def sample_catalogue(store: DataFrame, draws: DataFrame, length: int) -> DataFrame:
@@ -96,8 +108,7 @@ def labelled_windows(store: DataFrame, assemblies: DataFrame, length: int, k: in
     """
     coded = first_seen_codes(assemblies, "assembly_id", "pos", "label").select("accession_id", "assembly_id", "label")
     draws = draw_pairs(store, length, k, seed)
-    draws = F.broadcast(draws) if k * 48 <= BROADCAST_BYTES else draws
-    drawn = store.select("cid", "accession", "tokens").join(draws, "cid").select("draw_id", "cid", "start", "l_eff", window_at("tokens", F.col("start"), length).alias("window"), "accession")
+    drawn = _drawn(store, draws, k, "accession").select("draw_id", "cid", "start", "l_eff", window_at("tokens", F.col("start"), length).alias("window"), "accession")
     keyed = drawn.withColumn("accession_id", F.coalesce(F.split("accession", r"\|")[1], F.col("accession")))
     return keyed.join(coded, "accession_id", "left").withColumn("attention_mask", S.attention_mask("window", (S.PAD, S.UNK, S.CLS, S.SEP)))
 

@@ -603,3 +603,13 @@ def test_dilation_makes_its_hits_once(spark):
         want = [h or (0 < i < 39 and any(bits[max(0, i - right) : i + left + 1])) for i, h in enumerate(bits)]
         got = spark.range(1).select(masking.dilate(F.array(*map(F.lit, bits)), left, right).alias("m")).first().m
         assert got == want
+
+
+def test_drawn_windows_make_tokens_of_drawn_contigs_alone(spark):
+    store = spark.createDataFrame([(i, f"x|A{i % 2}", 0, 0 if i == 3 else 40) for i in range(6)], "cid long, accession string, shard_id int, length_tok long")
+    bad = F.raise_error(F.lit("not drawn")).cast("array<int>")
+    store = store.withColumn("tokens", F.when(F.col("length_tok") == 0, bad).otherwise(F.sequence(F.lit(5), F.lit(44))))
+    meta = spark.createDataFrame([("A0", "a", 0), ("A1", "b", 1)], "accession_id string, assembly_id string, pos long")
+    got = stores.labelled_windows(store, meta, 10, 50).collect()
+    assert len(got) == 50 and all(r.window == list(range(5 + r.start, 15 + r.start)) and r.label == r.cid % 2 for r in got)
+    assert sorted(r.draw_id for r in stores.draw_windows(store, 10, 50).collect()) == list(range(50))
