@@ -165,14 +165,12 @@ def pair_token_types(a: Column, b: Column | None = None) -> Column:
 
 def pad_ids(ids: Column | str, width: Column | int, pad: int = PAD) -> Column:
     w = F.lit(width) if isinstance(width, int) else width
-    x = col(ids)
-    return F.concat(x, F.array_repeat(F.lit(pad), F.greatest(w - F.size(x), F.lit(0))))
+    return let(col(ids), lambda x: F.concat(x, F.array_repeat(F.lit(pad), F.greatest(w - F.size(x), F.lit(0)))))
 
 
 def truncate_ids(ids: Column | str, width: int) -> Column:
     """Keep ``[CLS]`` and ``[SEP]`` while the body is cut to fit ``width``."""
-    x = col(ids)
-    return F.when(F.size(x) <= width, x).otherwise(F.concat(F.slice(x, F.lit(1), F.lit(max(0, width - 1))), F.slice(x, -1, 1)))
+    return let(col(ids), lambda x: F.when(F.size(x) <= width, x).otherwise(F.concat(F.slice(x, F.lit(1), F.lit(max(0, width - 1))), F.slice(x, -1, 1))))
 
 
 # Sizes and coordinates.

@@ -109,11 +109,15 @@ def mask_tokens(
 
 def mask_positions(ids: Column, positions: Column, left: int = 3, right: int = 3) -> Column:
     """Struct of ``input_ids`` masked around given token places and ``labels`` of the original ids."""
-    hit = lambda i: F.exists(positions, lambda p: (i >= p - left) & (i <= p + right))
-    return F.struct(
-        F.transform(ids, lambda x, i: F.when(hit(i), F.lit(S.MASK)).otherwise(x)).alias("input_ids"),
-        F.transform(ids, lambda x, i: F.when(hit(i), x).otherwise(F.lit(IGNORED))).alias("labels"),
-    )
+
+    def masked(row: Column) -> Column:  # ids and places made once, not again at each token
+        hit = lambda i: F.exists(row["places"], lambda p: (i >= p - left) & (i <= p + right))
+        return F.struct(
+            F.transform(row["ids"], lambda x, i: F.when(hit(i), F.lit(S.MASK)).otherwise(x)).alias("input_ids"),
+            F.transform(row["ids"], lambda x, i: F.when(hit(i), x).otherwise(F.lit(IGNORED))).alias("labels"),
+        )
+
+    return S.let(F.struct(ids.alias("ids"), positions.alias("places")), masked)
 
 
 def mask_bases(df: DataFrame, k: int, shift: int, *, sequence: str = "sample_seq", bases: str = "pos2mask", left: int = 3, right: int = 3, max_length: int = 200) -> DataFrame:

@@ -605,6 +605,13 @@ def test_dilation_makes_its_hits_once(spark):
         assert got == want
 
 
+def test_masks_make_their_places_once(spark):
+    df = spark.createDataFrame([("AATCAAGGAATTATTATCGTT", 5)], "sample_seq string, p int").withColumn("pos2mask", F.array("p"))
+    places = F.array(F.col("p") + 123457 - 123455)
+    m = df.select(masking.mask_positions(S.kmer_ids("sample_seq", 6, 2), places, 1, 1).alias("m"))
+    assert made(m, "123457") == 1 and [x == 4 for x in m.first().m["input_ids"]] == [i in (6, 7) for i in range(8)]
+
+
 def test_drawn_windows_make_tokens_of_drawn_contigs_alone(spark):
     store = spark.createDataFrame([(i, f"x|A{i % 2}", 0, 0 if i == 3 else 40) for i in range(6)], "cid long, accession string, shard_id int, length_tok long")
     bad = F.raise_error(F.lit("not drawn")).cast("array<int>")
