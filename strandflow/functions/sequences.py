@@ -53,6 +53,17 @@ def kmers(seq: Column | str, k: int, shift: int, offset: Column | int = 0) -> Co
     return let(col(seq), cut)
 
 
+def pieces(seq: Column | str, places: Column, make) -> Column:
+    """``make(place, text)`` of each of ``places``, structs with ``start`` and ``end``; cut from bytes as :func:`kmers` are."""
+
+    def cut(s: Column) -> Column:
+        plain = let(s.cast("binary"), lambda b: F.transform(places, lambda p: make(p, F.substring(b, p["start"] + 1, p["end"] - p["start"]).cast("string"))))
+        walked = F.transform(places, lambda p: make(p, F.substring(s, p["start"] + 1, p["end"] - p["start"])))
+        return F.when(F.octet_length(s) == F.length(s), plain).otherwise(walked)
+
+    return let(col(seq), cut)
+
+
 def kmer_id(kmer: Column, *, star_is_mask: bool = False) -> Column:
     """Id of one k-mer: 5 and its rank in base 4 (A C G T); UNK otherwise.  Case counts."""
     known = (F.translate(kmer, "ACGT", "") == "") & (F.length(kmer) > 0)

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def contigs(spark: SparkSession, sf_dir: str, keep: str = "ACGTacgt") -> DataFrame:
     """``(sequence_id, fasta_id, lang, source, sequence)``: the bases among each document's letters."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("sequence_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("|"), "lang").alias("fasta_id"), "lang", "source", F.upper(F.regexp_replace("text", f"[^{keep}]", "")).alias("sequence"))
+    return docs.select(F.col("doc_id").alias("sequence_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("|"), "lang").alias("fasta_id"), "lang", "source", F.upper(F.regexp_replace("text", f"[^{keep}]+", "")).alias("sequence"))
 
 
 def segments(spark: SparkSession, sf_dir: str, keep: str = "ACGTacgt", min_length: int = 6, max_length: int = 512) -> DataFrame:

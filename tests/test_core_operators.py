@@ -620,3 +620,14 @@ def test_drawn_windows_make_tokens_of_drawn_contigs_alone(spark):
     got = stores.labelled_windows(store, meta, 10, 50).collect()
     assert len(got) == 50 and all(r.window == list(range(5 + r.start, 15 + r.start)) and r.label == r.cid % 2 for r in got)
     assert sorted(r.draw_id for r in stores.draw_windows(store, 10, 50).collect()) == list(range(50))
+
+
+def test_long_sequences_are_walked_once(spark):
+    """Segments of four million bases, of either kind; each cut from the start would take hours."""
+    text, began = "ACGTTGCA" * 500_000, time.time()
+    df = spark.createDataFrame([(0, text), (1, "é" + "ACGT" * 9)], "sequence_id long, sequence string")
+    for params in ({"max_length": 50}, {"type": "random", "max_length": 100, "min_length": 5, "coverage": 1.0}):
+        got = segment.segment_sequences(df, params).collect()
+        assert len(got) > 39_000 and all(r.segment == (text if r.sequence_id == 0 else "é" + "ACGT" * 9)[r.segment_start : r.segment_end] for r in got)
+        assert sorted(r.segment_id for r in got) == list(range(len(got)))
+    assert time.time() - began < 120
