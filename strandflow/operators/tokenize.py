@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import tokenization_parameters
 from ..functions import sequences as S
+from ..staging import stage
 from .checks import is_valid_primary_key
 from .numbering import dense_rows, uniform
 
@@ -186,13 +187,23 @@ def rectangular(tokens: DataFrame, max_token_count: int, *, randomize: bool = Fa
     fits = F.when(F.size("ids") > max_token_count, F.raise_error(F.lit("A token vector is longer than the maximum token count")).cast("array<int>")).otherwise(F.col("ids"))
     width = min(max_token_count, max_width(tokens)) if truncate_zeros else max_token_count
     rows = rows.select("torch_id", "segment_id", "offset", F.slice(S.pad_ids(fits, max_token_count), F.lit(1), F.lit(width)).alias("input_ids"))
-    if not randomize:
-        return rows
+    return permuted(rows, seed) if randomize else rows
+
+
+def permuted(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows numbered by a hash of their ``torch_id``, which is kept as ``original_torch_id``."""
     span = 1 << 20
     keyed = rows.withColumnRenamed("torch_id", "original_torch_id").withColumn("_key", F.floor(uniform(seed, F.col("original_torch_id")) * span).cast("long"))
     return dense_rows(keyed, "_key", ["original_torch_id"], "torch_id", block=64).drop("_key")
 
 
+def most_tokens(t: KmerTokenizer) -> Column:
+    """Most ids that an offset of ``segment`` gives: by its length, and by its ids only where it holds unknown bases."""
+    known = F.translate(F.upper("segment"), "ACGT", "") == ""
+    count = F.greatest(F.floor((F.length("segment") - t.kmer) / F.lit(float(t.shift))) + 1, F.lit(0)).cast("int") + 2 * t.special
+    return F.when(known, count).otherwise(F.array_max(F.transform(t.encode_all("segment"), lambda x: F.size(x))))
+
+
 def rectangular_segments(segments: DataFrame, tokenizer: KmerTokenizer | None = None, max_token_count: int | None = None) -> DataFrame:
     """``(torch_id, segment_id, offset, input_ids)`` straight from segments, with what :func:`rectangular` gives for their tokens.
 
@@ -204,10 +215,7 @@ def rectangular_segments(segments: DataFrame, tokenizer: KmerTokenizer | None =
     """
     t = tokenizer or KmerTokenizer()
     most = max_token_count or t.token_limit
-    known = F.translate(F.upper("segment"), "ACGT", "") == ""
-    count = F.greatest(F.floor((F.length("segment") - t.kmer) / F.lit(float(t.shift))) + 1, F.lit(0)).cast("int") + 2 * t.special
-    taken = F.when(known, count).otherwise(F.array_max(F.transform(t.encode_all("segment"), lambda x: F.size(x))))
-    width = min(most, int(segments.agg(F.coalesce(F.max(taken), F.lit(0))).first()[0]))
+    width = min(most, int(segments.agg(F.coalesce(F.max(most_tokens(t)), F.lit(0))).first()[0]))
     too_long = F.raise_error(F.lit("A token vector is longer than the maximum token count")).cast("array<int>")
     rows = segments.select("segment_id", F.posexplode(t.encode_all("segment")).alias("offset", "ids"))
     return rows.select((F.col("segment_id") * t.shift + F.col("offset")).cast("long").alias("torch_id"), "segment_id", "offset", F.when(F.size("ids") > most, too_long).otherwise(S.pad_ids("ids", width)).alias("input_ids"))
@@ -218,10 +226,27 @@ def truncate_zero_columns(rows: DataFrame, ids: str = "input_ids") -> DataFrame:
 
 
 def classification_table(segments: DataFrame, tokenizer: KmerTokenizer, length: int | None = None, *, randomize: bool = True, seed: int = 42) -> DataFrame:
-    """Rectangular tokens with the segments' labels ``y`` (and ``label``) joined on."""
-    width = length + 2 if length else tokenizer.token_limit
-    rows = rectangular(tokenize_segments(segments, tokenizer), width, randomize=randomize, seed=seed)
-    return rows.join(segments.select("segment_id", *[c for c in ("y", "label") if c in segments.columns]), "segment_id", "left")
+    """Rectangular tokens, as :func:`rectangular` has them, with the segments' labels ``y`` (and ``label``).
+
+    Rows are checked, numbered and permuted by a staged table of ids and sizes;
+    segments meet their numbers once, and only then become tokens.
+    """
+    most = length + 2 if length else tokenizer.token_limit
+    keys = stage(segments.select("segment_id", most_tokens(tokenizer).alias("_size")), "sizes")
+    if not is_valid_primary_key(keys, "segment_id"):
+        raise ValueError("segment_id must be unique and not null")
+    width = min(most, int(keys.agg(F.coalesce(F.max("_size"), F.lit(0))).first()[0]))
+    rows = dense_rows(keys.select("segment_id"), "segment_id", [], "_n").select("segment_id", "_n", F.explode(F.sequence(F.lit(0), F.lit(tokenizer.shift - 1))).alias("offset"))
+    rows = rows.select("segment_id", "offset", (F.col("_n") * tokenizer.shift + F.col("offset")).alias("torch_id"))
+    if randomize:
+        rows = permuted(stage(rows, "rows"), seed)
+    labels = [c for c in ("y", "label") if c in segments.columns]
+    out = rows.join(segments.select("segment_id", "segment", *labels), "segment_id")
+    ids = tokenizer.encode("segment", F.col("offset"))
+    too_long = F.raise_error(F.lit("A token vector is longer than the maximum token count")).cast("array<int>")
+    ids = S.let(ids, lambda x: F.when(F.size(x) > most, too_long).otherwise(S.pad_ids(x, width)))
+    numbers = ["original_torch_id"] if randomize else []
+    return out.select("segment_id", *numbers, "offset", ids.alias("input_ids"), "torch_id", *labels)
 
 
 #: Encoders by a part of a model's name; add more with :func:`register_encoder`.  Only this package's own k-mer encoder

@@ -622,6 +622,23 @@ def test_drawn_windows_make_tokens_of_drawn_contigs_alone(spark):
     assert sorted(r.draw_id for r in stores.draw_windows(store, 10, 50).collect()) == list(range(50))
 
 
+def test_classification_table_reads_segments_for_sizes_and_once_more(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i * 7, "".join(rng.choice(list("ACGTN"), 12 + i % 9, p=[0.24] * 4 + [0.04])), i % 2) for i in range(50)]
+    spark.createDataFrame(rows, "segment_id long, segment string, y int").write.parquet(str(tmp_path / "cuts"))
+    cut, t = spark.read.parquet(str(tmp_path / "cuts")), KmerTokenizer(6, 2)
+    table = tokenize.classification_table(cut, t, 20)
+    assert len(re.findall(r"Relation \[segment_id#\d+L,segment#", table._jdf.queryExecution().optimizedPlan().toString())) == 1
+    want = {(r.segment_id, r.offset): r for r in tokenize.rectangular(tokenize.tokenize_segments(cut, t), 22, randomize=True).collect()}
+    got = table.collect()
+    assert len(got) == len(want) == 100
+    for r in got:
+        w = want[r.segment_id, r.offset]
+        assert (r.torch_id, r.original_torch_id, r.input_ids, r.y) == (w.torch_id, w.original_torch_id, w.input_ids, r.segment_id // 7 % 2)
+    with pytest.raises(ValueError):
+        tokenize.classification_table(cut.union(cut), t, 20)
+
+
 def test_long_sequences_are_walked_once(spark):
     """Segments of four million bases, of either kind; each cut from the start would take hours."""
     text, began = "ACGTTGCA" * 500_000, time.time()
