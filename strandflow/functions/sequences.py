@@ -236,10 +236,10 @@ def pretty_overlap(seq: Column | str, names: Column, k: int, shift: int) -> Colu
     lines = -(-(k + 2) // shift)
     indent = len(str(int((k + 3) / shift))) + 3
 
-    def line(n: int) -> Column:
-        return F.concat(F.lit(f"{n}.  " + " " * (n * shift)), F.array_join(F.filter(names, lambda _, i: i % lines == n), "  "))
+    def line(x: Column, n: int) -> Column:
+        return F.concat(F.lit(f"{n}.  " + " " * (n * shift)), F.array_join(F.filter(x, lambda _, i: i % lines == n), "  "))
 
-    return F.array_join(F.array(F.concat(F.lit(" " * indent), col(seq)), *[line(n) for n in range(lines)]), "\n")
+    return let(names, lambda x: F.array_join(F.array(F.concat(F.lit(" " * indent), col(seq)), *[line(x, n) for n in range(lines)]), "\n"))
 
 
 # Numeric arrays.

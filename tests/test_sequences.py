@@ -161,3 +161,9 @@ def test_kmers_of_long_sequences(spark):
             got = one(spark, S.tokens_at("s", F.lit(p), k, shift), s=s)
             assert [(x.offset, [tuple(z) for z in x.tokens]) for x in got] == [w for w in want if w[1]]
     assert time.time() - began < 120
+
+
+def test_pretty_overlap_makes_its_kmers_once(spark):
+    names = F.transform(S.kmers("s", 6, 2), lambda m: F.concat(m, F.lit("123457")))
+    df = spark.createDataFrame([("ACGTACGTAC",)], "s string").select(S.pretty_overlap("s", names, 6, 2).alias("x"))
+    assert df._jdf.queryExecution().analyzed().toString().count("123457") == 1 and df.first().x.count("123457") == 3
